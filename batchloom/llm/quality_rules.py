@@ -1,8 +1,8 @@
 """Quality rules: base rules on exact text statistics, then an isolation forest over them.
 
-The forest is fitted on at most ``SAMPLE_ROWS`` rows labelled good (any rows where none is labelled), the
-smallest by a hash of their statistics. Every document is scored by the mean path length to isolate it;
-the threshold is the one that best separates all labelled rows, from a histogram of their scores.
+A forest for each set of FEATURE_SETS is fitted on at most ``SAMPLE_ROWS`` rows that pass the base, the
+smallest by a hash. Every document is scored by the mean path length to isolate it; the set and threshold
+are those that best separate all labelled rows, from histograms of their scores.
 
 Defined cases: null text has no words and fails the base; ties in text give equal statistics and equal
 verdicts; repeated rows each give a row; without labels of both kinds the verdict is to keep; an empty
@@ -21,13 +21,17 @@ from .common import map_arrow, materialise
 
 #: Bound of the fitting sample, rows a tree, trees, and bins of the score histogram.
 SAMPLE_ROWS = 4096
-TREE_ROWS = 256
+TREE_ROWS = 64
 TREES = 100
 BINS = 2000
+#: A good row refused weighs as so many bad rows kept, as shares of their kinds.
+CAUTION = 4
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length", "upper_share", "digit_share", "punctuation_share")
 
+FEATURE_SETS = (("symbol_share", "word_length"), ("symbol_share", "word_length", "upper_share", "punctuation_share"), FEATURES)
+
 _BLANK = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -140,27 +144,31 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(self.mean_path(self.size), 1e-9))
 
 
+def _table(b: dict[str, list], features: tuple[str, ...]) -> np.ndarray:
+    """Square roots, so that small shares are told apart."""
+    return np.sqrt(np.array([b[f] for f in features], dtype=np.float64).T.reshape(-1, len(features)))
+
+
 def _scored(shared):
     def rows(batches):
-        forest = shared.value
         for b in batches:
-            x = np.array([b[f] for f in FEATURES], dtype=np.float64).T.reshape(-1, len(FEATURES))
-            yield b | {"score": forest.score(x).tolist() if forest and len(x) else [0.0] * len(x)}
+            scores = {f"score{k}": forest.score(_table(b, features)).tolist() if b["doc_id"] else [] for k, (features, forest) in enumerate(shared.value)}
+            yield b | scores
 
     return rows
 
 
-def best_cut(histogram: list[tuple[int, int, int]]) -> float:
-    """The score above which rows are refused, from (bin, bad rows, good rows): most of the bad and least of the good."""
+def best_cut(histogram: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """(gain, score from which rows are refused) from (bin, bad rows, good rows)."""
     bad, good = sum(x[1] for x in histogram), sum(x[2] for x in histogram)
     if not bad or not good:
-        return 1.0
-    best, cut, b, g = 0.0, 1.0, 0, 0
+        return 0.0, 2.0
+    best, cut, b, g = 0.0, 2.0, 0, 0
     for bin_, x, y in sorted(histogram, reverse=True):
         b, g = b + x, g + y
-        if (gain := b / bad - 2 * g / good) > best:
+        if (gain := b / bad - CAUTION * g / good) > best:
             best, cut = gain, bin_ / BINS
-    return cut
+    return best, cut
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -174,16 +182,19 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("__label")).filter("__label is not null").groupBy("__id").agg(F.max("__label").alias("__label"))
 
-    def sample(of: DataFrame) -> list:
-        hashed = of.select(F.xxhash64("doc_id", *BASE).alias("h"), *FEATURES)
-        return hashed.orderBy("h", *FEATURES).limit(SAMPLE_ROWS).collect()
-
-    passing = measured.filter(~failed)
-    good = sample(passing.join(known.filter("__label = 1"), F.col("doc_id") == F.col("__id"), "left_semi")) or sample(passing)
-    forest = Forest(np.array([[r[f] for f in FEATURES] for r in good], dtype=np.float64)) if len(good) > 1 else None
-    shared = spark.sparkContext.broadcast(forest)
-    scored = map_arrow(measured, _scored(shared), f"doc_id {kind}, {counts}, {shares}, score double").withColumn("base_failed", failed)
+    passing = measured.filter(~failed).select(F.xxhash64("doc_id", *BASE).alias("h"), *FEATURES)
+    sample = passing.orderBy("h", *FEATURES).limit(SAMPLE_ROWS).collect()
+    columns = {f: [r[f] for r in sample] for f in FEATURES}
+    forests = [(features, Forest(_table(columns, features))) for features in FEATURE_SETS] if len(sample) > 1 else []
+    shared = spark.sparkContext.broadcast(forests)
+    names = [f"score{k}" for k in range(len(forests))]
+    scored = map_arrow(measured, _scored(shared), ", ".join([f"doc_id {kind}", counts, shares, *[f"{n} double" for n in names]])).withColumn("base_failed", failed)
     labelled = scored.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
-    bins = labelled.groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count_if(F.col("__label") == 0).alias("bad"), F.count_if(F.col("__label") == 1).alias("good"))
-    cut = best_cut([(r["bin"], r["bad"], r["good"]) for r in bins.collect()])
-    return scored.select("doc_id", *BASE, "base_failed", "score", (~F.col("base_failed") & (F.col("score") < cut)).alias("kept"))
+    bad, good = F.count_if(F.col("__label") == 0).alias("bad"), F.count_if(F.col("__label") == 1).alias("good")
+    which = F.posexplode(F.array(*names) if names else F.array().cast("array<double>")).alias("k", "score")
+    bins = labelled.select("__label", which).groupBy("k", F.floor(F.col("score") * BINS).alias("bin")).agg(bad, good).collect()
+    cuts = [best_cut([(r["bin"], r["bad"], r["good"]) for r in bins if r["k"] == k]) for k in range(len(names))]
+    best = max(range(len(names)), key=lambda k: cuts[k][0], default=None)
+    score = F.lit(0.0) if best is None else F.col(names[best])
+    cut = 2.0 if best is None else cuts[best][1]
+    return scored.select("doc_id", *BASE, "base_failed", score.alias("score"), (~F.col("base_failed") & (score < cut)).alias("kept"))
