@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, packing, quality_rules, token_counts
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, token_counts
 from .common import read_table
 
 #: Production parameters.
 CAPACITY = 1024
 END_ID = 2
 WINDOW_WORDS = 10
+SHINGLE_WORDS = 3
+JACCARD_PERCENT = 90
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +55,32 @@ from d left join h on d.rid = h.rid left join it on d.rid = it.rid
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), SHINGLE_WORDS, JACCARD_PERCENT).drop("version")
+
+
+#: Brute force: every pair that shares a shingle and whose sizes allow a link; components by reachability.
+OP2_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o
+  from (select s.doc_id, s.g, n.n from s join n using (doc_id)) a join (select s.doc_id, s.g, n.n from s join n using (doc_id)) b
+    on a.g = b.g and a.doc_id <> b.doc_id and 10 * a.n >= 9 * b.n and 10 * b.n >= 9 * a.n
+  group by 1, 2),
+l as (select p.x, p.y from p join n a on a.doc_id = p.x join n b on b.doc_id = p.y where 100 * p.o >= 90 * (a.n + b.n - p.o)),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, least(x, min(y)) as c from r group by x),
+k as (select x, count(*) as k from l group by x)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.c, d.doc_id) as component_id, cast(coalesce(k.k, 0) as bigint) as n_links
+from d left join n on n.doc_id = d.doc_id left join c on c.x = d.doc_id left join k on k.x = d.doc_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -137,6 +165,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op7_quality_rules": op7_quality_rules,
@@ -146,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
