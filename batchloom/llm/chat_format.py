@@ -17,6 +17,7 @@ id belong to no conversation; ties of rank go to the smaller leaf id; an empty t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import Scratch, map_arrow
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -46,33 +47,34 @@ def chain(turns: DataFrame, tree_col: str = "conv_id", order: tuple[str, ...] =
 
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     """(tree, path, depth, node): the nodes of the best ``paths`` root-to-leaf paths of each tree."""
-    nodes = materialise(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "tree-nodes")
+    scratch = Scratch(messages.sparkSession, "reply-trees")
+    nodes = scratch.table(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     known = nodes.select(F.col("tree").alias("__t"), F.col("node").alias("__n"))
-    up = (
-        nodes.join(known, (F.col("tree") == F.col("__t")) & (F.col("parent") == F.col("__n")), "left")
-        .select("tree", "node", F.col("__n").alias("up"), F.lit(1).cast("long").alias("hops"), "score")
-    )
+    start = nodes.join(known, (F.col("tree") == F.col("__t")) & (F.col("parent") == F.col("__n")), "left")
+    start = scratch.table(start.select("tree", "node", F.col("__n").alias("up"), F.lit(1).cast("long").alias("hops"), "score"), "jumps-0")
+    # Nodes that have reached their root are set aside; only the others jump again.
+    done, active = [start.filter("up is null")], start.filter("up is not null")
     jumps: list[DataFrame] = []
     rounds = math.ceil(math.log2(max(nodes.count(), 2))) + 1
-    up = materialise(up, "tree-jumps")
-    while len(jumps) < rounds and up.filter("up is not null").limit(1).count():
-        jumps.append(up.filter("up is not null").select("tree", "node", "up"))
-        far = up.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("hops").alias("__hops"), F.col("score").alias("__score"))
-        up = materialise(
-            up.join(far, (F.col("tree") == F.col("__t")) & (F.col("up") == F.col("__n")), "left").select(
-                "tree", "node", F.col("__up").alias("up"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score")
-            ),
-            "tree-jumps",
+    while len(jumps) < rounds and active.limit(1).count():
+        jumps.append(active.select("tree", "node", "up"))
+        now = functools.reduce(DataFrame.unionByName, done, active)
+        far = now.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("hops").alias("__hops"), F.col("score").alias("__score"))
+        moved = active.join(far, (F.col("tree") == F.col("__t")) & (F.col("up") == F.col("__n"))).select(
+            "tree", "node", F.col("__up").alias("up"), (F.col("hops") + F.col("__hops")).alias("hops"), (F.col("score") + F.col("__score")).alias("score")
         )
+        moved = scratch.table(moved, f"jumps-{len(jumps)}")
+        done.append(moved.filter("up is null"))
+        active = moved.filter("up is not null")
     parents = nodes.filter("parent is not null").select(F.col("tree").alias("__t"), F.col("parent").alias("__n"))
-    leaves = up.filter("up is null").join(parents, (F.col("tree") == F.col("__t")) & (F.col("node") == F.col("__n")), "left_anti")
+    leaves = functools.reduce(DataFrame.unionByName, done).join(parents, (F.col("tree") == F.col("__t")) & (F.col("node") == F.col("__n")), "left_anti")
     rank = W.partitionBy("tree").orderBy((F.col("score") / F.col("hops")).desc(), F.col("hops").desc(), "node")
     chosen = leaves.withColumn("path", F.row_number().over(rank)).filter(F.col("path") <= paths)
     found = chosen.select("tree", "path", "node", (F.col("hops") - 1).alias("depth"))
     for k in reversed(range(len(jumps))):
         step = jumps[k].select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"))
         above = found.join(step, (F.col("tree") == F.col("__t")) & (F.col("node") == F.col("__n"))).select("tree", "path", F.col("__up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        found = materialise(found.unionByName(above), "tree-paths")
+        found = scratch.table(found.unionByName(above), f"paths-{k}")
     return found
 
 
