@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, token_counts, toxicity
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
 from .common import read_table
 
 #: Production parameters.
@@ -130,6 +130,10 @@ left join (
 """
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -172,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
+    "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
