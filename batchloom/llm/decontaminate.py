@@ -179,3 +179,10 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: s
 
     whole = map_arrow(joined, unite, f"doc_id {kind}, __copies int, {HITS}")
     return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies", "__copy")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without any benchmark window."""
+    found = scan_benchmark(docs.withColumn("__row", F.xxhash64(id_col, text_col)), benchmark, n, "__row", text_col)
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, F.xxhash64(id_col, text_col) == F.col("__hit"), "left_anti")

@@ -21,10 +21,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow
+from .common import fold, map_arrow, ship
 
 WINDOW_BYTES = 32
 FIT_TOXIC, FIT_ORDINARY = 1500, 4000
@@ -211,3 +212,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return map_arrow(source, _score(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that aren't predicted toxic."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        model = shared.value
+        if model is None:
+            return pd.Series([False] * len(texts))
+        contents, w = model
+        return pd.Series([float(np.dot(features(distances(normal(t), contents)), w)) >= 0 for t in texts])
+
+    return docs.filter(~toxic(F.col(text_col)))
