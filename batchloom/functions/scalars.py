@@ -112,7 +112,7 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
     """Seconds that a Retry-After header asks for: a whole number or an HTTP date; null if it is neither."""
     number = F.when(value.rlike("^[+]?[0-9]+$"), value.try_cast("long"))
     date = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract(value, r"^[A-Z][a-z]{2}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.coalesce(number, F.greatest(date - now, F.lit(0).cast("long")))
+    return F.coalesce(number, F.when(date.isNotNull(), F.greatest(date - now, F.lit(0).cast("long"))))
 
 
 def backoff_seconds(code: Column, attempt: Column, retry_after: Column, initial: float, most: float) -> Column:
