@@ -101,7 +101,7 @@ def train(own: list[bytes], other: list[bytes]) -> list[bytes]:
     while have and len(out) < RUNS:
         gain = {g: weight[v].sum() - CONTRAST * share[g] * n for g, v in have.items()}
         top = max(gain, key=lambda g: (gain[g], len(g), g))
-        if gain[top] < 0.002 * n:
+        if gain[top] < max(2.0, 0.003 * n):  # a few chance stems must not get in
             break
         weight[have.pop(top)] /= 2
         have = {g: v for g, v in have.items() if not g.startswith(top) and not top.startswith(g)}
