@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import schemas as S
 from .functions import scalars as fn
-from .operators import analysis, catalog, ingest, lifecycle, metrics, results
+from .operators import analysis, catalog, ingest, lifecycle, metrics, mutations, results
 from .plans.fixtures import LIVE, MODELS, NOW, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -501,6 +501,115 @@ def job_times(spark, sf):
     return _items(spark, sf).select("id", (fn.priority_us(c("created_at"), c("window_s")) / 1_000_000).cast("long").alias("deadline"), (c("total") - c("k") % c("total")).alias("wait"), fn.size_bucket(c("total")).alias("bucket"))
 
 
+# ---------------------------------------------------------------- writes
+
+
+@_query(
+    f"select c.id, case when i.id is null then 'not_found' when c.want = i.status then 'applied' else 'conflict' end as verdict, case when c.want = i.status and c.new <> '' then c.new else i.status end as status "
+    "from (select case when k % 97 = 0 then concat('gone_', id) else id end as id, case when k % 2 = 0 then status else 'validating' end as want, case when k % 3 = 0 then '' else 'failed' end as new from fx_items) c left join fx_items i on c.id = i.id"
+)
+def partial_update(spark, sf):
+    items = _items(spark, sf)
+    changes = items.select(
+        F.when(c("k") % 97 == 0, F.concat(F.lit("gone_"), "id")).otherwise(c("id")).alias("id"), F.when(c("k") % 2 == 0, c("status")).otherwise("validating").alias("expected_status"),
+        F.when(c("k") % 3 == 0, "").otherwise("failed").alias("new_status"),
+    )
+    return mutations.update(items, changes, ["status"], ["status"])
+
+
+@_query("select id from fx_items where k % 7 = 3")
+def deleted_ids(spark, sf):
+    items = _items(spark, sf)
+    return mutations.delete(items, items.filter(c("k") % 7 == 3).unionByName(items.filter(c("k") % 7 == 3)))[1]
+
+
+@_query("select tenant_id, count(*) as n from fx_items where k % 7 <> 3 group by tenant_id")
+def rows_after_delete(spark, sf):
+    items = _items(spark, sf)
+    return metrics.counts(mutations.delete(items, items.filter(c("k") % 7 == 3))[0], "tenant_id")
+
+
+@_query(f"select id, case when ok then 100 else total end as total, case when ok then 60 else 0 end as completed, case when ok then 40 else 0 end as failed from (select *, k % 2 = epoch and status not in {TERMINAL} as ok from fx_items)")
+def counts_update(spark, sf):
+    items = _items(spark, sf).withColumn("completed", F.lit(0)).withColumn("failed", F.lit(0))
+    progress = items.select("id", (c("k") % 2).alias("at_epoch"), F.lit(100).alias("total"), F.lit(60).alias("completed"), F.lit(40).alias("failed"))
+    return mutations.set_counts(items, progress).select("id", "total", "completed", "failed")
+
+
+@_query("select id, 'cancelled' as status from fx_items where k between 10 and 500 and status = 'validating' and processor_id is null")
+def cancelled_in_queue(spark, sf):
+    items = _items(spark, sf)
+    return mutations.cancel_if_queued(items, [f"batch_{k:08d}" for k in range(10, 501)]).select("id", "status")
+
+
+@_query(
+    f"select id, 'proc-9' as processor_id, epoch + 1 as epoch, {NOW} + 300 as lease_at from fx_items where id in (select id from fx_items where processor_id is null and "
+    f"((status = 'validating' and not resumable) or (resumable and status not in {TERMINAL})) order by priority, id limit 25)"
+)
+def claimed_jobs(spark, sf):
+    items = _items(spark, sf)
+    return mutations.claim(items, catalog.queue_top(items, 25, S.LEASE_S), "proc-9", NOW, S.LEASE_S).select("id", "processor_id", "epoch", "lease_at")
+
+
+@_query(
+    f"select id, recovery_attempts + 1 as recovery_attempts from fx_items where processor_id is not null and resumable and status not in {TERMINAL} and k % 4 = epoch "
+    f"and (processor_id not in {LIVE_SQL} or not coalesce(lease_at > {NOW}, false))"
+)
+def requeued_orphans(spark, sf):
+    items = _items(spark, sf)
+    seen = items.filter("processor_id is not null").select("id", c("processor_id").alias("owner"), (c("k") % 4).alias("at_epoch"), c("processor_id").isin(*LIVE).alias("owner_alive"))
+    return mutations.requeue_orphans(items, seen, NOW).select("id", "recovery_attempts")
+
+
+@_query(
+    f"select id, case when processor_id = 'proc-2' and epoch = 1 and status not in {TERMINAL} then 'applied' when status = 'completed' then 'same' else 'conflict' end as verdict, "
+    f"case when processor_id = 'proc-2' and epoch = 1 and status not in {TERMINAL} then 'completed' else status end as status from fx_items"
+)
+def terminal_writes(spark, sf):
+    items = _items(spark, sf)
+    return mutations.finalize(items, items.select("id", F.lit("proc-2").alias("owner"), F.lit(1).alias("at_epoch"), F.lit("completed").alias("target")))
+
+
+@_query(
+    "select batch_id, custom_id, case when ordinal = 1 and status in ('pending', 'in_flight') then 'in_flight' else status end as status, "
+    "attempts + case when ordinal = 1 and status in ('pending', 'in_flight') then 1 else 0 end as attempts, case when ordinal = 1 and status in ('pending', 'in_flight') then 'proc-1' else submitted_by end as submitted_by from fx_entries"
+)
+def entries_in_flight(spark, sf):
+    e = _entries(spark, sf)
+    sent = e.filter("ordinal = 1").select("batch_id", "custom_id", F.lit("proc-1").alias("submitter"))
+    return mutations.mark_in_flight(e, sent).select("batch_id", "custom_id", "status", "attempts", "submitted_by")
+
+
+@_query(f"select id, case when epoch <> 1 or status in {TERMINAL} then 'conflict' else 'ok' end as verdict from fx_items")
+def status_checks(spark, sf):
+    items = _items(spark, sf)
+    return items.select("id", mutations.status_check(items, F.lit(1)).alias("verdict"))
+
+
+@_query("select id, case when k % 9 = 0 then null else concat('http://', model) end as target from (select concat('r', cast(conv_id as varchar)) as id, conv_id as k, model from fx_requests) where model <> 'model-3' "
+        "union all select concat('r', cast(conv_id as varchar)), null from fx_requests where model = 'model-3'".replace("case when k % 9 = 0 then null else concat('http://', model) end", "concat('http://', model)"))
+def endpoint_resolution(spark, sf):
+    ends = spark.createDataFrame([(m, f"http://{m}") for m in ("model-0", "model-1", "model-2", "model-4")], "model string, url string")
+    out = mutations.resolve_endpoints(view(spark, sf, "requests"), ends)
+    return out.select(F.concat(F.lit("r"), c("conv_id").cast("string")).alias("id"), "target")
+
+
+@_query("select conv_id, concat(batch_id, '/', model) as route, n_messages from fx_requests where ordinal % 2 = 0")
+def planned_lines(spark, sf):
+    r = view(spark, sf, "requests")
+    entries = ingest.plan(r).filter(c("ordinal") % 2 == 0).select("batch_id", "ordinal", "position")
+    lines = r.select("batch_id", "ordinal", "conv_id", "model", "n_messages")
+    return ingest.lines_at(entries, lines).select("conv_id", ingest.route_key(c("batch_id"), c("model"), True).alias("route"), "n_messages")
+
+
+@_query(
+    "select id, '{\"id\":\"' || id || '\",\"processor_id\":' || coalesce('\"' || processor_id || '\"', 'null') || ',\"epoch\":' || epoch || case when lease_at is null then '' else ',\"lease_at\":' || lease_at end || '}' as doc from fx_items"
+)
+def api_documents(spark, sf):
+    docs = _items(spark, sf).select("id", "processor_id", "epoch", "lease_at")
+    return docs.select("id", mutations.api_json(docs, ["lease_at"]).alias("doc"))
+
+
 # ---------------------------------------------------------------- metrics
 
 
@@ -531,6 +640,31 @@ def size_bucket_hist(spark, sf):
     return metrics.counts(sizes.withColumn("bucket", fn.size_bucket(c("n"))), "bucket")
 
 
+@_query("select status, case when recovery_attempts > 3 then 'exhausted' when resumable then 'resumed' else 'fresh' end as reason, count(*) as n from fx_items group by 1, 2")
+def jobs_by_outcome(spark, sf):
+    reason = F.when(c("recovery_attempts") > S.MAX_RECOVERY_ATTEMPTS, "exhausted").when(c("resumable"), "resumed").otherwise("fresh")
+    return metrics.counts(_items(spark, sf).withColumn("reason", reason), "status", "reason")
+
+
+@_query("select event_type as method, endpoint as path, status_code, count(*) as n, round(avg(latency_s), 6) as mean, count(*) filter (latency_s > 1) as slow from fx_signals group by 1, 2, 3")
+def http_requests(spark, sf):
+    s = view(spark, sf, "signals").select(c("event_type").alias("method"), c("endpoint").alias("path"), "status_code", "latency_s")
+    return s.groupBy("method", "path", "status_code").agg(F.count("*").alias("n"), F.round(F.avg("latency_s"), 6).alias("mean"), F.count_if(c("latency_s") > 1).alias("slow"))
+
+
+@_query(f"select count(*) as collected, count(*) filter (purpose = 'batch') as inputs, cast(sum(bytes) as bigint) as bytes from fx_files where expiry > 0 and expiry <= {NOW}")
+def collector_counters(spark, sf):
+    gone = view(spark, sf, "files").filter(catalog.expired(NOW))
+    return gone.agg(F.count("*").alias("collected"), F.count_if(c("purpose") == "batch").alias("inputs"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+@_query("select endpoint, count(*) filter (status_code = 200) as busy, cast(sum(tokens) as bigint) as tokens, round(count(*) filter (status_code = 200) / greatest(cast(count(*) as double), 1.0), 9) as saturation, round(avg(latency_s), 6) as mean from fx_signals group by endpoint")
+def gauges(spark, sf):
+    s = view(spark, sf, "signals")
+    busy = F.count_if(c("status_code") == 200)
+    return s.groupBy("endpoint").agg(busy.alias("busy"), F.sum("tokens").alias("tokens"), F.round(metrics.ratio(busy, F.count("*").cast("double"), 1.0), 9).alias("saturation"), F.round(F.avg("latency_s"), 6).alias("mean"))
+
+
 _BOUNDS = metrics.buckets("process")
 _LE = ", ".join(repr(b) for b in _BOUNDS)
 
