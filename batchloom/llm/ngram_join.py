@@ -19,6 +19,8 @@ no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,9 +30,9 @@ from .common import Scratch, map_arrow, raw_text
 from .graph import components
 
 #: Bounds of a row block: documents and n-grams. Columns multiplied at once.
-BLOCK_DOCS = 400
+BLOCK_DOCS = 1200
 BLOCK_GRAMS = 1_000_000
-COLUMNS = 4096
+COLUMNS = 2048
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 300_000
 
@@ -70,8 +72,12 @@ def gram_set(raw: bytes, n: int) -> np.ndarray:
 class Sizes:
     """What a threshold of ``percent`` means for set sizes, in whole numbers."""
 
-    def __init__(self, percent: int, ratio: tuple[int, int] = (3, 2)):
-        self.percent, self.ratio = percent, ratio
+    def __init__(self, percent: int, most: int = 1 << 40):
+        self.percent = percent
+        #: Starts of the classes of sizes: the largest partner of a size is at most in the next class.
+        self.starts = [1]
+        while self.starts[-1] <= most:
+            self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // percent)))
 
     def differ(self, total: int) -> int:
         """Most n-grams in just one of two linked sets whose sizes add up to ``total``: with overlap o,
@@ -81,13 +87,6 @@ class Sizes:
     def largest_partner(self, n: int) -> int:
         return 100 * n // self.percent
 
-    def bounds(self, most: int) -> list[int]:
-        """Starts of the classes of sizes, each about ``ratio`` times the one before."""
-        out = [1]
-        while out[-1] <= most:
-            out.append(max(out[-1] + 1, -(-out[-1] * self.ratio[0] // self.ratio[1])))
-        return out
-
 
 def digests(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Digests of the column blocks of a set, for its own class of sizes and, if a partner can be there, the next."""
@@ -95,12 +94,11 @@ def digests(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
     if not n:
         return np.empty(0, dtype=np.uint64)
     partner = sizes.largest_partner(n)
-    bounds = sizes.bounds(max(partner, n))
-    k = max(i for i, b in enumerate(bounds) if b <= n)
     total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(grams + _K[1]), dtype=np.uint64)])
     out = []
-    while k < len(bounds) - 1 and bounds[k] <= max(n, partner):
-        top = bounds[k + 1] - 1
+    k = bisect_right(sizes.starts, n) - 1
+    while sizes.starts[k] <= max(n, partner):
+        top = sizes.starts[k + 1] - 1
         blocks = max(sizes.differ(t) for t in (2 * top, 2 * top - 1)) + 1
         if blocks > 1:  # else only equal sets can be linked, and those are one row
             # Hashes are sorted, and a block is a range of them.
@@ -165,32 +163,32 @@ def multiply(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> l
     return [(int(i), int(j)) for i, j in zip(*np.nonzero(alive & (overlap >= need)))]
 
 
-def _products(percent: int):
+def _products(n: int, percent: int):
     """Rows come sorted by group; one group of at most two row blocks is held at a time."""
 
     def rows(batches):
         key, held = None, []
         for b in batches:
             out: list = []
-            for r in zip(b["task"], b["side"], b["cid"], b["copies"], b["grams"]):
+            for r in zip(b["task"], b["side"], b["cid"], b["copies"], b["raw"]):
                 if r[0] != key:
-                    out += _product(held, percent)
+                    out += _product(held, n, percent)
                     key, held = r[0], []
                 held.append(r)
             yield {"u": [x[0] for x in out], "v": [x[1] for x in out], "links": [x[2] for x in out]}
-        out = _product(held, percent)
+        out = _product(held, n, percent)
         yield {"u": [x[0] for x in out], "v": [x[1] for x in out], "links": [x[2] for x in out]}
 
     return rows
 
 
-def _product(held: list, percent: int) -> list[tuple[int, int | None, int]]:
+def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, int]]:
     """(u, v, 0) for the edges of a spanning forest, (u, None, links) for a row's number of links."""
     if len(held) < 2:
         return []
     a = [r for r in held if r[1] == 0]
     b = [r for r in held if r[1] == 1]
-    load = lambda part: [np.frombuffer(r[4], dtype=np.uint64) for r in part]
+    load = lambda part: [gram_set(r[4], n) for r in part]
     pairs = multiply(load(a), load(b) if b else None, percent)
     other = b or a
     root: dict[int, int] = {}
@@ -215,7 +213,7 @@ def _product(held: list, percent: int) -> list[tuple[int, int | None, int]]:
 
 def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
     """(cid, cluster, task, side): the products of row blocks that each row takes part in."""
-    bounds = Sizes(percent, (100, percent)).bounds(1 << 40)
+    bounds = Sizes(percent).starts
     # The class of a size: how many starts are at most the size.
     klass = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col("n")))
     rows = members.withColumn("klass", klass)
@@ -242,16 +240,21 @@ def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(rest.select("cid", "cluster", "copies", F.inline(tasks)))
 
 
+def row_version(id_col: str = "doc_id", text_col: str = "text"):
+    """Tells rows apart that share an id."""
+    return F.xxhash64(id_col, text_col)
+
+
 def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, version, n_shingles, component_id, n_links) of every document.
+    """(doc_id, version, n_shingles, component_id, n_links, component) of every document.
 
-    ``version`` is a hash of the text, for rows that share an id. Documents link when
-    100 * intersection >= percent * union of their n-gram sets.
+    ``version`` tells rows apart that share an id, ``component`` is null for empty sets. Documents link
+    when 100 * intersection >= percent * union of their n-gram sets.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("version"), raw_text(text_col).alias("raw"))
+    source = docs.select(F.col(id_col).alias("doc"), row_version(id_col, text_col).alias("version"), raw_text(text_col).alias("raw"))
     sketch = scratch.table(map_arrow(source, _sketch(n, percent), f"doc {kind}, version long, n long, key binary, blocks array<long>"), "sketch")
     # Equal sets are one row of the matrix; at names one of its documents.
     at = F.struct("doc", "version")
@@ -264,24 +267,35 @@ def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col
     clusters = scratch.table(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct()), "clustered")
     members = rows.select("cid", "n", "copies", "at").join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
 
-    def sets(batches):
-        for b in batches:
-            yield {"cid": b["cid"], "grams": [gram_set(raw, n).tobytes() for raw in b["raw"]]}
-
-    texts = source.join(members.select("cid", "at"), F.col("doc").eqNullSafe(F.col("at.doc")) & F.col("version").eqNullSafe(F.col("at.version")))
-    grams = scratch.table(map_arrow(texts.select("cid", "raw"), sets, "cid long, grams binary").dropDuplicates(["cid"]), "grams")
+    # Rows of one id and text would come several times; they meet by the join's own key.
+    # Sorted and merged at every size, as the plan for a corpus would be.
+    texts = source.join(members.select("cid", "at").hint("merge"), (F.col("version") == F.col("at.version")) & F.col("doc").eqNullSafe(F.col("at.doc")))
+    texts = scratch.table(texts.select("version", "cid", "raw").dropDuplicates(["version", "cid"]).select("cid", "raw"), "texts")
     blocks = scratch.table(_row_blocks(members.select("cid", "cluster", "n", "copies"), percent), "row-blocks")
-    dealt = blocks.join(grams, "cid").select("task", "side", "cid", "copies", "grams")
+    dealt = blocks.join(texts, "cid").select("task", "side", "cid", "copies", "raw")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "side", "cid")
-    found = scratch.table(map_arrow(dealt, _products(percent), "u long, v long, links long"), "products")
-    scratch.drop("meets", "clustered", "grams", "row-blocks")
+    found = scratch.table(map_arrow(dealt, _products(n, percent), "u long, v long, links long"), "products")
+    scratch.drop("meets", "clustered", "texts", "row-blocks")
     roots = components(found.filter("v is not null").select("u", "v"), scratch, "components")
     links = found.filter("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     named = rows.select("cid", "key", "copies", "first").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = scratch.table(named.join(least, "root").join(links, "cid", "left").select("key", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    named = scratch.table(named.join(least, "root").join(links, "cid", "left").select("key", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
     out = sketch.select("doc", "version", "n", "key").join(named, "key", "left")
     return out.select(
         F.col("doc").alias("doc_id"), "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("component"),
     )
+
+
+def keep_one(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without near copies: of each component the one with the least id stays, and every row without words."""
+    found = join(docs, n, percent, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("version").alias("row"))
+    least = found.filter("component is not null").groupBy("component").agg(F.min(rank).alias("least"))
+    stay = least.select(F.col("least.row").alias("__version"), F.col("least.id").alias("__doc"), F.lit(True).alias("__one"))
+    empty = found.filter("component is null").select(F.col("version").alias("__version"), F.col("doc_id").alias("__doc"), F.lit(False).alias("__one")).distinct()
+    rows = docs.withColumn("__row", row_version(id_col, text_col))
+    kept = rows.join(stay.unionByName(empty).hint("merge"), (F.col("__row") == F.col("__version")) & F.col(id_col).eqNullSafe(F.col("__doc")))
+    one = kept.filter("__one").dropDuplicates(["__row", id_col])
+    return one.unionByName(kept.filter("not __one")).select(*docs.columns)

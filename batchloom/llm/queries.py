@@ -56,7 +56,7 @@ from d left join h on d.rid = h.rid left join it on d.rid = it.rid
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(read_table(spark, sf_dir, "documents"), SHINGLE_WORDS, JACCARD_PERCENT).drop("version")
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), SHINGLE_WORDS, JACCARD_PERCENT).drop("version", "component")
 
 
 #: Brute force: every pair that shares a shingle and whose sizes allow a link; components by reachability.
