@@ -78,3 +78,25 @@ def first_prompts(turns: DataFrame, default_system: str = "You are a helpful ass
     """Per conversation: its first system text, or the default, and its first user text; conversations without a user turn have none."""
     first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"]
     return turns.groupBy("conv_id").agg(F.coalesce(first("system"), F.lit(default_system)).alias("system"), first("user").alias("prompt")).filter("prompt is not null")
+
+
+def slot_schedule(requests: DataFrame, key: str, arrival: str, duration: str, order: str, slots: int) -> DataFrame:
+    """Per key, what bounded concurrency costs: each request, in order, starts when it has arrived and a slot is free.
+
+    (key, requests, waited, finished): all waiting together, and when the last one is done.
+    """
+    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))))
+    start = F.struct(F.array_repeat(F.lit(0.0), slots).alias("free"), F.lit(0.0).alias("waited"))
+
+    def place(state: Column, r: Column) -> Column:
+        begin = F.greatest(state["free"][0], r["a"])  # the slot that is free first stands first
+        rest = F.slice(state["free"], 2, slots)
+        return F.struct(F.array_sort(F.array_append(rest, begin + r["d"])).alias("free"), (state["waited"] + begin - r["a"]).alias("waited"))
+
+    folded = requests.groupBy(key).agg(F.count("*").alias("requests"), F.aggregate(steps, start, place).alias("s"))
+    return folded.select(key, "requests", F.col("s.waited").alias("waited"), F.array_max("s.free").alias("finished"))
+
+
+def sweep_json(points: DataFrame) -> DataFrame:
+    """One JSON document a scenario, as a report reads it."""
+    return points.select("scenario", F.to_json(F.struct("scenario", "points")).alias("document"))

@@ -742,6 +742,41 @@ def alert_failure_ratio(spark, sf):
     return metrics.held_for(share, c("ratio") > 0.19, 2).withColumn("ratio", F.round("ratio", 9))
 
 
+_WAIT = "sum(case when latency_s <= le then 1 else 0 end)"
+
+
+@_query(
+    f"with b as (select cast(floor(sec / 86400) * 86400 as bigint) as window_start, le, {_WAIT} as n from fx_signals, (select unnest([{_LE}, 'infinity'::double]) as le) group by 1, 2), "
+    "w as (select *, lag(le) over (partition by window_start order by le) as low, lag(n) over (partition by window_start order by le) as base, max(n) over (partition by window_start) as total from b), "
+    "k as (select *, row_number() over (partition by window_start order by le) as r from w where n >= 0.95 * total), "
+    "v as (select window_start, case when le = 'infinity' then low else coalesce(low, 0) + (le - coalesce(low, 0)) * (0.95 * total - coalesce(base, 0)) / (n - coalesce(base, 0)) end as value from k where r = 1) "
+    "select window_start, round(value, 6) as value, min(case when value > 1.45 then 1 else 0 end) over (order by window_start rows between 1 preceding and current row) = 1 "
+    "and count(*) over (order by window_start rows between 1 preceding and current row) > 1 as alert from v"
+)
+def alert_queue_wait(spark, sf):
+    day = (F.floor(c("sec") / 86400) * 86400).cast("long")
+    s = view(spark, sf, "signals").withColumn("window_start", day)
+    p95 = metrics.histogram_quantile(0.95, metrics.histogram(s, c("latency_s"), _BOUNDS, ["window_start"]), ["window_start"])
+    return metrics.held_for(p95, c("value") > 1.45, 1).withColumn("value", F.round("value", 6))
+
+
+@_query(f"with {_COUNTER} select endpoint, event_id, delta from d where delta <> 1")
+def counter_resets(spark, sf):
+    return _counter(spark, sf).filter("delta <> 1").select("endpoint", "event_id", "delta")
+
+
+@_query(
+    "with recursive s as (select endpoint, cast(sec as double) as a, latency_s * 20000 as d, row_number() over (partition by endpoint order by event_id) as r, count(*) over (partition by endpoint) as last from fx_signals), "
+    "f as (select distinct endpoint, cast(0 as bigint) as r, last, [0.0::double, 0.0::double, 0.0::double] as free, 0.0::double as waited from s "
+    "union all select f.endpoint, s.r, f.last, list_sort(list_append(f.free[2:3], greatest(f.free[1], s.a) + s.d)), f.waited + greatest(f.free[1], s.a) - s.a from f join s on s.endpoint = f.endpoint and s.r = f.r + 1) "
+    "select endpoint, last as requests, round(waited, 3) as waited, round(list_max(free), 3) as finished from f where r = last"
+)
+def slot_schedule(spark, sf):
+    s = view(spark, sf, "signals").withColumn("d", c("latency_s") * 20000)
+    out = analysis.slot_schedule(s, "endpoint", "sec", "d", "event_id", 3)
+    return out.withColumn("waited", F.round("waited", 3)).withColumn("finished", F.round("finished", 3))
+
+
 @_query(
     "with recursive s as (select endpoint, row_number() over (partition by endpoint order by event_id) as r, case when status_code = 429 or status_code >= 500 then -1 else 1 end as x, count(*) over (partition by endpoint) as last from fx_signals), "
     "f as (select distinct endpoint, cast(0 as bigint) as r, cast(10 as bigint) as lim, cast(0 as bigint) as wins, cast(0 as bigint) as ups, cast(0 as bigint) as downs, last from s "

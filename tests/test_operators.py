@@ -298,3 +298,28 @@ def test_job_invariants(spark, tmp_path):
     stored = done.withColumn("status", F.when(F.col("error_code").isNull() & F.col("status_code").between(200, 299), "completed").otherwise("failed")).withColumn("attempts", F.lit(1))
     again = job.run(job_lines(spark), CHAT, lambda rows: 1 / 0 if rows else [], registry, stored)
     assert sorted(map(tuple, results.artifacts(results.result_lines(again)).collect())) == sorted(map(tuple, results.artifacts(lines).collect()))
+
+
+def test_writes(spark):
+    from batchloom.operators import mutations
+
+    table = spark.createDataFrame([("a", 1)], "id string, v long")
+    assert mutations.insert(table, spark.createDataFrame([(2, "b")], "v long, id string")).count() == 2
+    with pytest.raises(ValueError, match="v"):
+        mutations.insert(table, spark.createDataFrame([("b",)], "id string"))
+    pods = spark.createDataFrame([("p", True), ("q", False)], "processor_id string, ready boolean")
+    assert [r[0] for r in mutations.live_processors(pods).collect()] == ["p"]
+    ends = mutations.resolve_endpoints(spark.createDataFrame([("m",), ("n",)], "model string"), spark.createDataFrame([("m", "u")], "model string, url string"), "all")
+    assert {r["model"]: r["target"] for r in ends.collect()} == {"m": "u", "n": "all"}
+    made = mutations.create_rows(spark.createDataFrame([("i", "t", 10, 5), ("j", "t", 0, 5)], "id string, tenant_id string, created_at long, window_s long"))
+    assert {r["id"]: (r["status"], r["priority"]) for r in made.collect()} == {"i": ("validating", 15_000_000), "j": ("validating", 0)}
+    kept = lifecycle.keep_if_empty(F.lit(""), F.lit("old"))
+    assert spark.range(1).select(kept.alias("x"), lifecycle.finalize_status(F.lit(True)).alias("y")).first()[:] == ("old", "cancelled")
+
+
+def test_slots(spark):
+    rows = [("e", i, a, d) for i, (a, d) in enumerate([(0, 10), (0, 10), (1, 5), (30, 1)])]
+    df = spark.createDataFrame(rows, "k string, o long, a long, d long")
+    assert tuple(analysis.slot_schedule(df, "k", "a", "d", "o", 2).first()) == ("e", 4, 9.0, 31.0)
+    points = analysis.sweep(spark.createDataFrame([(1, 5, 2.0)], "scenario int, rate int, v double"), "v")
+    assert json.loads(analysis.sweep_json(points).first()["document"]) == {"scenario": 1, "points": [{"rate": 5, "value": 2.0}]}
