@@ -184,8 +184,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         idf = np.log((1 + total) / (1 + df)) + 1
         quota = max(8, FIT_ROWS // len(langs))
         share = F.create_map(*[F.lit(x) for v in langs for x in (v, min(1.0, quota / counts[v]))])
-        draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-        sample = known.filter(draw < share[F.col("lang")]).select("text", "lang", "part").limit(2 * quota * len(langs))
+        lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+        sample = known.filter(lot < share[F.col("lang")]).select("text", "lang", "part").limit(2 * quota * len(langs))
         weights, t = fit(map_arrow(sample, _vectors, "lang string, part int, at binary, share binary").collect(), idf, langs)
         model = (langs, weights, t)
     shared = spark.sparkContext.broadcast(model)

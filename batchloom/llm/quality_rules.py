@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import draw, map_arrow, materialise
 
 #: Bound of the fitting sample, rows a tree, trees, and bins of the score histogram.
 SAMPLE_ROWS = 4096
@@ -182,8 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("__label")).filter("__label is not null").groupBy("__id").agg(F.max("__label").alias("__label"))
 
-    passing = measured.filter(~failed).select(F.xxhash64("doc_id", *BASE).alias("h"), *FEATURES)
-    sample = passing.orderBy("h", *FEATURES).limit(SAMPLE_ROWS).collect()
+    sample = draw(measured.filter(~failed), SAMPLE_ROWS, "doc_id", *BASE).select(*FEATURES).collect()
     columns = {f: [r[f] for r in sample] for f in FEATURES}
     forests = [(features, Forest(_table(columns, features))) for features in FEATURE_SETS] if len(sample) > 1 else []
     shared = spark.sparkContext.broadcast(forests)

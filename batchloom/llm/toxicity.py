@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow, ship
+from .common import draw, fold, map_arrow, ship
 
 WINDOW_BYTES = 32
 FIT_TOXIC, FIT_ORDINARY = 1500, 4000
@@ -187,8 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("toxic")).filter("toxic is not null").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     part = fold(F.col("__id"))
     known = known.filter(part != 0).withColumn("part", part)
-    draw = lambda kind, n: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(n)
-    chosen = draw(1, FIT_TOXIC).unionAll(draw(0, FIT_ORDINARY))
+    chosen = draw(known.filter("toxic = 1"), FIT_TOXIC, "__id").unionAll(draw(known.filter("toxic = 0"), FIT_ORDINARY, "__id"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).select("toxic", "part", "text").collect()
     seen: dict[bytes, tuple[int, int]] = {}

@@ -108,14 +108,22 @@ def test_ngram_join_splits_large_clusters(spark, monkeypatch):
     assert got == {k: (roots[k], sum(k in p for p in pairs)) for k in range(60)}
 
 
-def test_sizes_bound_differences():
+def test_first_columns_hold_the_common_ones():
+    rng = random.Random(11)
     for percent in (50, 80, 90):
         s = ngram_join.Sizes(percent)
-        for a in range(1, 60):
-            for b in range(a, 60):
-                best = [o for o in range(a + 1) if 100 * o >= percent * (a + b - o)]
-                if best:
-                    assert a + b - 2 * min(best) <= s.differ(a + b) and b <= s.largest_partner(a)
+        for _ in range(4000):
+            base = rng.sample(range(200), rng.randrange(1, 60))
+            a, b = set(base), set(base)
+            for x in (a, b):
+                for _ in range(rng.randrange(6)):
+                    x.discard(rng.choice(base)) if rng.random() < 0.5 else x.add(rng.randrange(200))
+            if not a or not b or a == b or 100 * len(a & b) < percent * len(a | b):
+                continue
+            first = [set(sorted(x)[: s.first_columns(len(x))]) for x in (a, b)]
+            common = first[0] & first[1]
+            assert len(common) >= max(s.needed(len(a)), s.needed(len(b))) >= 1
+            assert len(b) <= s.largest_partner(len(a)) and len(a) <= s.largest_partner(len(b))
 
 
 def test_one_of_each_group_stays(spark):
