@@ -14,7 +14,7 @@ that repeat, and there the bytes before and after align. That gives small indepe
 
 An anchor with more than ``GROUP_ROWS`` different segments is split: windows that begin in the first and
 in the second half of the range share more bytes, whose digest tells the rows apart, and so on until a
-group is small or holds just one window. No group is capped.
+group is small; rows that agree in a whole range become one. No group is capped.
 
 Defined cases: null text is empty; shorter texts have no such string; matches never cross documents, and
 overlapping repeats inside one count; repeated rows are copies; a null id takes part; other columns are not read;
@@ -234,7 +234,11 @@ def _bodies(batches):
 
 
 def _split(bodies: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
-    """Groups of at most GROUP_ROWS rows (grp, key, digest, left, body), and spans (key, digest, spans) of groups of one window."""
+    """Groups of at most GROUP_ROWS rows (grp, key, digest, left, body), and spans (key, digest, spans) found on the way.
+
+    Rows that agree in all bytes of a range's windows are repeated there; just one of them goes on, so a
+    passage that very many texts share soon is one row, in each range that lies inside it.
+    """
     side = LENGTH - GRAM
     rows = bodies.select(F.col("key").alias("grp"), "key", "digest", "left", "body", F.lit(0).alias("x0"), F.lit(side).alias("x1"))
     ready, spans, level = [], [], 0
@@ -244,17 +248,25 @@ def _split(bodies: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFra
             ready.append(rows)
             break
         ready.append(rows.join(hot, "grp", "left_anti"))
-        rest = rows.join(hot, "grp", "left_semi")
-        done = rest.filter("x0 = x1")
-        if done.limit(1).count():  # rows of one window each, more than one to a group
-            spans.append(done.select("key", "digest", F.array(F.struct((-F.col("x0")).alias("s"), (LENGTH - F.col("x0")).alias("e"))).alias("spans")))
-        middle = F.floor((F.col("x0") + F.col("x1")) / 2).cast("int")
-        rest = rest.filter("x0 < x1").select("grp", "key", "digest", "left", "body", F.inline(F.array(F.struct(F.col("x0"), middle.alias("x1")), F.struct((middle + 1).alias("x0"), F.col("x1")))))
-        size = LENGTH - F.col("x1") + F.col("x0")
-        fits = (F.col("left") >= F.col("x0")) & (F.octet_length("body") - F.col("left") >= LENGTH - F.col("x1"))
-        core = F.substring("body", F.col("left") - F.col("x0") + 1, size)
         level += 1
-        rows = scratch.table(rest.filter(fits).select(F.xxhash64("grp", "x0", "x1", core).alias("grp"), "key", "digest", "left", "body", "x0", "x1"), f"split-{level}")
+        middle = F.floor((F.col("x0") + F.col("x1")) / 2).cast("int")
+        halves = F.filter(F.array(F.struct(F.col("x0"), middle.alias("x1")), F.struct((middle + 1).alias("x0"), F.col("x1"))), lambda h: h["x0"] <= h["x1"])
+        rest = rows.join(hot, "grp", "left_semi").select("grp", "key", "digest", "left", "body", F.inline(halves))
+        left, x0, x1 = F.col("left"), F.col("x0"), F.col("x1")
+        rest = rest.filter((left >= x0) & (F.octet_length("body") - left >= LENGTH - x1))
+        core = F.substring("body", left - x0 + 1, LENGTH - x1 + x0)
+        first = F.greatest(left - x1, F.lit(0))
+        whole = F.substring("body", first + 1, left + LENGTH - x0 - first)
+        rest = rest.select(F.xxhash64("grp", "x0", "x1", core).alias("grp"), "key", "digest", "left", "body", "x0", "x1", F.xxhash64(left - first, whole).alias("whole"))
+        rest = scratch.table(rest, f"split-{level}")
+        alike = rest.groupBy("grp", "whole").agg(F.count("*").alias("__n"), F.min(F.struct("key", "digest")).alias("__one")).filter("__n > 1").select("grp", "whole", "__one")
+        alike = scratch.table(alike, f"alike-{level}")
+        span = F.array(F.struct((-F.col("x1")).alias("s"), (LENGTH - F.col("x0")).alias("e")))
+        found = rest.select("grp", "whole", "key", "digest", "left", "x0", "x1", F.octet_length("body").alias("size")).join(alike, ["grp", "whole"])
+        inside = F.transform(span, lambda x: F.struct(F.greatest(x["s"], -F.col("left")).alias("s"), F.least(x["e"], F.col("size") - F.col("left")).alias("e")))
+        spans.append(found.select("key", "digest", inside.alias("spans")))
+        rows = rest.join(alike, ["grp", "whole"], "left").filter(F.col("__one").isNull() | (F.struct("key", "digest") == F.col("__one")))
+        rows = scratch.table(rows.select("grp", "key", "digest", "left", "body", "x0", "x1"), f"rows-{level}")
     out = ready[0]
     for r in ready[1:]:
         out = out.unionByName(r)
@@ -294,8 +306,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = scratch.table(map_arrow(dealt, _indexed, "key long, digest long, spans array<struct<s:int,e:int>>"), "marked")
     for s in spans:
         marked = marked.unionByName(s)
+    # One row a segment: a segment with copies is repeated as a whole, others gather their groups' spans.
+    copied = equal.filter("copies > 1").select("key", "digest")
+    marked = marked.join(copied, ["key", "digest"], "left_anti").groupBy("key", "digest").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     whole = F.array(F.struct(F.lit(GRAM - LENGTH).alias("s"), F.lit(LENGTH).alias("e")))
-    marked = marked.unionByName(equal.filter("copies > 1").select("key", "digest", whole.alias("spans")))
+    marked = marked.unionByName(copied.withColumn("spans", whole))
     in_group = members.filter("differ").select("doc", "version", "place", "key", "digest").join(marked, ["key", "digest"]).select("doc", "version", "place", "spans")
     alike = members.filter("not differ").select("doc", "version", "place", whole.alias("spans"))
     moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("place")).alias("s"), (x["e"] + F.col("place")).alias("e")))
