@@ -90,6 +90,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines")).alias("n_lines"), F.col("__n_copies").alias("n_copies"), F.col("__n_near").alias("n_near"),
+        F.col("__n_links").alias("n_links"), F.array_join("__sources", ",").alias("sources"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
@@ -112,17 +113,20 @@ p as (
   select * from (
     select *, coalesce(list_position(list_transform(range(1, na + 1), lambda i: substr(la, i, 1) = substr(lb, i, 1)), false), na + 1) - 1 as pre from c)
   where substr(la, pre + 2) = substr(lb, case when na = nb then pre + 2 else pre + 1 end)),
-near as (
-  select distinct line from (
-    select la as line from p where (bd, bn) < (ad, an) union all select lb from p where (ad, an) < (bd, bn))),
+q as (select la as line, lb as o, bd as od, bn as onr, ad as d, an as nr from p union select lb, la, ad, an, bd, bn from p),
+links as (select line, count(*) as k from q group by line),
+near as (select line, min(od) as source from q where (od, onr) < (d, nr) group by line),
 v as (
-  select e.doc_id, e.no, near.line is not null as is_near, near.line is null and (g.d0, g.n0) < (e.doc_id, e.no) as is_copy
-  from e join g on e.line = g.line left join near on e.line = near.line)
+  select e.doc_id, e.no, near.line is not null as is_near, near.line is null and (g.d0, g.n0) < (e.doc_id, e.no) as is_copy,
+         case when near.line is not null then near.source when (g.d0, g.n0) < (e.doc_id, e.no) then g.d0 end as source, coalesce(links.k, 0) as k
+  from e join g on e.line = g.line left join near on e.line = near.line left join links on e.line = links.line)
 select d.doc_id,
        cast(case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as bigint) as n_lines,
        cast(coalesce(x.n_copies, 0) as bigint) as n_copies, cast(coalesce(x.n_near, 0) as bigint) as n_near,
+       cast(coalesce(y.n_links, 0) as bigint) as n_links, coalesce(y.sources, '') as sources,
        sha256(coalesce(case when x.doc_id is null then d.text else k.kept end, '')) as kept_sha256
 from documents d
+left join (select doc_id, sum(k) as n_links, array_to_string(list_sort(list(distinct source) filter (source is not null)), ',') as sources from v group by doc_id) y on d.doc_id = y.doc_id
 left join (select doc_id, count(*) filter (is_copy) as n_copies, count(*) filter (is_near) as n_near from v where is_copy or is_near group by doc_id) x on d.doc_id = x.doc_id
 left join (
   select o.doc_id, string_agg(o.line, chr(10) order by o.no) as kept

@@ -268,8 +268,14 @@ def test_line_dedup(spark):
                 x = rng.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "y" + x[i + 1 :], "ü" + x, x + "!"])
             lines.append(x)
         rows.append((d, "\n".join([*lines, "short"])))
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
-    assert got == brute.kept_lines(rows, line_dedup.MIN_CHARS)
+    found = line_dedup.dedup_lines(docs(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == brute.kept_lines(rows, line_dedup.MIN_CHARS)
+    each = {d: [x for x in (t or "").split("\n") if len(x) >= line_dedup.MIN_CHARS] for d, t in rows}
+    every = {x for xs in each.values() for x in xs}
+    near = {x: sum(x != y and abs(len(x) - len(y)) <= 1 and brute.edits(x, y) <= 1 for y in every) for x in every}
+    assert {r["doc_id"]: r["__n_links"] for r in found} == {d: sum(near[x] for x in xs) for d, xs in each.items()}
+    for r in found:
+        assert all(s <= r["doc_id"] for s in r["__sources"]) and bool(r["__sources"]) == bool(r["__n_copies"] + r["__n_near"])
 
 
 @pytest.mark.parametrize("k", [1, 2, 3])
