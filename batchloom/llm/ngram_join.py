@@ -1,11 +1,15 @@
 """N-gram Jaccard join: a blocked sparse matrix product of the document by n-gram incidence matrix.
 
-Columns (n-grams, as 64-bit hashes) are cut into M blocks by their hash, with M one more than the most
-n-grams in which two linked documents of a size class can differ: such a pair agrees on a whole block, so
-only documents that share a block's digest can be linked. Documents that are connected by shared digests
-make a cluster, and only clusters are multiplied: cut by size into row blocks of bounded weight, block by
-block of rows whose sizes allow a link, overlaps are accumulated over column blocks, and a pair is
-discarded as soon as the overlap it could still reach is below the bound that its two sizes give.
+Columns (n-grams, as 64-bit hashes) have one order for all rows. Two linked rows agree in their first k
+common columns, and these lie in each row's first columns, whose number follows from its size; so only
+those columns are counted and matched. Of them a row needs its rarest ones alone: as many as it can have
+without a partner, and one more. A row with too few columns that any other row has there is out, so a
+line or passage that very many documents share brings no candidates by itself.
+
+Documents that are connected by such columns make a cluster, and only clusters are multiplied: cut by
+size into row blocks of bounded weight, block by block of rows whose sizes allow a link, overlaps are
+accumulated over column blocks, and a pair is discarded as soon as the overlap it could still reach is
+below the bound that its two sizes give.
 
 Documents with equal sets are one row of the matrix, so copies make no pairs. Every product of row blocks
 gives links as counts and a spanning forest; components follow by star rounds. Nothing grows with a
@@ -19,8 +23,6 @@ no rows.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -79,35 +81,26 @@ class Sizes:
         while self.starts[-1] <= most:
             self.starts.append(max(self.starts[-1] + 1, -(-self.starts[-1] * 100 // percent)))
 
-    def differ(self, total: int) -> int:
-        """Most n-grams in just one of two linked sets whose sizes add up to ``total``: with overlap o,
-        100 o >= percent (total - o)."""
-        return total - 2 * -(-self.percent * total // (100 + self.percent))
+    def least_overlap(self, n: int) -> int:
+        """Fewest n-grams that a set of n shares with any set it is linked with."""
+        return -(-self.percent * n // 100)
 
-    def largest_partner(self, n: int) -> int:
-        return 100 * n // self.percent
+    def common(self, n: int) -> int:
+        """k: how many common columns the first columns of a row of n reach at least."""
+        return 1 + (n - self.least_overlap(n)) // 2
 
+    def first_columns(self, n: int) -> int:
+        """Columns of a row of n that hold its first ``common(n)`` common ones; none if only equal sets can be linked."""
+        if n == self.least_overlap(n) and self.largest_partner(n) == n:
+            return 0
+        return min(n, n - self.least_overlap(n) + self.common(n))
 
-def digests(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Digests of the column blocks of a set, for its own class of sizes and, if a partner can be there, the next."""
-    n = len(grams)
-    if not n:
-        return np.empty(0, dtype=np.uint64)
-    partner = sizes.largest_partner(n)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(grams + _K[1]), dtype=np.uint64)])
-    out = []
-    k = bisect_right(sizes.starts, n) - 1
-    while sizes.starts[k] <= max(n, partner):
-        top = sizes.starts[k + 1] - 1
-        blocks = max(sizes.differ(t) for t in (2 * top, 2 * top - 1)) + 1
-        if blocks > 1:  # else only equal sets can be linked, and those are one row
-            # Hashes are sorted, and a block is a range of them.
-            edges = np.searchsorted(grams >> np.uint64(32), (np.arange(blocks + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(blocks))
-            sums = total[edges[1:]] - total[edges[:-1]]
-            which = np.arange(blocks, dtype=np.uint64) + np.full(blocks, blocks, dtype=np.uint64) * _K[1]
-            out.append(_mix(sums * _K[0] + _mix(which) + np.diff(edges).astype(np.uint64) * _K[2]))
-        k += 1
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+    def needed(self, n: int) -> int:
+        """Common columns that a row of n shares with a partner of any size."""
+        return self.common(self.least_overlap(n))
+
+    def largest_partner(self, n: int) -> int:
+        return 100 * n // self.percent
 
 
 def _sketch(n: int, percent: int):
@@ -115,12 +108,13 @@ def _sketch(n: int, percent: int):
 
     def rows(batches):
         for b in batches:
-            out: dict[str, list] = {"doc": b["doc"], "version": b["version"], "n": [], "key": [], "blocks": []}
+            out: dict[str, list] = {"doc": b["doc"], "version": b["version"], "n": [], "key": [], "need": [], "first": []}
             for raw in b["raw"]:
                 g = gram_set(raw, n)
                 out["n"].append(len(g))
                 out["key"].append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
-                out["blocks"].append(digests(g, sizes).view(np.int64))
+                out["need"].append(sizes.needed(len(g)) if len(g) else 0)
+                out["first"].append(g[: sizes.first_columns(len(g)) if len(g) else 0].view(np.int64))
             yield out
 
     return rows
@@ -255,14 +249,20 @@ def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col
     scratch = Scratch(spark, "ngram-join")
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("doc"), row_version(id_col, text_col).alias("version"), raw_text(text_col).alias("raw"))
-    sketch = scratch.table(map_arrow(source, _sketch(n, percent), f"doc {kind}, version long, n long, key binary, blocks array<long>"), "sketch")
+    sketch = scratch.table(map_arrow(source, _sketch(n, percent), f"doc {kind}, version long, n long, key binary, need int, first array<long>"), "sketch")
     # Equal sets are one row of the matrix; at names one of its documents.
     at = F.struct("doc", "version")
-    rows = sketch.filter("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("first"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
+    rows = sketch.filter("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("least"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("first").alias("first"))
     rows = scratch.table(rows.withColumn("cid", F.monotonically_increasing_id()), "rows")
-    entries = rows.select("cid", F.explode("blocks").alias("block"))
-    met = entries.groupBy("block").agg(F.min("cid").alias("least"), F.count("*").alias("__n")).filter("__n > 1").select("block", "least")
-    meets = scratch.table(entries.join(met, "block").filter("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct(), "meets")
+    entries = rows.select("cid", F.explode("first").alias("gram"))
+    met = entries.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1")
+    shared = entries.join(met, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("rows", "gram"))).alias("shared"))
+    rarest = F.slice("shared", 1, F.size("shared") - F.col("need") + 1)
+    chosen = shared.join(rows.select("cid", "need"), "cid").filter(F.size("shared") >= F.col("need")).select("cid", F.explode(rarest).alias("g")).select("cid", F.col("g.gram").alias("gram"))
+    chosen = scratch.table(chosen, "columns")
+    least = chosen.groupBy("gram").agg(F.min("cid").alias("least"), F.count("*").alias("__n")).filter("__n > 1").select("gram", "least")
+    meets = scratch.table(chosen.join(least, "gram").filter("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct(), "meets")
+    scratch.drop("columns")
     clusters = components(meets, scratch, "clusters")
     clusters = scratch.table(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct()), "clustered")
     members = rows.select("cid", "n", "copies", "at").join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
@@ -278,7 +278,7 @@ def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col
     scratch.drop("meets", "clustered", "texts", "row-blocks")
     roots = components(found.filter("v is not null").select("u", "v"), scratch, "components")
     links = found.filter("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
-    named = rows.select("cid", "key", "copies", "first").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = rows.select("cid", "key", "copies", F.col("least").alias("first")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = scratch.table(named.join(least, "root").join(links, "cid", "left").select("key", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
     out = sketch.select("doc", "version", "n", "key").join(named, "key", "left")
