@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch: texts may be long, and a worker holds one batch at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _shipped: set[str] = set()
 

@@ -36,7 +36,7 @@ BLOCK_DOCS = 1200
 BLOCK_GRAMS = 1_000_000
 COLUMNS = 2048
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _K = tuple(np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _words: dict[bytes, int] = {}
