@@ -104,7 +104,7 @@ def api_error_type(code: Column) -> Column:
 
 def should_retry(code: Column, dropped_reason: Column) -> Column:
     """Network errors (null code) and 5xx are retried, 429 and 503 unless the request was dropped for its deadline."""
-    fresh = ~dropped_reason.eqNullSafe(F.lit("ttl-expired"))
+    fresh = ~dropped_reason.eqNullSafe(F.lit(S.DROPPED_LATE))
     return F.when(code.isNull(), F.lit(True)).when(code.isin(429, 503), fresh).otherwise(code >= 500)
 
 

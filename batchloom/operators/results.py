@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import not_executed_message, result_error, result_key, succeeded
+from ..schemas import DROPPED_LATE
 
 ROUTES = ("output", "error")
 
@@ -126,7 +127,7 @@ def normalise_sync(results: DataFrame) -> DataFrame:
     unreadable = (body != "") & ~(F.try_parse_json(body).isNotNull() & F.trim(body).startswith("{"))
     code = (
         F.when(status <= 0, F.coalesce(F.col("category"), F.lit("SERVER_ERROR")))
-        .when((status != 200) & (F.col("dropped_reason") == "ttl-expired"), "batch_expired")
+        .when((status != 200) & (F.col("dropped_reason") == DROPPED_LATE), "batch_expired")
         .when((status == 200) & unreadable, "PARSE_ERROR")
     )
     return results.withColumn("code_out", code).withColumn("status_out", F.when(code.isNull(), status))

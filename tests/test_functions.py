@@ -78,7 +78,7 @@ def test_http(spark, code, category, kind, api):
     assert tuple(row) == (category, kind, api)
 
 
-@pytest.mark.parametrize("code,dropped,want", [(429, None, True), (429, "ttl-expired", False), (503, "ttl-expired", False), (500, "ttl-expired", True), (404, None, False), (None, None, True)])
+@pytest.mark.parametrize("code,dropped,want", [(429, None, True), (429, "rejected-ttl-expired", False), (503, "rejected-ttl-expired", False), (500, "rejected-ttl-expired", True), (404, None, False), (None, None, True)])
 def test_retry(spark, code, dropped, want):
     df = spark.createDataFrame([(code, dropped)], "c int, d string")
     assert df.select(fn.should_retry(F.col("c"), F.col("d")).alias("x")).first()["x"] is want

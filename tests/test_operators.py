@@ -150,7 +150,7 @@ def test_async_results(spark):
 
 
 def test_sync_results(spark):
-    rows = [(0, "RATE_LIMIT", None, None, (None, "RATE_LIMIT")), (429, "RATE_LIMIT", "ttl-expired", None, (None, "batch_expired")), (500, "SERVER_ERROR", None, "x", (500, None)), (200, None, None, "x", (None, "PARSE_ERROR")), (200, None, None, "{}", (200, None))]
+    rows = [(0, "RATE_LIMIT", None, None, (None, "RATE_LIMIT")), (429, "RATE_LIMIT", "rejected-ttl-expired", None, (None, "batch_expired")), (500, "SERVER_ERROR", None, "x", (500, None)), (200, None, None, "x", (None, "PARSE_ERROR")), (200, None, None, "{}", (200, None))]
     df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, status_code int, category string, dropped_reason string, body string")
     assert {r["i"]: (r["status_out"], r["code_out"]) for r in results.normalise_sync(df).collect()} == {i: r[4] for i, r in enumerate(rows)}
 
