@@ -180,11 +180,14 @@ def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, in
     """(u, v, 0) for the edges of a spanning forest, (u, None, links) for a row's number of links."""
     if len(held) < 2:
         return []
-    a = [r for r in held if r[1] == 0]
-    b = [r for r in held if r[1] == 1]
+    square = held[0][1] < 0
+    a = [r for r in held if r[1] <= 0]
+    b = [r for r in held if r[1] > 0]
+    if not a or not (b or square):  # a row block that no row was dealt to
+        return []
     load = lambda part: [gram_set(r[4], n) for r in part]
-    pairs = multiply(load(a), load(b) if b else None, percent)
-    other = b or a
+    pairs = multiply(load(a), None if square else load(b), percent)
+    other = a if square else b
     root: dict[int, int] = {}
     links: dict[int, int] = {}
     out = []
@@ -206,7 +209,7 @@ def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, in
 
 
 def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(cid, cluster, task, side): the products of row blocks that each row takes part in."""
+    """(cid, cluster, task, side): the products of row blocks that each row takes part in; side is -1 in a block's product with itself."""
     bounds = Sizes(percent).starts
     # The class of a size: how many starts are at most the size.
     klass = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col("n")))
@@ -215,7 +218,7 @@ def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
     small = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
     rows = rows.join(whole.select("cluster", small.alias("small")), "cluster")
     task = lambda *parts: F.xxhash64("cluster", *parts)
-    one = rows.filter("small").select("cid", "cluster", "copies", task(F.lit(0)).alias("task"), F.lit(0).alias("side"))
+    one = rows.filter("small").select("cid", "cluster", "copies", task(F.lit(0)).alias("task"), F.lit(-1).alias("side"))
     rest = rows.filter("not small")
     salts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
     parts = rest.groupBy("cluster", "klass").agg(salts.alias("salts"))
@@ -227,7 +230,7 @@ def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
     entry = lambda k1, i, k2, j, side: F.struct(task(F.lit(1), k1, i, k2, j).alias("task"), side.cast("int").alias("side"))
     k, i = F.col("klass"), F.col("mine")
     tasks = F.concat(
-        F.transform(upto(F.col("salts1")), lambda j: entry(k, F.least(i, j), k, F.greatest(i, j), F.when(i > j, 1).otherwise(0))),
+        F.transform(upto(F.col("salts1")), lambda j: entry(k, F.least(i, j), k, F.greatest(i, j), F.when(i == j, -1).when(i > j, 1).otherwise(0))),
         F.transform(upto(F.col("salts2")), lambda j: entry(k, i, k + 1, j, F.lit(0))),
         F.transform(upto(F.col("salts0")), lambda j: entry(k - 1, j, k, i, F.lit(1))),
     )

@@ -108,6 +108,17 @@ def test_ngram_join_splits_large_clusters(spark, monkeypatch):
     assert got == {k: (roots[k], sum(k in p for p in pairs)) for k in range(60)}
 
 
+def test_ngram_join_counts_once_where_a_block_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100)
+    rng = random.Random(4)
+    rows = []
+    for k in range(24):  # pairs of near copies, each in two row blocks; in about half of them one block stays empty
+        w = words(rng, 120, 100_000).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-1]))]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.join(docs(spark, rows), 3, 90).collect()}
+    assert got == {d: (d - d % 2, 1) for d, _ in rows}
+
+
 def test_first_columns_hold_the_common_ones():
     rng = random.Random(11)
     for percent in (50, 80, 90):
