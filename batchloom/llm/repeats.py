@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, raw_text
+from .passages import shared_passages
 
 LENGTH = 400
 GRAM = 200
@@ -284,11 +285,9 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, version, spans): byte spans, unmerged, of every document that holds repeats of LENGTH bytes."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "repeats")
-    source = _source(docs, id_col, text_col)
+def repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, version, spans): byte spans, unmerged, of every row of (doc, version, raw) that holds repeats of LENGTH bytes."""
+    spark = source.sparkSession
     kind = dict(source.dtypes)["doc"]
     found = scratch.table(map_arrow(source, _anchors, f"doc {kind}, version long, place array<int>, key array<long>, digest array<long>"), "anchors")
     each = found.select("doc", "version", F.inline(F.arrays_zip("place", "key", "digest")))
@@ -326,7 +325,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _removed(batches):
     for b in batches:
-        out: dict[str, list] = {"doc_id": b["doc"]} | {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
+        out: dict[str, list] = {"doc_id": b["doc"]} | {k: b[k] for k in ("n_passages", "n_passage_words")} | {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
         for raw, spans in zip(b["raw"], b["spans"]):
             runs = merged([(s["s"], s["e"]) for s in spans or ()], len(raw))
             kept, at = hashlib.sha256(), 0
@@ -343,9 +342,19 @@ def _removed(batches):
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document; spans are the maximal removed runs."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passages, n_passage_words) of every document; spans are
+    the maximal removed runs. Passages are shared runs of more than 50 words: words may be short, so such a run may have
+    less than LENGTH bytes; it is counted, and nothing of it is removed for that."""
     source = _source(docs, id_col, text_col)
     kind = dict(source.dtypes)["doc"]
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), "spans")
-    joined = source.join(spans.hint("merge"), (F.col("version") == F.col("__version")) & F.col("doc").eqNullSafe(F.col("__doc")), "left")
-    return map_arrow(joined.select("doc", "raw", "spans"), _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>")
+    scratch = Scratch(docs.sparkSession, "repeats")
+    passages = shared_passages(source, scratch)
+    spans = repeated_spans(source, scratch)
+    same = F.col("doc").eqNullSafe(F.col("p_doc")) & (F.col("version") == F.col("p_version"))
+    marks = spans.join(passages.withColumnsRenamed({"doc": "p_doc", "version": "p_version"}), same, "full").select(
+        F.when(F.col("version").isNull(), F.col("p_doc")).otherwise(F.col("doc")).alias("__doc"), F.coalesce("version", "p_version").alias("__version"), "spans", "n_passages", "n_passage_words"
+    )
+    joined = source.join(marks.hint("merge"), (F.col("version") == F.col("__version")) & F.col("doc").eqNullSafe(F.col("__doc")), "left")
+    zero = F.lit(0).cast("long")
+    rows = joined.select("doc", "raw", "spans", F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_passage_words", zero).alias("n_passage_words"))
+    return map_arrow(rows, _removed, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>, n_passages long, n_passage_words long")

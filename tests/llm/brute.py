@@ -100,3 +100,20 @@ def kept_lines(rows, least):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def passages(texts, size):
+    """(passages, words in them) of each text: runs of words covered by windows that another text, or a copy, holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - size + 1):
+            holders.setdefault(tuple(w[i : i + size]), set()).add(k)
+    out = []
+    for k, w in enumerate(split):
+        hit = bytearray(len(w))
+        for i in range(len(w) - size + 1):
+            if len(holders[tuple(w[i : i + size])]) > 1:
+                hit[i : i + size] = b"\1" * size
+        out.append((sum(1 for i, h in enumerate(hit) if h and (not i or not hit[i - 1])), sum(hit)))
+    return out
