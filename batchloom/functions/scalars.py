@@ -153,6 +153,11 @@ def priority_us(created_at: Column, window: Column) -> Column:
     return F.when((created_at > 0) & window.isNotNull() & (window != 0), ((created_at + window) * 1_000_000).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def job_times(created_at: Column, started_at: Column, ended_at: Column) -> tuple[Column, Column]:
+    """(queue wait, end-to-end latency) in seconds: from creation to the start and to the final status; null while that is open."""
+    return started_at - created_at, ended_at - created_at
+
+
 def human_duration(seconds: Column) -> Column:
     minutes = F.floor(seconds / 60)
     hours, rest = F.floor(minutes / 60), minutes % 60

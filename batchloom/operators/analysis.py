@@ -97,6 +97,24 @@ def slot_schedule(requests: DataFrame, key: str, arrival: str, duration: str, or
     return folded.select(key, "requests", F.col("s.waited").alias("waited"), F.array_max("s.free").alias("finished"))
 
 
+def two_level_schedule(requests: DataFrame, pool: str, endpoint: str, endpoints: int, arrival: str, duration: str, order: str, slots: int, pool_slots: int) -> DataFrame:
+    """Per pool, what two levels of bounded concurrency cost: a request, in order, takes a slot of its endpoint (numbered from 0),
+    then one of the pool, and starts when it has both. (pool, requests, waited, finished) as in ``slot_schedule``; a pool's requests are folded in one row."""
+    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(endpoint).alias("e"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))))
+    free = lambda n: F.array_repeat(F.lit(0.0), n)
+    start = F.struct(F.array_repeat(free(slots), endpoints).alias("ends"), free(pool_slots).alias("free"), F.lit(0.0).alias("waited"), F.lit(0.0).alias("done"))
+
+    def place(state: Column, r: Column) -> Column:
+        begin = F.greatest(state["ends"][r["e"]][0], state["free"][0], r["a"])
+        end = begin + r["d"]
+        taken = lambda x, n: F.array_sort(F.array_append(F.slice(x, 2, n), end))
+        ends = F.transform(state["ends"], lambda x, i: F.when(i == r["e"], taken(x, slots)).otherwise(x))
+        return F.struct(ends.alias("ends"), taken(state["free"], pool_slots).alias("free"), (state["waited"] + begin - r["a"]).alias("waited"), F.greatest(state["done"], end).alias("done"))
+
+    folded = requests.groupBy(pool).agg(F.count("*").alias("requests"), F.aggregate(steps, start, place).alias("s"))
+    return folded.select(pool, "requests", F.col("s.waited").alias("waited"), F.col("s.done").alias("finished"))
+
+
 def sweep_json(points: DataFrame) -> DataFrame:
     """One JSON document a scenario, as a report reads it."""
     return points.select("scenario", F.to_json(F.struct("scenario", "points")).alias("document"))

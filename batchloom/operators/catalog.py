@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -131,6 +132,13 @@ def events_due(events: DataFrame, now: int, slots: int) -> DataFrame:
     return events.filter(F.col("expires_at") > now).orderBy("id").limit(slots)
 
 
+def deliver_events(events: DataFrame, now: int, full: Column) -> DataFrame:
+    """Unexpired events that are delivered, and so acknowledged: each job's in order, up to the first one whose slot is ``full``."""
+    before = W.partitionBy("job_id").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    stopped = F.max(full.cast("int")).over(before)
+    return events.filter(F.col("expires_at") > now).withColumn("__stopped", stopped).filter("__stopped = 0").drop("__stopped")
+
+
 def purge_events(events: DataFrame, now: int) -> DataFrame:
     """Events a sweep removes. One that expires just now is neither drained nor purged."""
     return events.filter(F.col("expires_at") < now)

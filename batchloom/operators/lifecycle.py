@@ -69,23 +69,26 @@ def claim_owned(items: DataFrame, owner: str) -> DataFrame:
     return mine.withColumn("epoch", F.col("epoch") + 1).withColumn("recovery_attempts", F.col("recovery_attempts") + 1)
 
 
-def enqueue(items: DataFrame, ids: list[str]) -> DataFrame:
-    """Given back to the queue: validating, unowned, a new epoch; other rows as they are."""
-    hit = F.col("id").isin(ids) & ~F.col("status").isin(*S.TERMINAL)
-    return items.withColumns({"status": F.when(hit, "validating").otherwise(F.col("status")), "processor_id": F.when(~hit, F.col("processor_id")), "epoch": F.col("epoch") + hit.cast("int")})
-
-
 def renew_leases(items: DataFrame, owner: str, epoch: int, now_s: int, ttl_s: int = S.LEASE_S) -> DataFrame:
     """Leases of rows that pass the fence move on; others stay."""
     return items.withColumn("lease_at", F.when(owned_fence(owner, epoch, now_s), F.lit(now_s + ttl_s)).otherwise(F.col("lease_at")))
 
 
-def activate(batch: DataFrame, entries: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Entries of jobs that are activated: still validating, not resumable yet, and without entries. Rejected requests start as failed with no attempt."""
-    ready = batch.filter((F.col("status") == "validating") & ~F.col("resumable")).select(F.col("id").alias("batch_id")).join(entries.select("batch_id").distinct(), "batch_id", "left_anti")
-    rows = manifest.join(ready, "batch_id")
-    status = F.when(F.col("rejected"), "failed").otherwise("pending")
-    return rows.select("batch_id", "ordinal", "custom_id", status.alias("status"), F.lit(0).cast("long").alias("attempts"), F.when(F.col("rejected"), "model_not_found").alias("error_code"))
+def activate(items: DataFrame, entries: DataFrame, manifest: DataFrame, claims: DataFrame, now_s: int, ttl_s: int = S.LEASE_S) -> tuple[DataFrame, DataFrame]:
+    """(new entries, activated items) of the claims (batch_id, owner, at_epoch) that hold: still validating, not resumable, without entries.
+
+    ``manifest`` (batch_id, ordinal, custom_id, status, error_code) must name entries of a batch for it to be activated. Entries
+    start without an attempt; one that starts as failed is done at once. The item is in progress, resumable and leased.
+    """
+    kept = items.join(claims.select(F.col("batch_id").alias("id"), "owner", "at_epoch"), "id")
+    fence = (F.col("processor_id") == F.col("owner")) & (F.col("epoch") == F.col("at_epoch")) & (F.col("status") == "validating") & ~F.col("resumable")
+    ready = kept.filter(fence).select(F.col("id").alias("batch_id")).join(entries.select("batch_id").distinct(), "batch_id", "left_anti").join(manifest.select("batch_id").distinct(), "batch_id", "left_semi")
+    new = manifest.join(ready, "batch_id", "left_semi").select(
+        "batch_id", "ordinal", "custom_id", "status", F.lit(0).cast("long").alias("attempts"), "error_code", F.when(F.col("status") == "failed", F.lit(now_s).cast("long")).alias("completed_at")
+    )
+    long = lambda x: F.lit(x).cast("long")
+    begun = items.join(ready.withColumnRenamed("batch_id", "id"), "id", "left_semi").withColumns({"status": F.lit("in_progress"), "in_progress_at": long(now_s), "resumable": F.lit(True), "lease_at": long(now_s + ttl_s)})
+    return new, begun
 
 
 def violations(log: DataFrame) -> DataFrame:
@@ -122,9 +125,18 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def migrate_priority(items: DataFrame) -> DataFrame:
-    """Old rows take their deadline from a tag, and an owner in place of an empty one."""
-    old = (F.col("priority") == 0) & F.element_at("tags", F.lit("slo_unix_micro")).isNotNull()
-    return items.withColumn("priority", F.when(old, F.element_at("tags", F.lit("slo_unix_micro")).try_cast("long")).otherwise(F.col("priority")))
+    """Rows from before the queue: a deadline that is null comes from a tag, and an owner that reconciliation takes for dead goes to running rows without one.
+
+    Resumable rows have no owner while they wait for their next claim, and keep none.
+    """
+    tag = F.element_at("tags", F.lit("slo_unix_micro"))
+    orphan = F.col("processor_id").isNull() & ~F.col("resumable") & F.col("status").isin("in_progress", "finalizing", "cancelling")
+    return items.withColumns(
+        {
+            "priority": F.when(F.col("priority").isNull(), tag.try_cast("long")).otherwise(F.col("priority")),
+            "processor_id": F.when(orphan, F.lit(S.BEFORE_QUEUE)).otherwise(F.col("processor_id")),
+        }
+    )
 
 
 def upsert_identical(new: DataFrame, stored: DataFrame, keys: list[str], body: list[str]) -> DataFrame:
@@ -138,7 +150,7 @@ def triage(items: DataFrame, live: DataFrame, now_s: int) -> DataFrame:
     """Adds ``action`` to owned open jobs that need one: cancelled, failed or requeue; a live owner with a lease keeps its job."""
     owned = items.filter(F.col("processor_id").isNotNull() & ~F.col("status").isin(*S.TERMINAL))
     alive = live.select(F.col("processor_id").alias("__live")).distinct()
-    rows = owned.join(F.broadcast(alive), F.col("processor_id") == F.col("__live"), "left").withColumn("alive", F.col("__live").isNotNull())
+    rows = owned.join(alive, F.col("processor_id") == F.col("__live"), "left").withColumn("alive", F.col("__live").isNotNull())
     resumable = F.when(~F.col("alive") | ~F.coalesce(F.col("lease_at") > now_s, F.lit(False)), "requeue")
     plain = F.when(F.col("alive"), F.lit(None)).when(F.col("status") == "cancelling", "cancelled").when(past_deadline(now_s), "failed").when(F.col("priority") == 0, "error").otherwise("requeue")
     return rows.withColumn("action", F.when(F.col("resumable"), resumable).otherwise(plain)).filter("action is not null").drop("__live")

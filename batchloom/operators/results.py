@@ -134,11 +134,22 @@ def normalise_sync(results: DataFrame) -> DataFrame:
 
 
 def result_lines(entries: DataFrame) -> DataFrame:
-    """(batch_id, ordinal, route, line) of finished requests, with the line's size and digest."""
-    err = F.when(F.col("error_code").isNotNull(), F.struct(F.col("error_code").alias("code"), not_executed_message(F.col("error_code")).alias("message")))
-    response = F.when(F.col("error_code").isNull(), F.struct(F.col("status_code").cast("int").alias("status_code"), F.col("request_id").alias("request_id"), F.struct(F.lit("chat.completion").alias("object")).alias("body")))
-    doc = F.struct(F.col("request_id").alias("id"), "custom_id", response.alias("response"), err.alias("error"))
-    line = F.concat(F.to_json(doc, {"ignoreNullFields": "false"}), F.lit("\n"))
+    """(batch_id, ordinal, route, line) of finished requests, with the line's size and digest.
+
+    ``body`` is the response's own JSON text and goes into the line as it is; without one the body is null. An error's
+    ``error_message`` is used where the entries have that column and it isn't null, else the code's own text.
+    """
+    text = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    said = not_executed_message(F.col("error_code"))
+    message = F.coalesce(F.col("error_message"), said) if "error_message" in entries.columns else said
+    body = F.coalesce(F.nullif(F.trim("body"), F.lit("")), F.lit("null"))
+    response = F.concat(F.lit('{"status_code":'), F.coalesce(F.col("status_code").cast("string"), F.lit("0")), F.lit(',"request_id":'), text(F.col("request_id")), F.lit(',"body":'), body, F.lit("}"))
+    err = F.concat(F.lit('{"code":'), text(F.col("error_code")), F.lit(',"message":'), text(message), F.lit("}"))
+    failed = F.col("error_code").isNotNull()
+    line = F.concat(
+        F.lit('{"id":'), text(F.col("request_id")), F.lit(',"custom_id":'), text(F.col("custom_id")), F.lit(',"response":'), F.when(failed, "null").otherwise(response),
+        F.lit(',"error":'), F.when(failed, err).otherwise("null"), F.lit("}\n"),
+    )
     return entries.withColumn("line", line).withColumns({"route": route(F.col("error_code")), "bytes": F.octet_length("line").cast("long"), "sha256": F.sha2("line", 256)})
 
 

@@ -30,7 +30,8 @@ VIEWS: dict[str, tuple[str, str]] = {
                case when status = 'validating' or k % 5 = 0 then null else concat('proc-', {{text:k % 7}}) end as processor_id,
                k % 4 as epoch, k % 5 as recovery_attempts, (k % 3 = 0 and status in ('in_progress', 'finalizing', 'cancelling')) as resumable,
                case when k % 3 = 0 then {NOW} + (k % 7 - 3) * 100 else null end as lease_at,
-               case when k % 2 = 0 then created_at + 7776000 else 0 end as expiry, env, team, k, k % 50 + 1 as total
+               case when k % 2 = 0 then created_at + 7776000 else 0 end as expiry, env, team, k, k % 50 + 1 as total,
+               concat(chr(123), '"status":"', status, '","by":', {{text:k % 4}}, chr(125)) as status_document
         from (select o_orderkey as k, concat('batch_', lpad({{text:o_orderkey}}, 8, '0')) as id, concat('tenant_', {{text:o_custkey % 10}}) as tenant_id,
                      case o_orderkey % 8 when 0 then 'validating' when 1 then 'failed' when 2 then 'in_progress' when 3 then 'finalizing'
                           when 4 then 'completed' when 5 then 'expired' when 6 then 'cancelling' else 'cancelled' end as status,
@@ -55,11 +56,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     "entries": ("deliveries", """
         select batch_id, custom_id, ordinal,
                case when p % 10 = 0 then 'pending' when p % 10 = 1 then 'in_flight' when error_code is not null or status_code not between 200 and 299 then 'failed' else 'completed' end as status,
-               case when p % 10 = 0 then 0 else s % 3 + 1 end as attempts, case when p % 10 = 1 then concat('proc-', {text:s % 7}) else null end as submitted_by,
+               case when p % 10 = 0 then 0 else s % 3 + 1 end as attempts, case when p % 10 = 1 and s % 4 <> 0 then concat('proc-', {text:s % 7}) else null end as submitted_by,
                status_code, error_code, result_bytes
         from {deliveries} d where arrival = 1"""),
     "requests": ("conversations", """
-        select conv_id, concat('batch_', {text:conv_id % 10}) as batch_id, conv_id as ordinal, concat('req-', {text:conv_id % 97}) as custom_id,
+        select conv_id, concat('batch_', {text:conv_id % 10}) as batch_id, conv_id as ordinal, concat('req-', {text:conv_id % 40}) as custom_id,
                concat('model-', {text:conv_id % 5}) as model, case when conv_id % 17 = 0 then 'GET' else 'POST' end as method,
                case when conv_id % 19 = 0 then 'http://x/v1' else '/v1/chat/completions' end as url, conv_id % 23 = 0 as stream,
                coalesce(max(case when role = 'system' then text end), '') as system_text, {long:count(*)} as n_messages, {long:sum({bytes:coalesce(text, '')})} as line_bytes

@@ -75,7 +75,7 @@ def dispatch(planned: DataFrame, executor: Callable[[list[dict]], list[dict]]) -
 
 
 def run(lines: DataFrame, endpoint: str, executor: Callable[[list[dict]], list[dict]], registry: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
-    """Finished entries (batch_id, ordinal, custom_id, request_id, status_code, error_code) of all runnable batches.
+    """Finished entries (batch_id, ordinal, custom_id, request_id, status_code, error_code, body) of all runnable batches.
 
     ``done`` are entries of an earlier run: their requests are skipped, and their results kept.
     """
@@ -83,8 +83,8 @@ def run(lines: DataFrame, endpoint: str, executor: Callable[[list[dict]], list[d
     accepted, rejected = split_registered(valid, registry)
     todo = results.skip_terminal(accepted, done) if done is not None else accepted
     answers = dispatch(ingest.plan(todo), executor)
-    columns = ["batch_id", "ordinal", "custom_id", "request_id", "status_code", "error_code"]
-    refused = rejected.withColumn("status_code", F.lit(None).cast("int"))
+    columns = ["batch_id", "ordinal", "custom_id", "request_id", "status_code", "error_code", "body"]
+    refused = rejected.withColumns({"status_code": F.lit(None).cast("int"), "body": F.lit(None).cast("string")})
     out = answers.select(*columns).unionByName(refused.select(*columns))
     if done is not None:
         kept = done.filter(F.col("status").isin("completed", "failed")).join(refused.select("batch_id", "custom_id"), ["batch_id", "custom_id"], "left_anti")

@@ -107,9 +107,9 @@ def owned_open_items(spark, sf):
     return catalog.query(_items(spark, sf), only_non_terminal=True, owned=True).select("id", "processor_id", "status", "epoch")
 
 
-@_query("select id, tenant_id from fx_items where tenant_id = 'tenant_1' and id = 'batch_00000002'")
+@_query("select id, tenant_id from fx_items where tenant_id = 'tenant_1' and k between 1 and 60")
 def tenant_isolation(spark, sf):
-    return catalog.query(_items(spark, sf), tenant="tenant_1", ids=["batch_00000002"]).select("id", "tenant_id")
+    return catalog.query(_items(spark, sf), tenant="tenant_1", ids=[f"batch_{k:08d}" for k in range(1, 61)]).select("id", "tenant_id")
 
 
 @_query(
@@ -362,12 +362,12 @@ def not_executed_requests(spark, sf):
 
 
 @_query(
-    "with l as (select batch_id, custom_id, count(*) as n from fx_deliveries where arrival <= 2 group by 1, 2), a as (select distinct batch_id, custom_id from fx_entries where ordinal <> 7) "
+    "with l as (select batch_id, custom_id, count(*) as n from fx_deliveries group by 1, 2), a as (select distinct batch_id, custom_id from fx_entries where ordinal <> 7) "
     "select coalesce(a.batch_id, l.batch_id) as batch_id, count(a.batch_id) as requests, cast(coalesce(sum(n), 0) as bigint) as lines, count(*) filter (l.batch_id is null) as uncovered, "
     "count(*) filter (a.batch_id is null) as unasked, count(*) filter (n > 1) as repeated from a full join l on a.batch_id = l.batch_id and a.custom_id = l.custom_id group by 1"
 )
 def coverage(spark, sf):
-    d = view(spark, sf, "deliveries").filter("arrival <= 2")
+    d = view(spark, sf, "deliveries")
     return results.coverage(_entries(spark, sf).filter("ordinal <> 7"), d.filter("error_code is null"), d.filter("error_code is not null"))
 
 
@@ -381,13 +381,14 @@ def error_code_counts(spark, sf):
 
 def _lines(spark, sf):
     e = _entries(spark, sf).withColumn("request_id", fn.request_id(c("batch_id"), c("custom_id")))
-    return results.result_lines(e)
+    body = F.when(c("result_bytes") % 5 != 0, F.concat(F.lit('{"object":"chat.completion","id":"'), "custom_id", F.lit('","usage":'), c("result_bytes").cast("string"), F.lit("}")))
+    return results.result_lines(e.withColumn("body", body))
 
 
 @_query(
     "with l as (select batch_id, ordinal, case when error_code is null then 'output' else 'error' end as route, "
-    "'{\"id\":\"' || rid || '\",\"custom_id\":\"' || custom_id || '\",\"response\":' || case when error_code is null then '{\"status_code\":' || coalesce(cast(status_code as varchar), 'null') || ',\"request_id\":\"' || rid || "
-    "'\",\"body\":{\"object\":\"chat.completion\"}}' else 'null' end || ',\"error\":' || case when error_code is null then 'null' else '{\"code\":\"' || error_code || '\",\"message\":\"This request could not be executed.\"}' end || '}' || chr(10) as line "
+    "'{\"id\":\"' || rid || '\",\"custom_id\":\"' || custom_id || '\",\"response\":' || case when error_code is null then '{\"status_code\":' || coalesce(cast(status_code as varchar), '0') || ',\"request_id\":\"' || rid || "
+    "'\",\"body\":' || case when result_bytes % 5 <> 0 then '{\"object\":\"chat.completion\",\"id\":\"' || custom_id || '\",\"usage\":' || result_bytes || '}' else 'null' end || '}' else 'null' end || ',\"error\":' || case when error_code is null then 'null' else '{\"code\":\"' || error_code || '\",\"message\":\"This request could not be executed.\"}' end || '}' || chr(10) as line "
     f"from (select *, 'batch_req_' || {UUID5} as rid from (select *, sha1(unhex('{fn.OID_NAMESPACE}') || encode(batch_id) || unhex('00') || encode(custom_id)) as x from fx_entries))) "
     "select batch_id, route, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes, sha256(string_agg(line, '' order by ordinal)) as sha256 from l group by batch_id, route"
 )
@@ -450,14 +451,14 @@ def entries_after_collection(spark, sf):
     return metrics.counts(left, "batch_id")
 
 
-@_query(f"select id from fx_items where processor_id = 'proc-0' and epoch = 2 and lease_at > {NOW} and resumable and status not in {TERMINAL}")
+@_query(f"select id from fx_items where processor_id = 'proc-5' and epoch = 2 and lease_at > {NOW} and resumable and status not in {TERMINAL}")
 def fenced_rows(spark, sf):
-    return _items(spark, sf).filter(lifecycle.owned_fence("proc-0", 2, NOW)).select("id")
+    return _items(spark, sf).filter(lifecycle.owned_fence("proc-5", 2, NOW)).select("id")
 
 
-@_query(f"select id, case when processor_id = 'proc-0' and epoch = 2 and lease_at > {NOW} and resumable and status not in {TERMINAL} then {NOW} + 300 else lease_at end as lease_at from fx_items")
+@_query(f"select id, case when processor_id = 'proc-5' and epoch = 2 and lease_at > {NOW} and resumable and status not in {TERMINAL} then {NOW} + 300 else lease_at end as lease_at from fx_items")
 def lease_renewal(spark, sf):
-    return lifecycle.renew_leases(_items(spark, sf), "proc-0", 2, NOW).select("id", "lease_at")
+    return lifecycle.renew_leases(_items(spark, sf), "proc-5", 2, NOW).select("id", "lease_at")
 
 
 @_query(f"select id, epoch + 1 as epoch, recovery_attempts + 1 as recovery_attempts from fx_items where processor_id = 'proc-3' and status not in {TERMINAL}")
@@ -465,16 +466,6 @@ def claim_owned(spark, sf):
     return lifecycle.claim_owned(_items(spark, sf), "proc-3").select("id", "epoch", "recovery_attempts")
 
 
-@_query(
-    "select e.batch_id, e.ordinal, e.custom_id, case when e.ordinal = 2 then 'failed' else 'pending' end as status, cast(0 as bigint) as attempts, case when e.ordinal = 2 then 'model_not_found' end as error_code "
-    "from fx_entries e join fx_items i on i.id = e.batch_id where i.status = 'validating' and not i.resumable and not exists (select 1 from fx_entries x where x.batch_id = e.batch_id and x.batch_id < 'batch_00001000')"
-)
-def activation(spark, sf):
-    e = _entries(spark, sf)
-    manifest = e.select("batch_id", "ordinal", "custom_id", (c("ordinal") == 2).alias("rejected"))
-    return lifecycle.activate(_items(spark, sf), e.filter("batch_id < 'batch_00001000'"), manifest)
-
-
 @_query(
     "with recursive n as (select * , max(seq) over (partition by batch_id) as last from fx_transitions), "
     "f as (select distinct batch_id, cast(0 as bigint) as seq, 'validating' as status, cast(0 as bigint) as epoch, cast(null as varchar) as owner, cast(0 as bigint) as applied, cast(0 as bigint) as conflicts, last from n "
@@ -496,9 +487,12 @@ def transition_violations(spark, sf):
     return lifecycle.violations(log)
 
 
-@_query("select id, created_at + window_s as deadline, total - k % total as wait, case when k % 50 + 1 < 100 then '100' else '1000' end as bucket from fx_items")
+@_query("select id, created_at + window_s as deadline, k % 500 as queue_wait, case when status in ('completed', 'failed', 'expired', 'cancelled') then k % 500 + k % 9000 end as e2e, "
+        "case when k % 50 + 1 < 100 then '100' else '1000' end as bucket from fx_items")
 def job_times(spark, sf):
-    return _items(spark, sf).select("id", (fn.priority_us(c("created_at"), c("window_s")) / 1_000_000).cast("long").alias("deadline"), (c("total") - c("k") % c("total")).alias("wait"), fn.size_bucket(c("total")).alias("bucket"))
+    items = _items(spark, sf).withColumns({"started_at": c("created_at") + c("k") % 500, "ended_at": F.when(c("status").isin(*S.TERMINAL), c("created_at") + c("k") % 500 + c("k") % 9000)})
+    wait, e2e = fn.job_times(c("created_at"), c("started_at"), c("ended_at"))
+    return items.select("id", (fn.priority_us(c("created_at"), c("window_s")) / 1_000_000).cast("long").alias("deadline"), wait.alias("queue_wait"), e2e.alias("e2e"), fn.size_bucket(c("total")).alias("bucket"))
 
 
 # ---------------------------------------------------------------- writes
@@ -536,50 +530,6 @@ def counts_update(spark, sf):
     return mutations.set_counts(items, progress).select("id", "total", "completed", "failed")
 
 
-@_query("select id, 'cancelled' as status from fx_items where k between 10 and 500 and status = 'validating' and processor_id is null")
-def cancelled_in_queue(spark, sf):
-    items = _items(spark, sf)
-    return mutations.cancel_if_queued(items, [f"batch_{k:08d}" for k in range(10, 501)]).select("id", "status")
-
-
-@_query(
-    f"select id, 'proc-9' as processor_id, epoch + 1 as epoch, {NOW} + 300 as lease_at from fx_items where id in (select id from fx_items where processor_id is null and "
-    f"((status = 'validating' and not resumable) or (resumable and status not in {TERMINAL})) order by priority, id limit 25)"
-)
-def claimed_jobs(spark, sf):
-    items = _items(spark, sf)
-    return mutations.claim(items, catalog.queue_top(items, 25, S.LEASE_S), "proc-9", NOW, S.LEASE_S).select("id", "processor_id", "epoch", "lease_at")
-
-
-@_query(
-    f"select id, recovery_attempts + 1 as recovery_attempts from fx_items where processor_id is not null and resumable and status not in {TERMINAL} and k % 4 = epoch "
-    f"and (processor_id not in {LIVE_SQL} or not coalesce(lease_at > {NOW}, false))"
-)
-def requeued_orphans(spark, sf):
-    items = _items(spark, sf)
-    seen = items.filter("processor_id is not null").select("id", c("processor_id").alias("owner"), (c("k") % 4).alias("at_epoch"), c("processor_id").isin(*LIVE).alias("owner_alive"))
-    return mutations.requeue_orphans(items, seen, NOW).select("id", "recovery_attempts")
-
-
-@_query(
-    f"select id, case when processor_id = 'proc-2' and epoch = 1 and status not in {TERMINAL} then 'applied' when status = 'completed' then 'same' else 'conflict' end as verdict, "
-    f"case when processor_id = 'proc-2' and epoch = 1 and status not in {TERMINAL} then 'completed' else status end as status from fx_items"
-)
-def terminal_writes(spark, sf):
-    items = _items(spark, sf)
-    return mutations.finalize(items, items.select("id", F.lit("proc-2").alias("owner"), F.lit(1).alias("at_epoch"), F.lit("completed").alias("target")))
-
-
-@_query(
-    "select batch_id, custom_id, case when ordinal = 1 and status in ('pending', 'in_flight') then 'in_flight' else status end as status, "
-    "attempts + case when ordinal = 1 and status in ('pending', 'in_flight') then 1 else 0 end as attempts, case when ordinal = 1 and status in ('pending', 'in_flight') then 'proc-1' else submitted_by end as submitted_by from fx_entries"
-)
-def entries_in_flight(spark, sf):
-    e = _entries(spark, sf)
-    sent = e.filter("ordinal = 1").select("batch_id", "custom_id", F.lit("proc-1").alias("submitter"))
-    return mutations.mark_in_flight(e, sent).select("batch_id", "custom_id", "status", "attempts", "submitted_by")
-
-
 @_query(f"select id, case when epoch <> 1 or status in {TERMINAL} then 'conflict' else 'ok' end as verdict from fx_items")
 def status_checks(spark, sf):
     items = _items(spark, sf)
@@ -594,10 +544,10 @@ def endpoint_resolution(spark, sf):
     return out.select(F.concat(F.lit("r"), c("conv_id").cast("string")).alias("id"), "target")
 
 
-@_query("select conv_id, concat(batch_id, '/', model) as route, n_messages from fx_requests where ordinal % 2 = 0")
+@_query("select conv_id, concat(batch_id, '/', model) as route, n_messages from fx_requests")
 def planned_lines(spark, sf):
     r = view(spark, sf, "requests")
-    entries = ingest.plan(r).filter(c("ordinal") % 2 == 0).select("batch_id", "ordinal", "position")
+    entries = ingest.plan(r).select("batch_id", "ordinal", "position")
     lines = r.select("batch_id", "ordinal", "conv_id", "model", "n_messages")
     return ingest.lines_at(entries, lines).select("conv_id", ingest.route_key(c("batch_id"), c("model"), True).alias("route"), "n_messages")
 
@@ -634,9 +584,9 @@ def token_usage_by_model(spark, sf):
     return metrics.token_usage(s)
 
 
-@_query("select bucket, count(*) as n from (select case when n < 100 then '100' when n < 1000 then '1000' when n < 10000 then '10000' when n < 30000 then '30000' else 'large' end as bucket from (select user_id, count(*) * 40 as n from fx_signals group by user_id)) group by bucket")
+@_query("select bucket, count(*) as n from (select case when n < 100 then '100' when n < 1000 then '1000' when n < 10000 then '10000' when n < 30000 then '30000' else 'large' end as bucket from (select user_id, count(*) * [1, 10, 100, 1000, 10000][user_id % 5 + 1] as n from fx_signals group by user_id)) group by bucket")
 def size_bucket_hist(spark, sf):
-    sizes = view(spark, sf, "signals").groupBy("user_id").agg((F.count("*") * 40).alias("n"))
+    sizes = view(spark, sf, "signals").groupBy("user_id").agg((F.count("*") * F.pow(F.lit(10), c("user_id") % 5)).cast("long").alias("n"))
     return metrics.counts(sizes.withColumn("bucket", fn.size_bucket(c("n"))), "bucket")
 
 
@@ -860,3 +810,6 @@ def shown_durations(spark, sf):
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: what a batch's finalization writes, from raw deliveries."""
     return finalize_counts(spark, sf_dir)
+
+
+from . import queries_rules, queries_writes  # noqa: E402, F401 (they register their queries here)

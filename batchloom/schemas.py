@@ -44,6 +44,8 @@ PROGRESS_S, EVENT_SWEEP_S, LEASE_S, RECOVERY_WINDOW_S = 15, 30, 300, 300
 AIMD_MIN, AIMD_MAX, AIMD_FACTOR, AIMD_STEP = 5, 10, 0.5, 1
 #: Fixed value: why a server drops a request whose deadline has passed.
 DROPPED_LATE = "rejected-ttl-expired"
+#: Fixed value: the owner of rows from before the queue.
+BEFORE_QUEUE = "pre-migration"
 EVENT_TYPES = {0: "cancel", 1: "pause", 2: "resume"}
 
 REQUEST_LINE = "custom_id string, method string, url string, body struct<model:string, stream:boolean, messages:array<struct<role:string, content:variant>>>"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom import schemas as S
-from batchloom.operators import analysis, catalog, ingest, lifecycle, metrics, results
+from batchloom.operators import analysis, catalog, ingest, lifecycle, metrics, mutations, results
 from batchloom.plans import job
 from batchloom.sources import jsonl
 
@@ -210,11 +210,112 @@ def test_upsert(spark):
     assert {r["id"]: r["action"] for r in lifecycle.upsert_identical(new, old, ["id"], ["bytes"]).collect()} == {"a": "reuse", "b": "conflict", "c": "insert"}
 
 
-def test_enqueue_and_migrate(spark):
-    df = spark.createDataFrame([("a", "in_progress", "p", 1, 0, {"slo_unix_micro": "77"}), ("b", "completed", "p", 1, 5, {})], "id string, status string, processor_id string, epoch long, priority long, tags map<string,string>")
-    got = {r["id"]: r for r in lifecycle.migrate_priority(lifecycle.enqueue(df, ["a", "b"])).collect()}
-    assert (got["a"]["status"], got["a"]["processor_id"], got["a"]["epoch"], got["a"]["priority"]) == ("validating", None, 2, 77)
-    assert (got["b"]["status"], got["b"]["processor_id"], got["b"]["epoch"], got["b"]["priority"]) == ("completed", "p", 1, 5)
+def test_migrate(spark):
+    item = "id string, status string, processor_id string, resumable boolean, priority long, tags map<string,string>"
+    tag = {"slo_unix_micro": "77"}
+    rows = [("old", "in_progress", None, False, None, tag), ("zero", "completed", "p", False, 0, tag), ("waits", "in_progress", None, True, 5, {}), ("fresh", "validating", None, False, None, {})]
+    got = {r["id"]: (r["processor_id"], r["priority"]) for r in lifecycle.migrate_priority(spark.createDataFrame(rows, item)).collect()}
+    assert got == {"old": (S.BEFORE_QUEUE, 77), "zero": ("p", 0), "waits": (None, 5), "fresh": (None, None)}
+
+
+CATALOGUE = "id string, status string, status_document string, processor_id string, epoch long, resumable boolean, lease_at long, recovery_attempts long"
+ENTRY = "batch_id string, custom_id string, status string, attempts long, submitted_by string, error_code string, result_bytes long"
+
+
+def stored(spark, status="in_progress", owner="p", epoch=3, resumable=True, lease=1100):
+    return spark.createDataFrame([("b", status, '{"status":"%s"}' % status, owner, epoch, resumable, lease, 2)], CATALOGUE)
+
+
+def claims(spark, owner="p", epoch=3, **more):
+    return spark.createDataFrame([("b", owner, epoch)], "id string, owner string, at_epoch long").withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+def test_enqueue_fence(spark):
+    job = claims(spark, expected_status="in_progress")
+    got = mutations.enqueue(stored(spark, resumable=False), job).first()
+    assert (got["status"], got["processor_id"], got["epoch"]) == ("validating", None, 4)
+    for state in (dict(), dict(resumable=False, epoch=4), dict(resumable=False, owner="q"), dict(resumable=False, status="finalizing"), dict(resumable=False, status="completed")):
+        assert mutations.enqueue(stored(spark, **state), job).count() == 0
+
+
+def test_requeue_orphan(spark):
+    out = mutations.requeue_orphans(stored(spark), claims(spark, need_lapsed=False), 1000)
+    got = out.first()
+    assert (got["status"], got["processor_id"], got["lease_at"], got["epoch"], got["recovery_attempts"]) == ("in_progress", None, None, 4, 3)
+    assert mutations.requeue_orphans(stored(spark), claims(spark, need_lapsed=False), 1000, count_attempt=False).first()["recovery_attempts"] == 2
+    for lease, lapsed in ((1001, 0), (1000, 1), (None, 0)):
+        assert mutations.requeue_orphans(stored(spark, lease=lease), claims(spark, need_lapsed=True), 1000).count() == lapsed
+    # The old owner's next write is stale, and a second requeue too.
+    assert mutations.requeue_orphans(out.drop("old_owner"), claims(spark, need_lapsed=False), 1000).count() == 0
+    entries = spark.createDataFrame([("b", "1", "in_flight", 1, None, None, 0), ("b", "2", "in_flight", 1, "q", None, 0), ("b", "3", "pending", 0, None, None, 0)], ENTRY)
+    assert {r["custom_id"]: r["submitted_by"] for r in mutations.record_submitters(entries, out).collect()} == {"1": "p", "2": "q", "3": None}
+
+
+def test_claim(spark):
+    fresh, again = stored(spark, "validating", None, resumable=False, lease=None), stored(spark, "in_progress", None).withColumn("id", F.lit("r"))
+    got = {r["id"]: r for r in mutations.claim(fresh.unionByName(again), fresh.unionByName(again), "q", 1000, 60).collect()}
+    assert (got["b"]["epoch"], got["b"]["recovery_attempts"], got["b"]["lease_at"]) == (4, 0, None)
+    assert (got["r"]["epoch"], got["r"]["recovery_attempts"], got["r"]["lease_at"]) == (4, 2, 1060)
+
+
+def test_cancel_if_queued(spark):
+    hit = mutations.cancel_if_queued(stored(spark, "validating", None, resumable=False), claims(spark), 7).first()
+    assert (hit["status"], hit["cancelled_at"], hit["epoch"]) == ("cancelled", 7, 4)
+    for state in (dict(owner="p", resumable=False), dict(owner=None, resumable=True)):
+        assert mutations.cancel_if_queued(stored(spark, "validating", **state), claims(spark), 7).count() == 0
+
+
+def test_activate(spark):
+    manifest = spark.createDataFrame([("b", 1, "x", "pending", None), ("b", 2, "y", "failed", "parse_error")], "batch_id string, ordinal long, custom_id string, status string, error_code string")
+    none, claim = spark.createDataFrame([], ENTRY), claims(spark).withColumnRenamed("id", "batch_id")
+    new, item = lifecycle.activate(stored(spark, "validating", resumable=False, lease=None), none, manifest, claim, 1000, 60)
+    assert sorted(map(tuple, new.collect())) == [("b", 1, "x", "pending", 0, None, None), ("b", 2, "y", "failed", 0, "parse_error", 1000)]
+    got = item.first()
+    assert (got["status"], got["resumable"], got["lease_at"], got["in_progress_at"], got["epoch"]) == ("in_progress", True, 1060, 1000, 3)
+    for state in (dict(epoch=4), dict(owner="q"), dict(resumable=True)):
+        new, item = lifecycle.activate(stored(spark, "validating", **{"resumable": False, **state}), none, manifest, claim, 1000)
+        assert (new.count(), item.count()) == (0, 0)
+    new, item = lifecycle.activate(stored(spark, "validating", resumable=False), none, manifest.limit(0), claim, 1000)
+    assert (new.count(), item.count()) == (0, 0)
+
+
+def test_finalize(spark):
+    doc = '{"status": "completed"}'
+    target = claims(spark, expected_status="in_progress", document=doc)
+    got = mutations.finalize(stored(spark), target, 1000).first()
+    assert (got["verdict"], got["status_document"], got["resumable"], got["lease_at"], got["processor_id"]) == ("applied", doc, False, None, "p")
+    assert mutations.finalize(stored(spark, "completed", resumable=False, lease=None), target, 1000).first()["verdict"] == "same"
+    for state in (dict(lease=1000), dict(epoch=4), dict(owner="q"), dict(status="cancelling"), dict(resumable=False)):
+        assert mutations.finalize(stored(spark, **state), target, 1000).first()["verdict"] == "conflict"
+    assert mutations.finalize(stored(spark).limit(0), target, 1000).first()["verdict"] == "conflict"
+
+
+def test_entry_writes(spark):
+    entries = spark.createDataFrame([("b", "1", "pending", 0, None, None, None), ("b", "2", "completed", 1, "p", None, 9)], ENTRY)
+    sent = spark.createDataFrame([("b", i, "p", 3) for i in ("1", "2", "gone")], "batch_id string, custom_id string, owner string, at_epoch long")
+    verdicts = lambda **state: {r["custom_id"]: r["verdict"] for r in mutations.entry_writes(entries, stored(spark, **state), sent, 1000).collect()}
+    assert verdicts() == {"1": "updated", "2": "duplicate", "gone": "conflict"}
+    assert verdicts(lease=1000) == {"1": "conflict", "2": "duplicate", "gone": "conflict"}
+    assert verdicts(epoch=4) == {"1": "conflict", "2": "conflict", "gone": "conflict"}
+    marked = {r["custom_id"]: (r["status"], r["attempts"], r["submitted_by"]) for r in mutations.mark_in_flight(entries, stored(spark), sent, 1000).collect()}
+    assert marked == {"1": ("in_flight", 1, "p"), "2": ("completed", 1, "p")}
+    results_in = sent.crossJoin(spark.createDataFrame([(2, "failed", "", 0, "late"), (1, "completed", "k", 5, ""), (0, "pending", "n", 5, "")], "arrival int, result_status string, key string, bytes long, code string"))
+    done = {r["custom_id"]: r for r in mutations.checkpoint_results(entries, stored(spark), results_in, 1000).collect()}
+    assert tuple(done["1"][k] for k in ("status", "result_key", "result_bytes", "error_code", "completed_at")) == ("completed", "k", 5, None, 1000)
+    assert (done["2"]["status"], done["2"]["result_bytes"], done["2"]["completed_at"]) == ("completed", 9, None)
+
+
+def test_deliver_events(spark):
+    df = spark.createDataFrame([(1, "a", 9, False), (2, "a", 9, True), (3, "a", 9, False), (4, "b", 5, False), (5, "b", 9, False)], "id long, job_id string, expires_at long, full boolean")
+    assert sorted(r["id"] for r in catalog.deliver_events(df, 5, F.col("full")).collect()) == [1, 5]
+
+
+def test_lines_carry_the_body(spark):
+    df = spark.createDataFrame([("b", 0, "r", 'a"b', 200, None, '{"z":[1, 2],"a":null}'), ("b", 1, "s", "c", 200, None, ""), ("b", 2, "t", "d", None, "batch_expired", "x")], "batch_id string, ordinal long, request_id string, custom_id string, status_code int, error_code string, body string")
+    got = [json.loads(r["line"]) for r in results.result_lines(df).orderBy("ordinal").collect()]
+    assert got[0] == {"id": "r", "custom_id": 'a"b', "response": {"status_code": 200, "request_id": "r", "body": {"z": [1, 2], "a": None}}, "error": None}
+    assert got[1]["response"]["body"] is None
+    assert got[2]["response"] is None and got[2]["error"] == {"code": "batch_expired", "message": S.NOT_EXECUTED["batch_expired"]}
 
 
 @pytest.mark.parametrize("cause,resumable,want", [("cancelled", True, "cancelled"), ("expired", False, "expired"), ("shutdown", True, "leave"), (None, False, "failed")])
@@ -301,8 +402,6 @@ def test_job_invariants(spark, tmp_path):
 
 
 def test_writes(spark):
-    from batchloom.operators import mutations
-
     table = spark.createDataFrame([("a", 1)], "id string, v long")
     assert mutations.insert(table, spark.createDataFrame([(2, "b")], "v long, id string")).count() == 2
     with pytest.raises(ValueError, match="v"):
