@@ -1,16 +1,17 @@
-"""Benchmark decontamination with Aho-Corasick automata over normalised words.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised words.
 
 Text is cut into words (runs of 0-9, a-z after lower-casing A-Z, and everything beyond ASCII). A window
-is ``n`` consecutive words of an item; an item of fewer words, but not none, is one window. All windows
-go into one automaton over " w1 w2 ... wn "; a text, joined the same way, is scanned once, and the hit
-words are mapped back to code point offsets of the original.
+is ``n`` consecutive words of an item; an item of fewer words, but not none, is one window. The words of all
+items are numbered, all windows go into one automaton over the numbers' digits, and a text, numbered the same
+way, is scanned once; the hit words are mapped back to code point offsets of the original.
 
-Only while the windows' bytes are at most ``AUTOMATON_BYTES`` they make one automaton; more are dealt by
-hash to as many automata as keep each below that, one scan each, and their hits are united.
+The items' words go to the workers, once, and each builds the automaton from them: it is as large as the
+benchmark asks, whatever the documents. A benchmark of more than ``BENCHMARK_BYTES`` of normalised text is an error, not cut.
 
 Defined cases: null or wordless texts have no words and no hits; items without words or with a null id
-are no items; repeated items count once per id; repeated documents each give a row; empty tables give no
-rows, or rows without hits.
+are no items; repeated items count once per id, and windows that several items share count for each; long texts
+are scanned whole; repeated documents each give a row; other columns, whatever their names, are kept by ``clean`` and
+not read otherwise; empty tables give no rows, or rows without hits.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, raw_text
 
-#: Most bytes of distinct windows in one automaton (some 40 times as much memory in a worker).
-AUTOMATON_BYTES = 2_000_000
+#: Most bytes of the items' normalised text: a worker needs some 200 times as much for the automaton.
+BENCHMARK_BYTES = 8_000_000
+#: Digits of word numbers have so many values, so that no node has many branches.
+BASE = 128
 
 #: Lower-cases A-Z, keeps 0-9, a-z and bytes of other scripts, and turns the rest into blanks.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -39,40 +43,69 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_NORMAL).split()
 
 
-def _joined(words: list[bytes]) -> str:
-    """One character a byte, so that the automaton runs over bytes."""
-    return (b" " + b" ".join(words) + b" ").decode("latin-1")
-
-
-def windows(benchmark: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, window) of every item, distinct."""
+def item_words(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, words) of every item that has words: its normalised text."""
 
     def rows(batches):
         for b in batches:
-            items, found = [], []
-            for item, raw in zip(b["item"], b["raw"]):
-                w = words_of(raw)
-                own = {_joined(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else ()
-                items += [item] * len(own)
-                found += own
-            yield {"item": items, "window": found}
+            found = [(item, b" ".join(w)) for item, raw in zip(b["item"], b["raw"]) if (w := words_of(raw))]
+            yield {"item": [x[0] for x in found], "words": [x[1] for x in found]}
 
     source = benchmark.select(F.col(item_col).cast("string").alias("item"), raw_text(text_col).alias("raw")).filter("item is not null")
-    return map_arrow(source, rows, "item string, window string").distinct()
+    return map_arrow(source, rows, "item string, words binary").distinct()
 
 
-def _automaton(patterns: list[tuple[str, list[str]]]):
-    key = hashlib.sha256(repr(patterns).encode()).hexdigest()
-    if key not in _automata:
+class Automaton:
+    """All windows of the items, over their words' numbers; each number has ``width`` digits, and 0 is any other word."""
+
+    def __init__(self, items: list[tuple[str, bytes]], n: int):
         import ahocorasick
 
-        a = ahocorasick.Automaton()
-        for p, items in patterns:
-            a.add_word(p, (p.count(" ") - 1, items))
-        if len(a):
-            a.make_automaton()
+        words = sorted({w for _, text in items for w in text.split()})
+        self.width = 1
+        while BASE**self.width <= len(words):
+            self.width += 1
+        self.codes = {w: "".join(chr(1 + k // BASE**d % BASE) for d in range(self.width)) for k, w in enumerate(words)}
+        self.other = "\0" * self.width
+        self.names = sorted({item for item, _ in items})
+        number = {item: k for k, item in enumerate(self.names)}
+        self.tree = ahocorasick.Automaton()
+        for item, text in items:
+            w = text.split()
+            numbers = "".join([self.codes[x] for x in w])
+            size = min(n, len(w))
+            for i in range(len(w) - size + 1):
+                window = numbers[i * self.width : (i + size) * self.width]
+                known = self.tree.get(window, None)
+                if known is None:
+                    self.tree.add_word(window, (size, [number[item]]))
+                elif number[item] not in known[1]:
+                    known[1].append(number[item])
+        if len(self.tree):
+            self.tree.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[bytearray | None, set[str]]:
+        """Which words are hit (None: none), and the items that occur."""
+        mask, found = None, set()
+        if words and len(self.tree):
+            get, other, width = self.codes.get, self.other, self.width
+            for end, (size, own) in self.tree.iter("".join([get(w, other) for w in words])):
+                if (end + 1) % width:  # digits of two numbers
+                    continue
+                if mask is None:
+                    mask = bytearray(len(words))
+                last = (end + 1) // width
+                mask[last - size : last] = b"\1" * size
+                found.update(own)
+        return mask, {self.names[k] for k in found}
+
+
+def _automaton(shared: tuple[str, int, list[tuple[str, bytes]]]) -> Automaton:
+    """One a worker: ``shared`` has its key, the window's words, and the items."""
+    key, n, items = shared
+    if key not in _automata:
         _automata.clear()
-        _automata[key] = a
+        _automata[key] = Automaton(items, n)
     return _automata[key]
 
 
@@ -99,31 +132,16 @@ def _spans(raw: bytes, mask: bytearray) -> list[tuple[int, int]]:
     return out
 
 
-def hits_of(raw: bytes, automaton) -> tuple[int, bytearray | None, set[str]]:
-    """Words, which of them are hit (None: none), and the items that occur."""
-    words = words_of(raw)
-    if not words or not len(automaton):
-        return len(words), None, set()
-    text, mask, items = _joined(words), None, set()
-    seen = at = 0
-    for end, (size, own) in automaton.iter(text):
-        seen += text.count(" ", at, end)
-        at = end
-        if mask is None:
-            mask = bytearray(len(words))
-        mask[seen - size : seen] = b"\1" * size
-        items.update(own)
-    return len(words), mask, items
-
-
-def _scan(shared, keep: list[str]):
+def _scan(shared):
     def rows(batches):
-        automaton = _automaton(shared.value)
+        automaton = None
         for b in batches:
-            out = {c: b[c] for c in keep} | {"n_words": [], "n_hit": [], "items": [], "spans": []}
-            for raw in b["__raw"]:
-                n, mask, items = hits_of(raw, automaton)
-                out["n_words"].append(n)
+            automaton = automaton or _automaton(shared.value)
+            out: dict[str, list] = {"doc_id": b["doc_id"], "n_words": [], "n_hit": [], "items": [], "spans": []}
+            for raw in b["raw"]:
+                words = words_of(raw)
+                mask, items = automaton.hits(words)
+                out["n_words"].append(len(words))
                 out["n_hit"].append(sum(mask) if mask else 0)
                 out["items"].append(sorted(items))
                 out["spans"].append([{"start": x, "end": y} for x, y in _spans(raw, mask)] if mask else [])
@@ -132,57 +150,32 @@ def _scan(shared, keep: list[str]):
     return rows
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", limit_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) of every document; spans are offsets in the original text."""
-    spark = docs.sparkSession
-    found = windows(benchmark, n).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).persist()
+def _shared(benchmark: DataFrame, n: int, most_bytes: int):
+    """The items as a broadcast, after a check of their size."""
+    found = item_words(benchmark).persist()
     try:
-        total = found.agg(F.sum(F.length("window"))).first()[0] or 0
-        parts = -(-total // limit_bytes) or 1
-        groups = []
-        for k in range(parts):
-            own = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
-            groups.append(spark.sparkContext.broadcast(sorted((r["window"], list(r["items"])) for r in own)))
+        size = found.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+        if size > most_bytes:
+            raise ValueError(f"the benchmark has {size} bytes of normalised text; the automaton is for {most_bytes}")
+        items = sorted((r["item"], bytes(r["words"])) for r in found.collect())
     finally:
         found.unpersist()
-    kind = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("doc_id"), raw_text(text_col).alias("__raw"))
-    if parts == 1:
-        return map_arrow(source, _scan(groups[0], ["doc_id"]), f"doc_id {kind}, {HITS}")
-    # Several automata: hits of a text unite under its digest, and copies of a row count by number of scans.
-    keyed = source.select("doc_id", F.unhex(F.sha2("__raw", 256)).alias("__key"), "__raw")
-    each = [map_arrow(keyed, _scan(g, ["doc_id", "__key"]), f"doc_id {kind}, __key binary, {HITS}") for g in groups]
-    united = each[0]
-    for x in each[1:]:
-        united = united.unionAll(x)
-    joined = united.groupBy("doc_id", "__key", "n_words").agg(
-        (F.count("*") / parts).cast("int").alias("__copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-    )
-    texts = keyed.dropDuplicates(["doc_id", "__key"])
-    joined = joined.join(texts, joined["doc_id"].eqNullSafe(texts["doc_id"]) & (joined["__key"] == texts["__key"])).select(joined["doc_id"], "n_words", "__copies", "items", "spans", "__raw")
-
-    def unite(batches):
-        for b in batches:
-            out = {c: b[c] for c in ("doc_id", "n_words", "items", "__copies")} | {"n_hit": [], "spans": []}
-            for raw, spans in zip(b["__raw"], b["spans"]):
-                mask = bytearray(len(words_of(raw)))
-                text = raw.decode("utf-8", "replace")
-                for s in spans:
-                    lo = len(words_of(text[: s["start"]].encode()))
-                    size = len(words_of(text[s["start"] : s["end"]].encode()))
-                    mask[lo : lo + size] = b"\1" * size
-                out["n_hit"].append(sum(mask))
-                out["spans"].append([{"start": x, "end": y} for x, y in _spans(raw, mask)])
-            yield out
+    return benchmark.sparkSession.sparkContext.broadcast((hashlib.sha256(repr((n, items)).encode()).hexdigest(), n, items))
 
-    whole = map_arrow(joined, unite, f"doc_id {kind}, __copies int, {HITS}")
-    return whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copies", "__copy")
+
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, spans) of every document; spans are offsets in the original text."""
+    kind = dict(docs.dtypes)[id_col]
+    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), raw_text(text_col).alias("raw")), _scan(_shared(benchmark, n, most_bytes)), f"doc_id {kind}, {HITS}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", most_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """The rows without any benchmark window."""
-    found = scan_benchmark(docs.withColumn("__row", F.xxhash64(id_col, text_col)), benchmark, n, "__row", text_col)
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.xxhash64(id_col, text_col) == F.col("__hit"), "left_anti")
+    shared = _shared(benchmark, n, most_bytes)
+
+    @F.pandas_udf("boolean")
+    def hit(raws: pd.Series) -> pd.Series:
+        automaton = _automaton(shared.value)
+        return pd.Series([automaton.hits(words_of(raw))[0] is not None for raw in raws], dtype="bool")
+
+    return docs.filter(~hit(raw_text(text_col)))
