@@ -180,20 +180,24 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     measured = materialise(map_arrow(source, _measure, f"doc_id {kind}, {counts}, {shares}"), "quality-statistics")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("__label")).filter("__label is not null").groupBy("__id").agg(F.max("__label").alias("__label"))
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("__label")).filter("__label is not null").groupBy("__id").agg(F.max("__label").cast("int").alias("__label"))
 
     sample = draw(measured.filter(~failed), SAMPLE_ROWS, "doc_id", *BASE).select(*FEATURES).collect()
     columns = {f: [r[f] for r in sample] for f in FEATURES}
     forests = [(features, Forest(_table(columns, features))) for features in FEATURE_SETS] if len(sample) > 1 else []
     shared = spark.sparkContext.broadcast(forests)
     names = [f"score{k}" for k in range(len(forests))]
-    scored = map_arrow(measured, _scored(shared), ", ".join([f"doc_id {kind}", counts, shares, *[f"{n} double" for n in names]])).withColumn("base_failed", failed)
-    labelled = scored.filter(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("__id"))
+    # Labelled rows only, before any is scored; all rows are scored once, by the forest that parts these best.
+    labelled = measured.filter(~failed).join(known, F.col("doc_id") == F.col("__id")).select(*measured.columns, "__label")
+    labelled = map_arrow(labelled, _scored(shared), ", ".join([f"doc_id {kind}", counts, shares, "__label int", *[f"{n} double" for n in names]]))
     bad, good = F.count_if(F.col("__label") == 0).alias("bad"), F.count_if(F.col("__label") == 1).alias("good")
     which = F.posexplode(F.array(*names) if names else F.array().cast("array<double>")).alias("k", "score")
     bins = labelled.select("__label", which).groupBy("k", F.floor(F.col("score") * BINS).alias("bin")).agg(bad, good).collect()
     cuts = [best_cut([(r["bin"], r["bad"], r["good"]) for r in bins if r["k"] == k]) for k in range(len(names))]
     best = max(range(len(names)), key=lambda k: cuts[k][0], default=None)
-    score = F.lit(0.0) if best is None else F.col(names[best])
+    scored = measured.withColumn("score", F.lit(0.0))
+    if best is not None:
+        chosen = spark.sparkContext.broadcast([forests[best]])
+        scored = map_arrow(measured, _scored(chosen), f"doc_id {kind}, {counts}, {shares}, score0 double").withColumnRenamed("score0", "score")
     cut = 2.0 if best is None else cuts[best][1]
-    return scored.select("doc_id", *BASE, "base_failed", score.alias("score"), (~F.col("base_failed") & (score < cut)).alias("kept"))
+    return scored.withColumn("base_failed", failed).select("doc_id", *BASE, "base_failed", "score", (~F.col("base_failed") & (F.col("score") < cut)).alias("kept"))
