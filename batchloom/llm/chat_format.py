@@ -10,9 +10,10 @@ becomes one conversation::
 Inside roles and texts "&" is written "&amp;" and "<|" is written "&lt;|" (and in roles a line feed
 "&#10;"), so no text can open or close a turn, and reading back restores it.
 
-Defined cases: a null role or text is empty; a null score is 0; a parent that isn't in its tree makes its
+Defined cases: rows that repeat a tree's node are one message, the least by parent, role, text and score; other columns are not
+read; a conversation is one row, so its text may have 2 GB at most; a null role or text is empty; a null score is 0; a parent that isn't in its tree makes its
 child a root; messages that hang on a cycle of parents have no root and form no path; rows without a tree
-id belong to no conversation; ties of rank go to the smaller leaf id; an empty table gives no rows.
+or node id belong to no conversation; ties of rank go to the smaller leaf id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,10 +46,16 @@ def chain(turns: DataFrame, tree_col: str = "conv_id", order: tuple[str, ...] =
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _once(messages: DataFrame) -> DataFrame:
+    """One row a (tree, node): the least of those that repeat it."""
+    rest = F.min(F.struct("parent", "role", "text", "score")).alias("m")
+    return messages.filter("tree is not null and node is not null").groupBy("tree", "node").agg(rest).select("tree", "node", "m.*")
+
+
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     """(tree, path, depth, node): the nodes of the best ``paths`` root-to-leaf paths of each tree."""
     scratch = Scratch(messages.sparkSession, "reply-trees")
-    nodes = scratch.table(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
+    nodes = scratch.table(_once(messages).select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
     known = nodes.select(F.col("tree").alias("__t"), F.col("node").alias("__n"))
     start = nodes.join(known, (F.col("tree") == F.col("__t")) & (F.col("parent") == F.col("__n")), "left")
     start = scratch.table(start.select("tree", "node", F.col("__n").alias("up"), F.lit(1).cast("long").alias("hops"), "score"), "jumps-0")
@@ -75,13 +82,15 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
         step = jumps[k].select(F.col("tree").alias("__t"), F.col("node").alias("__n"), F.col("up").alias("__up"))
         above = found.join(step, (F.col("tree") == F.col("__t")) & (F.col("node") == F.col("__n"))).select("tree", "path", F.col("__up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         found = scratch.table(found.unionByName(above), f"paths-{k}")
+    found = scratch.table(found, "paths")
+    scratch.keep("paths")
     return found
 
 
 def format_paths(messages: DataFrame, paths: int = 1, train_on: str = "assistant") -> DataFrame:
     """(tree, path, n_turns, formatted, loss): one conversation a chosen path; ``loss`` has the code point spans to train on."""
     nodes = best_paths(messages, paths)
-    texts = messages.select(F.col("tree").alias("__t"), F.col("node").alias("__n"), "role", "text")
+    texts = _once(messages).select(F.col("tree").alias("__t"), F.col("node").alias("__n"), "role", "text")
     head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     rows = nodes.join(texts, (F.col("tree") == F.col("__t")) & (F.col("node") == F.col("__n"))).select(
         "tree", "path", "depth", head.alias("head"), escape(F.col("text")).alias("body"), F.col("role").eqNullSafe(F.lit(train_on)).alias("train")

@@ -28,13 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a local one is made.
+    Only where ``spark.checkpoint.dir`` is unset and there are no other machines (tests, a laptop) a local one is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="batchloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,18 +61,25 @@ def release(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables of one run in a folder of its own under the shared one; each is deleted when it has served."""
+    """Tables of one run in a folder of its own under the shared one; those that a result doesn't read are deleted when they have served."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder = spark, new_folder(spark, label)
+        self.names: list[str] = []
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self.names.append(name)
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep(self, *names: str) -> None:
+        """Drops all other tables."""
+        self.drop(*[n for n in self.names if n not in names])
+
     def drop(self, *names: str) -> None:
+        self.names = [n for n in self.names if n not in names]
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")

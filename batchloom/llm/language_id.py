@@ -168,7 +168,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score) of every document; fold 0 of the ids is never learned from."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
-    part = F.coalesce(fold(F.col(id_col)), F.lit(0)).cast("int")
+    part = fold(F.col(id_col)).cast("int")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), part.alias("part"))
     known = rows.filter("part != 0 and lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
@@ -184,8 +184,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         idf = np.log((1 + total) / (1 + df)) + 1
         quota = max(8, FIT_ROWS // len(langs))
         share = F.create_map(*[F.lit(x) for v in langs for x in (v, min(1.0, quota / counts[v]))])
-        lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-        sample = known.filter(lot < share[F.col("lang")]).select("text", "lang", "part").limit(2 * quota * len(langs))
+        lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20))
+        sample = known.filter(lot / float(1 << 20) < share[F.col("lang")]).orderBy(lot, "doc_id", "text").select("text", "lang", "part").limit(2 * quota * len(langs))
         weights, t = fit(map_arrow(sample, _vectors, "lang string, part int, at binary, share binary").collect(), idf, langs)
         model = (langs, weights, t)
     shared = spark.sparkContext.broadcast(model)

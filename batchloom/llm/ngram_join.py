@@ -284,6 +284,7 @@ def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col
     named = rows.select("cid", "key", "copies", F.col("least").alias("first")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     named = scratch.table(named.join(least, "root").join(links, "cid", "left").select("key", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    scratch.keep("sketch", "named")
     out = sketch.select("doc", "version", "n", "key").join(named, "key", "left")
     return out.select(
         F.col("doc").alias("doc_id"), "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
@@ -296,9 +297,11 @@ def keep_one(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text
     found = join(docs, n, percent, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("version").alias("row"))
     least = found.filter("component is not null").groupBy("component").agg(F.min(rank).alias("least"))
-    stay = least.select(F.col("least.row").alias("__version"), F.col("least.id").alias("__doc"), F.lit(True).alias("__one"))
-    empty = found.filter("component is null").select(F.col("version").alias("__version"), F.col("doc_id").alias("__doc"), F.lit(False).alias("__one")).distinct()
-    rows = docs.withColumn("__row", row_version(id_col, text_col))
-    kept = rows.join(stay.unionByName(empty).hint("merge"), (F.col("__row") == F.col("__version")) & F.col(id_col).eqNullSafe(F.col("__doc")))
-    one = kept.filter("__one").dropDuplicates(["__row", id_col])
-    return one.unionByName(kept.filter("not __one")).select(*docs.columns)
+    stay = least.select(F.col("least.row").alias("version"), F.col("least.id").alias("doc"), F.lit(True).alias("one"))
+    empty = found.filter("component is null").select("version", F.col("doc_id").alias("doc"), F.lit(False).alias("one")).distinct()
+    # Other columns are packed, so that no name clashes.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select((F.struct(*others) if others else F.lit(None).cast("int")).alias("others"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_version(id_col, text_col).alias("row"))
+    kept = rows.join(stay.unionByName(empty).hint("merge"), (F.col("row") == F.col("version")) & F.col("id").eqNullSafe(F.col("doc")))
+    both = kept.filter("one").dropDuplicates(["row", "id"]).unionByName(kept.filter("not one"))
+    return both.select(*[F.col("text").alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col(f"others.`{c}`").alias(c) for c in docs.columns])

@@ -16,7 +16,7 @@ An anchor with more than ``GROUP_ROWS`` different segments is split: windows tha
 in the second half of the range share more bytes, whose digest tells the rows apart, and so on until a
 group is small; rows that agree in a whole range become one. No group is capped.
 
-Defined cases: null text is empty; shorter texts have no such string; matches never cross documents, and
+Defined cases: null text is empty; shorter texts have no such string; long texts are read whole, PART starts at a time; of equal strings none is kept; matches never cross documents, and
 overlapping repeats inside one count; repeated rows are copies; a null id takes part; other columns are not read;
 an empty table gives no rows.
 """
@@ -315,7 +315,7 @@ def repeated_spans(source: DataFrame, scratch: Scratch) -> DataFrame:
     moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("place")).alias("s"), (x["e"] + F.col("place")).alias("e")))
     out = in_group.unionByName(alike).select("doc", "version", moved.alias("spans"))
     out = scratch.table(out.groupBy("doc", "version").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    scratch.drop("members", "segments", "bodies", "marked")
+    scratch.keep("spans", "word-passages")
     return out
 
 

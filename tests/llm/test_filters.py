@@ -8,8 +8,10 @@ from batchloom.llm import line_dedup
 def test_documents_without_lines_left_go(spark):
     a, b = "a line of twenty or more code points", "another line of quite some length"
     rows = [(1, f"{a}\nshort"), (2, f"{a}\nshort"), (3, f"{a}\n{b}"), (4, "tiny"), (5, None), (6, ""), (7, f"{b}!\ntiny"), (None, a)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__lines", F.lit(1)).withColumn("n_chars", F.length("text"))
+    names = ("__lines", "__kept", "__doc", "__version", "__n_copies", "__copies", "__links", "row", "id", "kept", "n_near")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names}).withColumn("n_chars", F.length("text"))
     out = line_dedup.keep_lines(df)
+    assert all(r[c] == c for r in out.collect() for c in names)
     assert out.columns == df.columns
     # A null id comes first in the order, so its line stays and the others are copies.
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {None: a, 3: b, 4: "tiny", 5: None, 6: ""}

@@ -141,14 +141,18 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (9, "p q r s t u v"), (4, None), (4, None), (6, ""), (None, "a b c d e f g h"), (None, "z z z z z z")]
     out = ngram_join.keep_one(docs(spark, rows), 5, 80)
     assert out.columns == docs(spark, rows).columns
+    more = {"__one": F.lit(1), "__doc": F.lit("d"), "__version": F.lit(2.5), "others": F.lit(3)}
+    again = ngram_join.keep_one(docs(spark, rows).withColumns(more), 5, 80).collect()
+    assert len(again) == out.count() and {(r["__row"], r["__one"], r["__doc"], r["__version"], r["others"], r["key"]) for r in again} == {(7, 1, "d", 2.5, 3, 7)}
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(3, "a b c d e f g h"), (9, "p q r s t u v"), (4, None), (4, None), (6, ""), (None, "z z z z z z")], key=str)
 
 
 # ---- benchmark decontamination
 
 
-@pytest.mark.parametrize("limit", [10**9, 300])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("base", [128, 2, 5])
+def test_decontamination(spark, monkeypatch, base):
+    monkeypatch.setattr(decontaminate, "BASE", base)  # numbers of one digit, and of several
     rng = random.Random(5)
     items = [(k, words(rng, rng.choice([3, 9, 10, 11, 30]), 60)) for k in range(12)] + [(12, None), (13, "!!"), (None, "w1 w2"), (3, "extra item text"), (14, "É1 ü")]
     rows = list(EDGE)
@@ -161,7 +165,7 @@ def test_decontamination(spark, limit):
         rows.append((100 + k, rng.choice([" ", "-", "\n", " , "]).join(w).title()))
     rows.append((200, "w0! é1 É1 Ü é1 ü"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
-    got = decontaminate.scan_benchmark(docs(spark, rows), bench, 10, limit_bytes=limit).collect()
+    got = decontaminate.scan_benchmark(docs(spark, rows), bench, 10).collect()
     want = sorted(((d, *brute.contamination(t, items)) for d, t in rows), key=str)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=str) == want
     texts = defaultdict(list)
@@ -177,7 +181,23 @@ def test_decontamination(spark, limit):
 def test_clean(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     rows = [(1, "x a b c y"), (2, "a b"), (2, "a b"), (3, None), (None, "A-B-C"), (None, "ok")]
-    assert sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean(docs(spark, rows), bench).collect()), key=str) == sorted([(2, "a b"), (2, "a b"), (3, None), (None, "ok")], key=str)
+    df = docs(spark, rows).withColumns({"__hit": F.lit(1), "hit": F.lit(2), "raw": F.lit(3)})
+    out = decontaminate.clean(df, bench)
+    assert out.columns == df.columns
+    assert {(r["__hit"], r["hit"], r["raw"], r["__row"]) for r in out.collect()} == {(1, 2, 3, 7)}
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(2, "a b"), (2, "a b"), (3, None), (None, "ok")], key=str)
+    with pytest.raises(ValueError, match="normalised"):
+        decontaminate.clean(df, bench, most_bytes=4)
+
+
+def test_long_text_and_many_windows():
+    rng = random.Random(2)
+    items = [(str(k), words(rng, 40, 100_000).encode()) for k in range(800)]
+    a = decontaminate.Automaton(items, 10)
+    assert a.width == 3 and len(a.tree) == len({tuple(t.split()[i : i + 10]) for _, t in items for i in range(31)})
+    text = [b"x"] * 100_000 + items[7][1].split()[5:16] + [b"x"] * 100_000
+    mask, found = a.hits(text)
+    assert (sum(mask), found) == (11, {"7"}) and mask[100_000 : 100_011] == b"\1" * 11
 
 
 # ---- long repeats
