@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import fold_sorted
+
 
 def phase_aggregate(phases: DataFrame, by: list[str], means: list[str], sums: list[str], phase: str | None = None) -> DataFrame:
     """Means of percentiles and sums of counts over phases whose name holds ``phase``."""
@@ -70,8 +72,28 @@ def metric_steps(samples: DataFrame, step_s: int = 15) -> DataFrame:
 
 
 def deciles_of(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., deciles): p0, p10 ... p100."""
-    return rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(i / 10) for i in range(11)])).alias("deciles"))
+    """(by..., deciles): p0, p10 ... p100, between neighbours by their distance.
+
+    Equal values are counted first. Values fall into classes by their magnitude, whose few counts tell which classes hold the
+    wanted ranks; only these are looked through, so no task holds a group's values.
+    """
+    x = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs("v")) * 64) + 100_000
+    klass = F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise((F.signum("v") * size).cast("long"))
+    counts = rows.filter(x.isNotNull()).groupBy(*by, x.alias("v")).agg(F.count("*").alias("n")).withColumn("klass", klass)
+    classes = counts.groupBy(*by, "klass").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy(*by).orderBy("klass").rowsBetween(W.unboundedPreceding, 0))
+    classes = classes.withColumns({"end": upto, "total": F.sum("n").over(W.partitionBy(*by))}).withColumn("begin", F.col("end") - F.col("n")).drop("n")
+    place = lambda i: (F.col("total") - 1) * F.lit(i / 10)
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil(place(i)) if up else F.floor(place(i))).alias("rank"), (place(i) - F.floor(place(i))).alias("share")) for i in range(11) for up in (False, True)])
+    wanted = classes.select(*by, "klass", "begin", "end", F.inline(wanted)).filter("rank >= begin and rank < end").drop("end")
+    within = F.sum("n").over(W.partitionBy(*by, "klass").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    near = counts.join(wanted.select(*by, "klass", "begin").distinct(), [*by, "klass"]).withColumn("end", F.col("begin") + within).withColumn("begin", F.col("end") - F.col("n"))
+    near = near.select(*by, "klass", "v", F.col("begin").alias("first"), F.col("end").alias("past"))
+    hit = wanted.drop("begin").join(near, [*by, "klass"]).filter("rank >= first and rank < past")
+    ends = hit.groupBy(*by, "i").agg(F.max(F.when(~F.col("up"), F.col("v"))).alias("low"), F.max(F.when(F.col("up"), F.col("v"))).alias("high"), F.max("share").alias("share"))
+    point = F.struct("i", (F.col("low") + (F.col("high") - F.col("low")) * F.col("share")).alias("p"))
+    return ends.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(point)), lambda e: e["p"]).alias("deciles"))
 
 
 def first_prompts(turns: DataFrame, default_system: str = "You are a helpful assistant.") -> DataFrame:
@@ -85,34 +107,30 @@ def slot_schedule(requests: DataFrame, key: str, arrival: str, duration: str, or
 
     (key, requests, waited, finished): all waiting together, and when the last one is done.
     """
-    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))))
-    start = F.struct(F.array_repeat(F.lit(0.0), slots).alias("free"), F.lit(0.0).alias("waited"))
-
-    def place(state: Column, r: Column) -> Column:
-        begin = F.greatest(state["free"][0], r["a"])  # the slot that is free first stands first
-        rest = F.slice(state["free"], 2, slots)
-        return F.struct(F.array_sort(F.array_append(rest, begin + r["d"])).alias("free"), (state["waited"] + begin - r["a"]).alias("waited"))
+    def place(state: tuple, r: dict) -> tuple:
+        free, n, waited = state
+        begin = max(free[0], r["a"])  # the slot that is free first stands first
+        return sorted([*free[1:], begin + r["d"]]), n + 1, waited + begin - r["a"]
 
-    folded = requests.groupBy(key).agg(F.count("*").alias("requests"), F.aggregate(steps, start, place).alias("s"))
-    return folded.select(key, "requests", F.col("s.waited").alias("waited"), F.array_max("s.free").alias("finished"))
+    rows = requests.select(key, F.col(order).alias("o"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))
+    return fold_sorted(rows, [key], ["o", "a", "d"], lambda: ([0.0] * slots, 0, 0.0), place, lambda s: {"requests": s[1], "waited": s[2], "finished": max(s[0])}, "requests long, waited double, finished double")
 
 
 def two_level_schedule(requests: DataFrame, pool: str, endpoint: str, endpoints: int, arrival: str, duration: str, order: str, slots: int, pool_slots: int) -> DataFrame:
     """Per pool, what two levels of bounded concurrency cost: a request, in order, takes a slot of its endpoint (numbered from 0),
-    then one of the pool, and starts when it has both. (pool, requests, waited, finished) as in ``slot_schedule``; a pool's requests are folded in one row."""
-    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(endpoint).alias("e"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))))
-    free = lambda n: F.array_repeat(F.lit(0.0), n)
-    start = F.struct(F.array_repeat(free(slots), endpoints).alias("ends"), free(pool_slots).alias("free"), F.lit(0.0).alias("waited"), F.lit(0.0).alias("done"))
+    then one of the pool, and starts when it has both. (pool, requests, waited, finished) as in ``slot_schedule``."""
 
-    def place(state: Column, r: Column) -> Column:
-        begin = F.greatest(state["ends"][r["e"]][0], state["free"][0], r["a"])
+    def place(state: tuple, r: dict) -> tuple:
+        ends, free, n, waited, done = state
+        mine = ends[r["e"]]
+        begin = max(mine[0], free[0], r["a"])
         end = begin + r["d"]
-        taken = lambda x, n: F.array_sort(F.array_append(F.slice(x, 2, n), end))
-        ends = F.transform(state["ends"], lambda x, i: F.when(i == r["e"], taken(x, slots)).otherwise(x))
-        return F.struct(ends.alias("ends"), taken(state["free"], pool_slots).alias("free"), (state["waited"] + begin - r["a"]).alias("waited"), F.greatest(state["done"], end).alias("done"))
+        ends[r["e"]] = sorted([*mine[1:], end])
+        return ends, sorted([*free[1:], end]), n + 1, waited + begin - r["a"], max(done, end)
 
-    folded = requests.groupBy(pool).agg(F.count("*").alias("requests"), F.aggregate(steps, start, place).alias("s"))
-    return folded.select(pool, "requests", F.col("s.waited").alias("waited"), F.col("s.done").alias("finished"))
+    rows = requests.select(pool, F.col(order).alias("o"), F.col(endpoint).alias("e"), F.col(arrival).cast("double").alias("a"), F.col(duration).cast("double").alias("d"))
+    begin = lambda: ([[0.0] * slots for _ in range(endpoints)], [0.0] * pool_slots, 0, 0.0, 0.0)
+    return fold_sorted(rows, [pool], ["o", "e", "a", "d"], begin, place, lambda s: {"requests": s[2], "waited": s[3], "finished": s[4]}, "requests long, waited double, finished double")
 
 
 def sweep_json(points: DataFrame) -> DataFrame:

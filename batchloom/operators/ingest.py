@@ -108,8 +108,8 @@ def lines_at(plan_entries: DataFrame, lines: DataFrame) -> DataFrame:
     return plan_entries.join(lines, ["batch_id", "ordinal"])
 
 
-def safe_names(models: DataFrame) -> DataFrame:
-    """(model, first_seen) with file names: collisions are numbered in first-seen order, and no number takes a name in use."""
+def safe_names(models: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., model, first_seen) with file names within a job: collisions are numbered in first-seen order, and no number takes a name in use."""
     based = models.withColumn("base", safe_model(F.col("model")))
     ordered = F.sort_array(F.collect_list(F.struct("first_seen", "model", "base")))
     # A fold over all models of a job, a few by nature: each takes its base, or the next number that is free.
@@ -123,7 +123,7 @@ def safe_names(models: DataFrame) -> DataFrame:
         chosen = F.when(F.array_contains(used, base), free).otherwise(base)
         return F.struct(F.array_append(used, chosen).alias("used"), F.array_append(state["out"], F.struct(row["model"].alias("model"), chosen.alias("safe_name"))).alias("out"))
 
-    return based.agg(F.aggregate(ordered, empty, name)["out"].alias("out")).select(F.inline("out"))
+    return based.groupBy(*by).agg(F.aggregate(ordered, empty, name)["out"].alias("out")).select(*by, F.inline("out"))
 
 
 def file_totals(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .folds import fold_sorted
 
 
 def buckets(kind: str) -> list[float]:
@@ -46,10 +47,19 @@ def histogram_quantile(q: float, cumulative: DataFrame, by: Sequence[str] = ())
     return rows.filter(total > 0).select(*by, value.alias("value"))
 
 
-def growth(series: DataFrame, keys: Sequence[str], at: str = "at", value: str = "value") -> DataFrame:
-    """Adds ``delta``: growth since the sample before; a counter that fell has been reset and starts from 0."""
-    last = F.lag(value).over(W.partitionBy(*keys).orderBy(at))
-    return series.withColumn("delta", F.when(last.isNull(), 0.0).when(F.col(value) < last, F.col(value)).otherwise(F.col(value) - last))
+def growth(series: DataFrame, keys: Sequence[str], at: str = "at", value: str = "value", span: int = 86_400) -> DataFrame:
+    """Adds ``delta``: growth since the sample before; a counter that fell has been reset and starts from 0.
+
+    Samples are compared within spans of ``at``; a span's first one takes the last of the span before from a table of
+    one row a span, so a series is no one task's.
+    """
+    part = F.floor(F.col(at) / span)
+    rows = series.withColumn("__span", part)
+    ends = rows.groupBy(*keys, "__span").agg(F.max(F.struct(F.col(at), F.col(value)))[value].alias("__end"))
+    ends = ends.select(*keys, "__span", F.lag("__end").over(W.partitionBy(*keys).orderBy("__span")).alias("__before"))
+    last = F.coalesce(F.lag(value).over(W.partitionBy(*keys, "__span").orderBy(at)), F.col("__before"))
+    delta = F.when(F.col("__last").isNull(), 0.0).when(F.col(value) < F.col("__last"), F.col(value)).otherwise(F.col(value) - F.col("__last"))
+    return rows.join(ends, [*keys, "__span"]).withColumn("__last", last).withColumn("delta", delta).select(*series.columns, "delta")
 
 
 def rate(grown: DataFrame, window_s: int, by: Sequence[str] = (), at: str = "at") -> DataFrame:
@@ -102,19 +112,15 @@ def aimd(signals: DataFrame, key: str, order: str, signal: str, start: int = S.A
     As many successes as the limit allows raise it by ``step``; a slow-down cuts it by ``factor`` and
     starts the count again; it stays within [least, most].
     """
-    zero = F.lit(0).cast("long")
-    first = F.struct(F.lit(max(least, min(most, start))).cast("long").alias("limit"), zero.alias("wins"), zero.alias("ups"), zero.alias("downs"))
-    ordered = F.sort_array(F.collect_list(F.struct(order, signal)))
-
-    def move(s: Column, x: Column) -> Column:
-        v = x[signal]
-        full = (v == 1) & (s["wins"] + 1 >= s["limit"])
-        cut = F.greatest(F.lit(least).cast("long"), F.floor(s["limit"] * F.lit(factor)).cast("long"))
-        up = F.least(s["limit"] + step, F.lit(most).cast("long"))
-        new = F.when(v == -1, cut).when(full, up).otherwise(s["limit"])
-        return F.struct(
-            new.alias("limit"), F.when((v == -1) | full, zero).when(v == 1, s["wins"] + 1).otherwise(s["wins"]).alias("wins"),
-            (s["ups"] + (new > s["limit"]).cast("long")).alias("ups"), (s["downs"] + (new < s["limit"]).cast("long")).alias("downs"),
-        )
-
-    return signals.groupBy(key).agg(F.aggregate(ordered, first, move).alias("s")).select(key, "s.*")
+    begin = max(least, min(most, start))
+
+    def move(s: tuple, row: dict) -> tuple:
+        limit, wins, ups, downs = s
+        x = row[signal]
+        full = x == 1 and wins + 1 >= limit
+        new = max(least, int(limit * factor)) if x == -1 else min(limit + step, most) if full else limit
+        wins = 0 if x == -1 or full else wins + 1 if x == 1 else wins
+        return new, wins, ups + (new > limit), downs + (new < limit)
+
+    rows = signals.select(key, F.col(order).alias("at"), signal)
+    return fold_sorted(rows, [key], ["at", signal], lambda: (begin, 0, 0, 0), move, lambda s: dict(zip(("limit", "wins", "ups", "downs"), s)), "limit long, wins long, ups long, downs long")

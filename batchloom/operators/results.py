@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import not_executed_message, result_error, result_key, succeeded
 from ..schemas import DROPPED_LATE
+from .folds import fold_sorted
 
 ROUTES = ("output", "error")
 
@@ -154,11 +157,18 @@ def result_lines(entries: DataFrame) -> DataFrame:
 
 
 def artifacts(lines: DataFrame) -> DataFrame:
-    """Per (batch, route): lines, bytes and digest of the artifact in ordinal order; a route without lines has no row."""
-    rows = F.sort_array(F.collect_list(F.struct("ordinal", "line")))
-    text = F.array_join(F.transform("rows", lambda r: r["line"]), "")
-    grouped = lines.groupBy("batch_id", "route").agg(rows.alias("rows"))
-    return grouped.select("batch_id", "route", F.size("rows").cast("long").alias("lines"), F.octet_length(text).cast("long").alias("bytes"), F.sha2(text, 256).alias("sha256"))
+    """Per (batch, route): lines, bytes and digest of the artifact in ordinal order; a route without lines has no row.
+
+    Digests are fed line by line, so an artifact is never held as one text.
+    """
+
+    def feed(state: list, row: dict) -> list:
+        raw = row["line"].encode()
+        state[0].update(raw)
+        return [state[0], state[1] + 1, state[2] + len(raw)]
+
+    rows = lines.select("batch_id", "route", "ordinal", "line")
+    return fold_sorted(rows, ["batch_id", "route"], ["ordinal", "line"], lambda: [hashlib.sha256(), 0, 0], feed, lambda s: {"lines": s[1], "bytes": s[2], "sha256": s[0].hexdigest()}, "lines long, bytes long, sha256 string")
 
 
 def verify_artifacts(derived: DataFrame, stored: DataFrame) -> DataFrame:

@@ -228,14 +228,14 @@ def plan_prefix_order(spark, sf):
 
 
 @_query(
-    "with m as (select p_type || ':' || p_size || case when p_partkey % 2 = 0 then '' else '?' end as model, min(p_partkey) as first_seen from part group by 1), "
-    "b as (select *, regexp_replace(model, '[^a-zA-Z0-9._-]+', '_', 'g') as base from m), r as (select *, row_number() over (partition by base order by first_seen) as n from b) "
-    "select model, base || case when n > 1 then '_' || n else '' end as safe_name from r"
+    "with m as (select p_brand as batch_id, p_type || ':' || p_size % 3 || case when p_partkey % 2 = 0 then '' else '?' end as model, min(p_partkey) as first_seen from part group by 1, 2), "
+    "b as (select *, regexp_replace(model, '[^a-zA-Z0-9._-]+', '_', 'g') as base from m), r as (select *, row_number() over (partition by batch_id, base order by first_seen) as n from b) "
+    "select batch_id, model, base || case when n > 1 then '_' || n else '' end as safe_name from r"
 )
 def safe_model_names(spark, sf):
-    model = F.concat("p_type", F.lit(":"), c("p_size").cast("string"), F.when(c("p_partkey") % 2 == 0, "").otherwise("?"))
-    models = view(spark, sf, "part").select(model.alias("model"), "p_partkey").groupBy("model").agg(F.min("p_partkey").alias("first_seen"))
-    return ingest.safe_names(models)
+    model = F.concat("p_type", F.lit(":"), (c("p_size") % 3).cast("string"), F.when(c("p_partkey") % 2 == 0, "").otherwise("?"))
+    models = view(spark, sf, "part").select(c("p_brand").alias("batch_id"), model.alias("model"), "p_partkey").groupBy("batch_id", "model").agg(F.min("p_partkey").alias("first_seen"))
+    return ingest.safe_names(models, ["batch_id"])
 
 
 UUID5 = "substr(x,1,8) || '-' || substr(x,9,4) || '-5' || substr(x,14,3) || '-' || printf('%02x', (('0x'||substr(x,17,2))::INT & 63)|128) || substr(x,19,2) || '-' || substr(x,21,12)"

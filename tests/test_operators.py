@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom import schemas as S
-from batchloom.operators import analysis, catalog, ingest, lifecycle, metrics, mutations, results
+from batchloom.operators import analysis, catalog, folds, ingest, lifecycle, metrics, mutations, results
 from batchloom.plans import job
 from batchloom.sources import jsonl
 
@@ -363,6 +363,35 @@ def test_counter_reset(spark):
     assert [r["delta"] for r in metrics.growth(df, ["k"]).orderBy("at").collect()] == [0.0, 5.0, 4.0]
 
 
+def test_growth_goes_on_between_spans(spark):
+    rows = [("s", t, float(v)) for t, v in ((0, 3), (5, 4), (11, 9), (31, 2), (39, 2), (40, 8))]
+    df = spark.createDataFrame(rows, "k string, at long, value double")
+    want = [0.0, 1.0, 5.0, 2.0, 0.0, 6.0]
+    assert all([r["delta"] for r in metrics.growth(df, ["k"], span=s).orderBy("at").collect()] == want for s in (1, 10, 1000))
+
+
+def test_deciles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {0: [5.0], 1: rng.normal(0, 3, 1000).round(1).tolist(), 2: (-rng.exponential(5, 77)).tolist(), 3: [0.0] * 50 + [1e-9, 7.0], 4: rng.uniform(1e6, 1e9, 333).tolist()}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [(1, None), (9, None)], "k int, x double")
+    got = {r["k"]: r["deciles"] for r in analysis.deciles_of(df, ["k"], "x").collect()}
+    assert set(got) == set(groups)
+    assert all(np.allclose(got[k], np.percentile(v, range(0, 101, 10)), rtol=1e-12, atol=1e-12) for k, v in groups.items())
+
+
+def test_folds_hold_one_state(spark):
+    from pyspark.sql import types as T
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"))
+    out = folds.fold_sorted(df, ["k"], ["o"], lambda: [], lambda s, r: [r["o"], *s[:1]], lambda s: {"last": s[0], "before": s[1]}, "last long, before long")
+    assert out.schema["k"].dataType == T.LongType()
+    assert sorted(map(tuple, out.collect())) == [(0, 4998, 4995), (1, 4999, 4996), (2, 4997, 4994)]
+    plan = metrics.aimd(df.withColumn("signal", F.lit(1)), "k", "o", "signal")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def test_analysis(spark):
     s = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, 3.0)], "k int, v double")
     assert tuple(analysis.series_summary(s, ["k"], "v").first()) == (1, 2.0, 1.0, 3.0)
