@@ -428,3 +428,37 @@ def test_empty_tables(spark):
     assert packing.pack(none, bpe.default_path()).count() == 0
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digests(chat_format.format_paths(chat_format.chain(turns))).count() == 0
+
+
+# ---- ids by the faster library
+
+
+def test_both_files_hold_one_vocabulary():
+    """Ranks are ids, merges are tried in the order of ids, and single bytes are the only other entries."""
+    import base64
+    import json
+
+    path = bpe.default_path()
+    with open(path) as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    # Bytes stand as printable characters: those that are printable stand for themselves, the others follow from 256 on.
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+    shown = {"".join(char[b] for b in token): rank for token, rank in ranks.items()}
+    assert vocab == shown
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    assert [vocab[a + b] for a, b in merges] == list(range(256, 256 + len(merges)))
+    assert len(vocab) == 256 + len(merges)
+
+
+def test_both_libraries_split_plain_text_alike():
+    """Every pair of the plain code points, alone and between letters, digits, signs and blanks."""
+    both = bpe.Ids(bpe.default_path())
+    plain = [chr(c) for c in range(0x3000) if not bpe._PLAIN.search(chr(c))]
+    assert len(plain) > 300
+    for x in plain:
+        for text in ("".join(f"{x}{y}" for y in plain), "".join(f"a{x}{y}1" for y in plain), " ".join(f"{x}{y}" for y in plain), "".join(f"{x}'{y}  " for y in plain)):
+            assert both.fast(text) == both.own.encode(text, add_special_tokens=False).ids
