@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import schemas as S
 from .functions import scalars as fn
-from .operators import analysis, catalog, ingest, lifecycle, metrics, mutations, results
+from .operators import analysis, catalog, deliveries, ingest, lifecycle, metrics, mutations, results
 from .plans.fixtures import NOW, view
 from .queries import TERMINAL, _entries, _items, _query, c
 
@@ -326,3 +326,57 @@ def two_level_schedule(spark, sf):
     s = view(spark, sf, "signals").withColumns({"pool": F.floor(c("sec") / 86400).cast("long"), "e": (c("user_id") % 8).cast("int"), "d": c("latency_s") * 90000})
     out = analysis.two_level_schedule(s, "pool", "e", 8, "sec", "d", "event_id", 2, 3)
     return out.withColumn("waited", F.round("waited", 3)).withColumn("finished", F.round("finished", 3))
+
+
+_QUEUE = f"q as (select event_id as seq, case when event_id % 3 = 0 then {NOW} + (event_id % 5 - 2) * 100 end as lease_until from fx_signals)"
+
+
+def _queue(spark, sf):
+    return view(spark, sf, "signals").select(c("event_id").alias("seq"), F.when(c("event_id") % 3 == 0, NOW + (c("event_id") % 5 - 2) * 100).alias("lease_until"))
+
+
+_FREE = f"r as (select seq from q where lease_until is null or lease_until <= {NOW} order by seq limit 100)"
+
+
+@_query(f"with {_QUEUE}, {_FREE} select q.seq, case when r.seq is not null then {NOW} + 300 else q.lease_until end as lease_until from q left join r on q.seq = r.seq where q.seq % 7 <> 0 or r.seq is null")
+def leased_receive(spark, sf):
+    received, after = deliveries.receive(_queue(spark, sf), 100, NOW, S.LEASE_S)
+    return deliveries.acknowledge(after, received.filter("seq % 7 = 0"))
+
+
+@_query(f"with {_QUEUE}, {_FREE} select q.* from q where seq not in (select seq from r)")
+def destructive_receive(spark, sf):
+    return deliveries.receive(_queue(spark, sf), 100, NOW)[1]
+
+
+@_query(
+    "select batch_id, action, count(*) as n from (select d.batch_id, case when d.batch_id in (select id from fx_items where processor_id is not null) then 'deliver' "
+    "when d.batch_id in (select batch_id from fx_entries where status in ('pending', 'in_flight')) then 'hold' else 'ack' end as action from fx_deliveries d) group by 1, 2"
+)
+def delivery_actions(spark, sf):
+    live = _items(spark, sf).filter("processor_id is not null").select(c("id").alias("batch_id"))
+    return metrics.counts(deliveries.route_deliveries(view(spark, sf, "deliveries").select("batch_id", "custom_id"), live, results.open_batches(_entries(spark, sf))), "batch_id", "action")
+
+
+_COMMITS = "d as (select batch_id as run, custom_id, ordinal * 10000 + arrival as seq, ordinal % 4 <> 3 as owned, case when p % 17 = 0 then 'conflict' when p % 19 = 0 then 'error' when arrival > 1 then 'duplicate' else 'ok' end as outcome from fx_deliveries)"
+
+
+def _commits(spark, sf):
+    outcome = F.when(c("p") % 17 == 0, "conflict").when(c("p") % 19 == 0, "error").when(c("arrival") > 1, "duplicate").otherwise("ok")
+    return view(spark, sf, "deliveries").select(c("batch_id").alias("run"), "custom_id", (c("ordinal") * 10000 + c("arrival")).alias("seq"), (c("ordinal") % 4 != 3).alias("owned"), outcome.alias("outcome"))
+
+
+@_query(
+    f"with {_COMMITS}, f as (select run, min(seq) as at, arg_min(outcome, seq) as error from d where owned and outcome in ('conflict', 'error') group by run) "
+    "select d.run, d.seq, d.owned and (f.at is null or d.seq < f.at) as acked, case when d.owned and d.seq >= f.at then f.error end as error from d left join f on d.run = f.run"
+)
+def drained_commits(spark, sf):
+    return deliveries.drain(_commits(spark, sf), "run").select("run", "seq", "acked", "error")
+
+
+@_query(
+    f"with {_COMMITS}, f as (select run, min(seq) as at, arg_min(outcome, seq) as error from d where owned and outcome in ('conflict', 'error') group by run) "
+    "select d.run, max(f.error) as error, count(*) filter (d.owned and (f.at is null or d.seq < f.at)) as acked from d left join f on d.run = f.run group by d.run"
+)
+def run_errors(spark, sf):
+    return deliveries.run_error(_commits(spark, sf), "run")

@@ -82,3 +82,29 @@ def synthetic_requests(spark: SparkSession, n: int, mean: float, stdev: float, l
 
 def request_line(custom_id: str, model: str, messages: list[dict], url: str = "/v1/chat/completions") -> str:
     return json.dumps({"custom_id": custom_id, "method": "POST", "url": url, "body": {"model": model, "messages": messages}})
+
+
+class StagedObject:
+    """Lines that nobody sees before they are committed: they are written beside their place, under a name that readers skip, and moved there whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        folder, _, name = self.path.rpartition("/")
+        self.staged = f"{folder}/_staged-{name}"
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def write(self, lines: DataFrame, column: str = "line") -> None:
+        lines.select(F.rtrim(F.col(column), F.lit("\n")).alias("value")).write.mode("errorifexists").text(self.staged)
+
+    def commit(self) -> None:
+        """An object that is there already stays, and the commit fails."""
+        if self._fs.exists(self._at(self.path)):
+            raise FileExistsError(self.path)
+        if not self._fs.rename(self._at(self.staged), self._at(self.path)):
+            raise OSError(f"{self.staged} could not be moved")
+
+    def abort(self) -> None:
+        """Takes back what was written; after a commit there is nothing to take back."""
+        self._fs.delete(self._at(self.staged), True)

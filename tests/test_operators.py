@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom import schemas as S
-from batchloom.operators import analysis, catalog, folds, ingest, lifecycle, metrics, mutations, results
+from batchloom.operators import analysis, catalog, deliveries, folds, ingest, lifecycle, metrics, mutations, results
 from batchloom.plans import job
 from batchloom.sources import jsonl
 
@@ -451,3 +451,25 @@ def test_slots(spark):
     assert tuple(analysis.slot_schedule(df, "k", "a", "d", "o", 2).first()) == ("e", 4, 9.0, 31.0)
     points = analysis.sweep(spark.createDataFrame([(1, 5, 2.0)], "scenario int, rate int, v double"), "v")
     assert json.loads(analysis.sweep_json(points).first()["document"]) == {"scenario": 1, "points": [{"rate": 5, "value": 2.0}]}
+
+
+def test_staged_object(spark, tmp_path):
+    df = spark.createDataFrame([("a\n",), ("b\n",)], "line string")
+    top = f"file://{tmp_path}/objects"
+    first, second = jsonl.StagedObject(spark, f"{top}/x"), jsonl.StagedObject(spark, f"{top}/x")
+    first.write(df)
+    assert not (tmp_path / "objects" / "x").exists()
+    first.commit()
+    second.write(df.limit(1))
+    with pytest.raises(FileExistsError):
+        second.commit()
+    second.abort()
+    assert sorted(r["value"] for r in spark.read.text(f"{top}/x").collect()) == ["a", "b"]
+    assert [p.name for p in (tmp_path / "objects").iterdir() if not p.name.startswith(".")] == ["x"]
+
+
+def test_drain(spark):
+    rows = [("r", 1, True, "ok"), ("r", 2, False, "conflict"), ("r", 3, True, "duplicate"), ("r", 4, True, "conflict"), ("r", 5, True, "ok"), ("r", 6, True, "error"), ("s", 1, True, "ok")]
+    df = spark.createDataFrame(rows, "run string, seq long, owned boolean, outcome string")
+    assert sorted((r["run"], r["seq"]) for r in deliveries.drain(df, "run").filter("acked").collect()) == [("r", 1), ("r", 3), ("s", 1)]
+    assert {r["run"]: (r["error"], r["acked"]) for r in deliveries.run_error(df, "run").collect()} == {"r": ("conflict", 2), "s": (None, 1)}
