@@ -140,8 +140,8 @@ def expiry_and_wait(spark, sf):
 
 
 @_query(
-    "select id, case when k * 1000 >= (k % 7 + 1) * 5000 or true then case when floor((floor(k * 1000 / 100) * 30 + floor(((k * 1000) % 100) * 30 / 100)) / ((k % 7 + 1) * 500)) >= 1 "
-    "then least(k % 9 + 1, cast(floor((floor(k * 1000 / 100) * 30 + floor(((k * 1000) % 100) * 30 / 100)) / ((k % 7 + 1) * 500)) as bigint)) end end as workers from fx_items".replace(" case when k * 1000 >= (k % 7 + 1) * 5000 or true then", "").replace(" end end as", " end as")
+    "with r as (select id, k % 9 + 1 as asked, floor(k * 300 / ((k % 7 + 1) * 500)) as fit from fx_items) "
+    "select id, case when fit >= 1 then least(asked, cast(fit as bigint)) end as workers from r"
 )
 def workers_that_fit(spark, sf):
     k = c("k")
@@ -271,7 +271,7 @@ def recovery_counters(spark, sf):
     return metrics.counts(cancels.unionByName(recoveries), "counter", "status", "action")
 
 
-@_query("select endpoint, avg(v) as mean, min(v) as least, max(v) as most from (select endpoint, latency_s as v from fx_signals where event_id % 5 <> 0) group by endpoint".replace("avg(v)", "round(avg(v), 6)"))
+@_query("select endpoint, round(avg(v), 6) as mean, min(v) as least, max(v) as most from (select endpoint, latency_s as v from fx_signals where event_id % 5 <> 0) group by endpoint")
 def series_summaries(spark, sf):
     s = view(spark, sf, "signals").withColumn("v", F.when(c("event_id") % 10 == 0, float("nan")).when(c("event_id") % 10 == 5, None).otherwise(c("latency_s")))
     return analysis.series_summary(s, ["endpoint"], "v").withColumn("mean", F.round("mean", 6))

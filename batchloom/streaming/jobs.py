@@ -31,8 +31,8 @@ def push_progress(progress: DataFrame, push: Callable[[DataFrame], None], checkp
 
 
 def route_stream(results: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """Results with their subscribers, a null one for the residue: a stream joined with a small table."""
-    return results.join(F.broadcast(subscribers), "batch_id", "left")
+    """Results with their subscribers, a null one for the residue: a stream joined with a table, which Spark broadcasts only if it is small."""
+    return results.join(subscribers, "batch_id", "left")
 
 
 def pending_stream(requests: DataFrame, answers: DataFrame, wait: str, delay: str = "0 seconds") -> DataFrame:
