@@ -72,7 +72,10 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of a text's anchors, hashes of their bytes, and digests of the segments around them."""
+    """Places of a text's anchors, hashes of their bytes, and digests of the segments around them.
+
+    Segments of one digest count as equal, so it is a cryptographic one: texts can be built that collide under the rolling hash.
+    """
     a = np.frombuffer(raw, dtype=np.uint8)
     n, found = len(a), []
     for at in range(0, n - length + 1, PART):
@@ -87,8 +90,9 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         place = np.unique(least[np.concatenate([[True], least[1:] != least[:-1]])] & _PLACE).astype(np.int64)
         p = place + at - low  # in the part
         x, y = np.maximum(p + low - (length - gram), 0) - low, np.minimum(p + low + length, n) - low
-        digest = _mix(((total[y] - total[x]) * _DOWN[x]) ^ _mix(((p - x) * 4096 + (y - p)).astype(np.uint64)))
-        found.append((p + low, h[place], digest))
+        body, before = part.tobytes(), (p - x).tolist()
+        digest = [hashlib.blake2b(body[s:e], digest_size=8, salt=b"%d" % b).digest() for s, e, b in zip(x.tolist(), y.tolist(), before)]
+        found.append((p + low, h[place], np.frombuffer(b"".join(digest), dtype=np.uint64)))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     places = np.concatenate([f[0] for f in found])
