@@ -140,6 +140,23 @@ def draw(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
 
 
+def collect_within(df: DataFrame, label: str, most: int, *columns: str) -> list:
+    """Collects the rows of ``df``, whose number the caller bounds; the rows longest by ``columns`` are left out until the
+    others have at most ``most`` bytes there, so that very long texts don't fill the driver."""
+    scratch = Scratch(df.sparkSession, label)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in columns), F.lit(0)).cast("long")
+    rows = scratch.table(df, "rows")
+    limit, total = -1, 0
+    for r in sorted(rows.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()):
+        total += r["size"] * r["n"]
+        if total > most:
+            break
+        limit = r["size"]
+    out = rows.filter(size <= limit).collect()
+    scratch.drop("rows")
+    return out
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5: the contract's held-out fold is remainder 0 (a null id has none)."""
     return F.crc32(doc_id.cast("string")) % 5

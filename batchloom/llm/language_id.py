@@ -3,7 +3,7 @@
 Features are 1- to 3-grams of the lower-cased text's code points, hashed to ``BUCKETS``; a feature's value
 is its share of the text's n-grams times its inverse document frequency, and document frequencies cover
 all learnable rows. Weights are fitted by follow-the-regularised-leader with elastic-net penalties on at
-most ``FIT_ROWS`` labelled rows; a temperature is then calibrated on rows that the fit left out. The fit
+most ``FIT_ROWS`` labelled rows with ``FIT_BYTES`` of features; a temperature is then calibrated on rows that the fit left out. The fit
 sees text and language only; prediction sees text only.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; so is every text when nothing
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_arrow
+from .common import collect_within, fold, map_arrow
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3)
@@ -25,6 +25,8 @@ SCALE = 100.0
 #: Bounds of the fit: labelled rows (shared evenly by languages) and languages (the most frequent).
 FIT_ROWS = 2400
 MOST_LANGUAGES = 256
+#: Bytes of the fit's features; beyond it the texts with the most distinct n-grams are left out.
+FIT_BYTES = 128 << 20
 #: Code points hashed at once; a longer text is taken in parts that overlap.
 PART = 1 << 18
 
@@ -80,7 +82,7 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _vectors(batches):
     for b in batches:
         found = [vector(t) for t in b["text"]]
-        yield {"lang": b["lang"], "part": b["part"], "at": [x[0].astype(np.int32).tobytes() for x in found], "share": [x[1].astype(np.float32).tobytes() for x in found]}
+        yield {"lot": b["lot"], "lang": b["lang"], "part": b["part"], "at": [x[0].astype(np.int32).tobytes() for x in found], "share": [x[1].astype(np.float32).tobytes() for x in found]}
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -185,8 +187,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         quota = max(8, FIT_ROWS // len(langs))
         share = F.create_map(*[F.lit(x) for v in langs for x in (v, min(1.0, quota / counts[v]))])
         lot = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20))
-        sample = known.filter(lot / float(1 << 20) < share[F.col("lang")]).orderBy(lot, "doc_id", "text").select("text", "lang", "part").limit(2 * quota * len(langs))
-        weights, t = fit(map_arrow(sample, _vectors, "lang string, part int, at binary, share binary").collect(), idf, langs)
+        sample = known.filter(lot / float(1 << 20) < share[F.col("lang")]).orderBy(lot, "doc_id", "text").select(lot.alias("lot"), "text", "lang", "part").limit(2 * quota * len(langs))
+        drawn = collect_within(map_arrow(sample, _vectors, "lot long, lang string, part int, at binary, share binary"), "language-fit", FIT_BYTES, "at", "share")
+        weights, t = fit(sorted(drawn, key=lambda r: (r["lot"], r["at"], r["share"], r["lang"])), idf, langs)
         model = (langs, weights, t)
     shared = spark.sparkContext.broadcast(model)
     return map_arrow(rows.select("doc_id", F.coalesce(F.col("part") == 0, F.lit(False)).alias("held_out"), "text"), _predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -11,7 +11,8 @@ other class's text all but lacks: they are taken while they cover documents of t
 covered yet. The dictionaries are filled up to one size. A logistic model of the windows' distances (how
 many reach each of STEPS, in all and by length) is calibrated on labelled rows that training left out.
 
-Labelled rows: at most ``FIT_TOXIC`` and ``FIT_ORDINARY``, drawn by a hash, never of fold 0. Defined
+Labelled rows: at most ``FIT_TOXIC`` and ``FIT_ORDINARY``, drawn by a hash, never of fold 0, with ``FIT_BYTES`` of
+text at most; every text is scored whole, however long. Defined
 cases: null or wordless text has distances 0; without labels of both kinds every score is 0; a document
 with several labels is toxic if one is; repeated rows each give a row; an empty table gives no rows.
 """
@@ -25,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import draw, fold, map_arrow, ship
+from .common import collect_within, draw, fold, map_arrow, ship
 
 WINDOW_BYTES = 32
 FIT_TOXIC, FIT_ORDINARY = 1500, 4000
+#: Bytes of all texts of the fit; beyond it the longest are left out.
+FIT_BYTES = 32 << 20
 #: Shortest match and longest stem; stems of a dictionary, those weighed, and how much rarer the other class must have one.
 K = 6
 STEM_BYTES = 12
@@ -189,7 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.filter(part != 0).withColumn("part", part)
     chosen = draw(known.filter("toxic = 1"), FIT_TOXIC, "__id").unionAll(draw(known.filter("toxic = 0"), FIT_ORDINARY, "__id"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).select("toxic", "part", "text").collect()
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text")).select("toxic", "part", "text")
+    rows = collect_within(rows, "toxicity-fit", FIT_BYTES, "text")
     seen: dict[bytes, tuple[int, int]] = {}
     for r in sorted(rows, key=lambda r: (r["toxic"], r["text"])):
         seen[normal(r["text"])] = (r["toxic"], r["part"])

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from batchloom.llm import language_id, toxicity
+from batchloom.llm import common, language_id, toxicity
 
 from . import brute
 
@@ -107,3 +107,11 @@ def test_dictionaries_part_the_classes():
     assert sum(toxicity.distances(toxicity.normal("what other thing that is"), contents)[1:]) == 0
     raw = toxicity.normal("Ein längerer Text, " * 40)
     assert sum(map(len, toxicity.windows(raw))) == len(raw)
+
+
+def test_fits_are_bounded_by_bytes(spark):
+    df = spark.createDataFrame([(1, "a" * 10, None), (2, "b" * 10, "x"), (3, "c" * 40, "x"), (4, None, None), (5, "d" * 11, None)], "k int, a string, b string")
+    keys = lambda most: sorted(r["k"] for r in common.collect_within(df, "test", most, "a", "b"))
+    assert keys(200) == [1, 2, 3, 4, 5] and keys(72) == [1, 2, 4, 5]
+    assert keys(31) == [1, 4]  # rows of one size go together
+    assert keys(0) == [4] and common.collect_within(df.limit(0), "test", 9, "a") == []
