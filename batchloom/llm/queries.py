@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
+from . import bpe, chat_format, decontaminate, fill_middle, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
 from .common import read_table
 
 #: Production parameters.
@@ -175,6 +175,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), bpe.default_path(), CAPACITY, END_ID)
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(read_table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP13_SQL = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u from documents),
+r as (
+  select *, len(u) as n, cast('0x' || substr(h, 1, 8) as bigint) % (len(u) + 1) as h1, cast('0x' || substr(h, 9, 8) as bigint) % (len(u) + 1) as h2,
+         cast('0x' || substr(h, 17, 8) as bigint) % 100 as h3, cast('0x' || substr(h, 25, 8) as bigint) % 100 as h4 from d),
+c as (
+  select doc_id, n, text, array_to_string(u[1 : least(h1, h2)], '') as p, array_to_string(u[least(h1, h2) + 1 : greatest(h1, h2)], '') as m, array_to_string(u[greatest(h1, h2) + 1 : n], '') as s,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 >= 50 then 'plain' when h4 < 80 then 'spm' else 'psm' end as form from r)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(p) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(text) as restored_sha256
+from c
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_join": op2_ngram_join,
@@ -186,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -193,4 +217,5 @@ SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
