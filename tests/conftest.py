@@ -33,7 +33,7 @@ def same_rows(spark_df, sql, sf=SF):
     import duckdb
 
     con = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split():
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     r = con.execute(sql)
     names = [d[0] for d in r.description]
