@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, fill_middle, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
+from . import bpe, chat_format, click_windows, decontaminate, fill_middle, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
 from .common import read_table
 
 #: Production parameters.
@@ -175,6 +175,47 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), bpe.default_path(), CAPACITY, END_ID)
 
 
+def op11_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return click_windows.dedup(click_windows.copies(read_table(spark, sf_dir, "clicks")))
+
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+#: A click's rows in order of batch, hour and digest, one step of the recursion for each.
+OP11_SQL = f"""
+with recursive k as (
+  select *, click_id || ':' || j as s from (select *, unnest(range(0, click_id % 3 + 1)) as j from clicks where click_id is not null and arrived_at is not null)),
+c as (select *, {_CRC.format("s")} as c, cast(floor(epoch_us(arrived_at) / 3600000000) as bigint) as arrived from k),
+h as (
+  select click_id, arrived + 6 * j * (c % 10) as hour, arrived + 6 * j * (c % 10) + (c // 10) % 200 as late,
+         sha256(coalesce(cast(client_id as varchar), '') || '|' || coalesce(kind, '') || '|' || coalesce(cast(cast(floor(100 * value + 0.5) as bigint) as varchar), '') || '|'
+                || coalesce(cast(epoch_us(ts) as varchar), '') || '|' || coalesce(props, '') || '|' || cast(c % 3 as varchar)) as hash
+  from c),
+b as (select *, (late - (select min(late) from h)) * 8 // (select max(late) - min(late) + 1 from h) as batch from h),
+n as (select unnest(range(0, 8)) as batch),
+m as (select n.batch, max(b.hour) as m from n join b on b.batch <= n.batch group by 1),
+r as (
+  select b.*, row_number() over (partition by click_id order by b.batch, hour, hash) as no
+  from b left join m on m.batch = b.batch - 1 where m.m is null or hour >= m.m - 96),
+f as (
+  select click_id, no, 1 as slot, hour as start_hour, hash as opener, batch, 0 as n_repeats, false as conflict, hash from r where no = 1
+  union all
+  select f.click_id, r.no, case when r.hour <= f.start_hour + 24 then f.slot else f.slot + 1 end, case when r.hour <= f.start_hour + 24 then f.start_hour else r.hour end,
+         case when r.hour <= f.start_hour + 24 then f.opener else r.hash end, r.batch, case when r.hour <= f.start_hour + 24 then 1 else 0 end, r.hour <= f.start_hour + 24 and r.hash <> f.opener, r.hash
+  from f join r on r.click_id = f.click_id and r.no = f.no + 1),
+w as (
+  select click_id, slot, min(start_hour) as start_hour, min(opener) as hash, min(batch) as batch, sum(n_repeats) as n_repeats, count(*) filter (conflict) as n_conflicts,
+         coalesce(sum({_CRC.format("hash")}) filter (conflict), 0) as conflict_crc
+  from f group by 1, 2),
+x as (select *, lead(batch) over (partition by click_id order by slot) as next from w),
+y as (select x.click_id, x.slot, min(m.batch) as due from x join m on m.batch >= x.batch and x.start_hour + 24 < m.m - 96 group by 1, 2)
+select click_id, start_hour, cast(least(coalesce(due, 7), coalesce(next, 7)) as bigint) as closed_batch, cast(n_repeats as bigint) as n_repeats, n_conflicts, cast(conflict_crc as bigint) as conflict_crc, hash
+from x left join y using (click_id, slot)
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(read_table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -209,6 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_click_dedup": op11_click_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -217,5 +259,6 @@ SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op11_click_dedup": OP11_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
