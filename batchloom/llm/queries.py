@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, click_windows, decontaminate, fill_middle, language_id, line_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
+from . import bpe, chat_format, click_windows, decontaminate, fill_middle, language_id, line_dedup, minhash_dedup, ngram_join, packing, quality_rules, repeats, token_counts, toxicity
 from .common import read_table
 
 #: Production parameters.
@@ -16,6 +16,8 @@ END_ID = 2
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
 JACCARD_PERCENT = 90
+MINHASH_WORDS = 2
+MINHASH_PERCENT = 80
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +218,31 @@ from x left join y using (click_id, slot)
 """
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_copies(read_table(spark, sf_dir, "documents"), MINHASH_WORDS, MINHASH_PERCENT)
+
+
+#: Brute force, as for the n-gram join.
+OP12_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + least(len(w), 2) - 1], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o
+  from (select s.doc_id, s.g, n.n from s join n using (doc_id)) a join (select s.doc_id, s.g, n.n from s join n using (doc_id)) b
+    on a.g = b.g and a.doc_id <> b.doc_id and 10 * a.n >= 8 * b.n and 10 * b.n >= 8 * a.n
+  group by 1, 2),
+l as (select p.x, p.y from p join n a on a.doc_id = p.x join n b on b.doc_id = p.y where 100 * p.o >= 80 * (a.n + b.n - p.o)),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, least(x, min(y)) as c from r group by x)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(c.c, d.doc_id) as component_id, coalesce(c.c, d.doc_id) = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id left join c on c.x = d.doc_id
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.transform(read_table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
@@ -251,6 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_click_dedup": op11_click_dedup,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -260,5 +288,6 @@ SQL: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_click_dedup": OP11_SQL,
+    "op12_minhash_dedup": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
