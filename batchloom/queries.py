@@ -812,4 +812,4 @@ def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFr
     return finalize_counts(spark, sf_dir)
 
 
-from . import queries_rules, queries_streaming, queries_writes  # noqa: E402, F401 (they register their queries here)
+from . import queries_objects, queries_rules, queries_streaming, queries_writes  # noqa: E402, F401 (they register their queries here)

@@ -1,4 +1,4 @@
-"""Sources and sinks: JSON lines with ordinals, plan files, model maps, load-test tables, synthetic requests."""
+"""Sources and sinks: plan files, model maps, load-test tables, synthetic requests."""
 
 from __future__ import annotations
 
@@ -10,23 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ordinal, line) of text files, cut at line feeds only; an unterminated last line counts, an empty tail doesn't.
-
-    A file is one task's work, as its lines' numbers depend on all before them.
-    """
-    whole = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    lines = F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)
-    kept = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(lines)
-    return whole.select("path", F.posexplode(kept).alias("ordinal", "line")).withColumn("ordinal", F.col("ordinal").cast("long"))
-
-
-def line_limits(lines: DataFrame, most_bytes: int, most_lines: int) -> DataFrame:
-    """Per file: bytes, lines and whether it is within the limits of an upload."""
-    out = lines.groupBy("path").agg(F.sum(F.octet_length("line") + 1).cast("long").alias("bytes"), F.count("*").alias("lines"))
-    return out.withColumn("within", (F.col("bytes") <= most_bytes) & (F.col("lines") <= most_lines))
-
-
 _PLAN = struct.Struct("<qII")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from batchloom import schemas as S
 from batchloom.operators import analysis, catalog, deliveries, folds, ingest, lifecycle, metrics, mutations, results
 from batchloom.plans import job
-from batchloom.sources import jsonl
+from batchloom.sources import jsonl, lines
 
 CHAT = "/v1/chat/completions"
 
@@ -56,9 +56,9 @@ def test_read_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_bytes(b"one\r\ntwo\n\nfour")
     (tmp_path / "b.jsonl").write_bytes(b"x\n")
     (tmp_path / "c.jsonl").write_bytes(b"")
-    got = [(r["path"][-7:], r["ordinal"], r["line"]) for r in jsonl.read_lines(spark, str(tmp_path)).orderBy("path", "ordinal").collect()]
+    got = [(r["path"][-7:], r["ordinal"], r["line"]) for r in lines.read_lines(spark, str(tmp_path)).orderBy("path", "ordinal").collect()]
     assert got == [("a.jsonl", 0, "one\r"), ("a.jsonl", 1, "two"), ("a.jsonl", 2, ""), ("a.jsonl", 3, "four"), ("b.jsonl", 0, "x")]
-    limits = {r["path"][-7:]: r["within"] for r in jsonl.line_limits(jsonl.read_lines(spark, str(tmp_path)), 100, 3).collect()}
+    limits = {r["path"][-7:]: r["within"] for r in lines.line_limits(lines.read_lines(spark, str(tmp_path)), 100, 3).collect()}
     assert limits == {"a.jsonl": False, "b.jsonl": True}
 
 
