@@ -1,7 +1,7 @@
 """Operational metrics and the query shapes that dashboards and alerts use over them.
 
 ``rate`` and ``increase`` are the reset-aware growth of a counter inside a window; they are not
-extrapolated to the window's edges.
+extrapolated to the window's edges. ``range_growth`` gives them for windows that slide by steps.
 """
 
 from __future__ import annotations
@@ -47,21 +47,39 @@ def histogram_quantile(q: float, cumulative: DataFrame, by: Sequence[str] = ())
     return rows.filter(total > 0).select(*by, value.alias("value"))
 
 
-def growth(series: DataFrame, keys: Sequence[str], at: str = "at", value: str = "value", span: int = 86_400) -> DataFrame:
+def growth(series: DataFrame, keys: Sequence[str], at: str = "at", value: str = "value", span: int = 86_400, ties: Sequence[str] = ()) -> DataFrame:
     """Adds ``delta``: growth since the sample before; a counter that fell has been reset and starts from 0.
 
-    Samples are compared within spans of ``at``; a span's first one takes the last of the span before from a table of
-    one row a span, so a series is no one task's.
+    Samples of one time go by ``ties``, and then by value. Samples are compared within spans of ``at``; a span's first one takes
+    the last of the span before from a table of one row a span, so a series is no one task's.
     """
-    part = F.floor(F.col(at) / span)
-    rows = series.withColumn("__span", part)
-    ends = rows.groupBy(*keys, "__span").agg(F.max(F.struct(F.col(at), F.col(value)))[value].alias("__end"))
+    order = [at, *ties, value]
+    rows = series.withColumn("__span", F.floor(F.col(at) / span))
+    ends = rows.groupBy(*keys, "__span").agg(F.max_by(value, F.struct(*order)).alias("__end"))
     ends = ends.select(*keys, "__span", F.lag("__end").over(W.partitionBy(*keys).orderBy("__span")).alias("__before"))
-    last = F.coalesce(F.lag(value).over(W.partitionBy(*keys, "__span").orderBy(at)), F.col("__before"))
+    last = F.coalesce(F.lag(value).over(W.partitionBy(*keys, "__span").orderBy(*order)), F.col("__before"))
     delta = F.when(F.col("__last").isNull(), 0.0).when(F.col(value) < F.col("__last"), F.col(value)).otherwise(F.col(value) - F.col("__last"))
     return rows.join(ends, [*keys, "__span"]).withColumn("__last", last).withColumn("delta", delta).select(*series.columns, "delta")
 
 
+def range_growth(grown: DataFrame, keys: Sequence[str], window_s: int, step_s: int, at: str = "at", value: str = "value", ties: Sequence[str] = ()) -> DataFrame:
+    """(keys..., step, samples, increase, rate) of a range vector: at every multiple of ``step_s`` the growth over the last ``window_s`` seconds.
+
+    A window holds its end and not its beginning, and counts growth between its own samples, so it needs two; the first one's growth
+    since the sample before lies outside. ``window_s`` must be a multiple of ``step_s``: samples are first summed by panes of one step, and windows are
+    sums of panes, from which what the first pane has carried in is taken off. Take the steps of a range query by a filter on ``step``.
+    """
+    if window_s % step_s:
+        raise ValueError("a window must be whole steps")
+    pane = F.ceil(F.col(at) / step_s).cast("long")
+    first = F.struct(at, *ties, value)
+    panes = grown.groupBy(*keys, pane.alias("__pane")).agg(F.count("*").alias("__n"), F.sum("delta").alias("__sum"), F.min_by("delta", first).alias("__carried"))
+    seen = panes.withColumn("__step", F.explode(F.sequence("__pane", F.col("__pane") + (window_s // step_s - 1))))
+    grew = F.sum("__sum") - F.min_by("__carried", "__pane")
+    out = seen.groupBy(*keys, "__step").agg(F.sum("__n").alias("samples"), grew.alias("increase")).filter("samples > 1")
+    return out.select(*keys, (F.col("__step") * step_s).alias("step"), "samples", "increase", (F.col("increase") / float(window_s)).alias("rate"))
+
+
 def rate(grown: DataFrame, window_s: int, by: Sequence[str] = (), at: str = "at") -> DataFrame:
     """(by..., window_start, rate): growth per second in tumbling windows, summed over all other labels."""
     start = (F.floor(F.col(at) / window_s) * window_s).cast("long")

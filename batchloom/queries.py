@@ -653,7 +653,7 @@ def _counter(spark, sf):
     # A counter that starts again every 7 days.
     week = F.floor(c("sec") / 604800)
     running = F.count("*").over(_w("endpoint", week))
-    return metrics.growth(s.withColumn("value", running.cast("double")), ["endpoint"], "sec")
+    return metrics.growth(s.withColumn("value", running.cast("double")), ["endpoint"], "sec", ties=["event_id"])
 
 
 def _w(key, part):
@@ -664,7 +664,7 @@ def _w(key, part):
 
 _COUNTER = (
     "v as (select endpoint, sec, event_id, cast(count(*) over (partition by endpoint, floor(sec / 604800) order by sec, event_id rows unbounded preceding) as double) as value from fx_signals), "
-    "g as (select *, lag(value) over (partition by endpoint order by sec) as last from v), "
+    "g as (select *, lag(value) over (partition by endpoint order by sec, event_id) as last from v), "
     "d as (select *, case when last is null then 0.0 when value < last then value else value - last end as delta from g)"
 )
 
@@ -812,4 +812,4 @@ def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFr
     return finalize_counts(spark, sf_dir)
 
 
-from . import queries_objects, queries_rules, queries_streaming, queries_writes  # noqa: E402, F401 (they register their queries here)
+from . import queries_metrics, queries_objects, queries_rules, queries_streaming, queries_writes  # noqa: E402, F401 (they register their queries here)

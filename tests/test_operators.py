@@ -363,6 +363,31 @@ def test_counter_reset(spark):
     assert [r["delta"] for r in metrics.growth(df, ["k"]).orderBy("at").collect()] == [0.0, 5.0, 4.0]
 
 
+def test_growth_of_tied_times_is_the_same_in_any_partitioning(spark):
+    rows = [("k", 10, 1, 5.0), ("k", 10, 2, 8.0), ("k", 10, 0, 2.0), ("k", 30, 3, 9.0), ("k", 30, 4, 1.0)]
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "k string, at long, seq long, value double").repartition(n, "value")
+        got = {r["seq"]: r["delta"] for r in metrics.growth(df, ["k"], ties=["seq"], span=20).collect()}
+        assert got == {0: 0.0, 1: 3.0, 2: 3.0, 3: 1.0, 4: 1.0}
+        untold = metrics.growth(df.drop("seq"), ["k"]).agg(F.sum("delta")).first()[0]
+        assert untold == 6.0 + 1.0 + 8.0  # by value: 2, 5, 8 and, after a reset, 1, 9
+
+
+def test_range_vectors(spark):
+    rows = [("a", t, v) for t, v in [(1, 1.0), (16, 4.0), (44, 2.0), (300, 3.0), (301, 7.0)]] + [("b", 30, 1.0)]
+    grown = metrics.growth(spark.createDataFrame(rows, "k string, at long, value double"), ["k"])
+    got = {(r["k"], r["step"]): (r["samples"], r["increase"]) for r in metrics.range_growth(grown, ["k"], 60, 15).collect()}
+    want = {}
+    for k in "ab":
+        for step in range(0, 400, 15):
+            inside = [(t, v) for q, t, v in rows if q == k and step - 60 < t <= step]
+            if len(inside) > 1:
+                want[k, step] = (len(inside), sum(v if v < u else v - u for (_, u), (_, v) in zip(inside, inside[1:])))
+    assert got == want and len(want) > 5
+    with pytest.raises(ValueError):
+        metrics.range_growth(grown, ["k"], 50, 15)
+
+
 def test_growth_goes_on_between_spans(spark):
     rows = [("s", t, float(v)) for t, v in ((0, 3), (5, 4), (11, 9), (31, 2), (39, 2), (40, 8))]
     df = spark.createDataFrame(rows, "k string, at long, value double")
