@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars as fn
 from .queries import _query, c
-from .streaming import jobs
+from .streaming import jobs, recovery
 
 _CODES = {"error": 500, "signup": 429, "view": 404}
 _CODE_SQL = "case event_type when 'error' then 500 when 'signup' then 429 when 'view' then 404 else 200 end"
@@ -92,3 +93,52 @@ def streamed_commits(spark, sf):
     for _ in range(2):
         jobs.commit_exactly_once(out, f"{folder}/rows", f"{folder}/state").awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/rows").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+#: Clicks of a user and week are requests in flight at the week's begin; three in four have a result, at their own time. A third of the users have no deadline,
+#: a third one that leaves no time to wait.
+_WEEK_S, _HOLD_S = 604_800, 259_200
+_LEFT = "case user_id % 3 when 1 then 400000 + user_id * 1000 when 2 then 200000 end"
+
+
+@_query(
+    f"with e as (select *, cast(floor(epoch(ts)) as bigint) as sec, {_LEFT} as left_s from events where event_type = 'click'), "
+    f"h as (select concat(cast(user_id as varchar), '-', cast(sec // {_WEEK_S} as varchar)) as batch_id, cast(event_id as varchar) as request_id, sec // {_WEEK_S} * {_WEEK_S} as start, sec, event_id % 4 <> 0 as answered, "
+    f"case when left_s is null then {_HOLD_S} when left_s - {_HOLD_S} <= 0 then 0 else least({_HOLD_S}, left_s - {_HOLD_S}) end as wait_s from e), "
+    "d as (select *, answered and wait_s > 0 and sec <= start + wait_s as delivered from h) "
+    "select batch_id, request_id, case when delivered then 'delivered' else 'submit' end as outcome, case when delivered then sec else start + wait_s end as at from d "
+    "union all select batch_id, null, case when min(wait_s) = 0 then 'skipped' when bool_and(delivered) then 'resolved' else 'timed_out' end, "
+    "case when min(wait_s) > 0 and bool_and(delivered) then max(sec) else min(start + wait_s) end from d group by batch_id"
+)
+def streamed_recovery(spark, sf):
+    """Holds that end early, at their end and at once; a last row moves the watermark past all."""
+    folder = _folder(spark, "recovery")
+    sec = F.unix_seconds(c("ts").cast("timestamp"))
+    e = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'click'").withColumn("sec", sec).withColumn("start", F.floor(sec / _WEEK_S) * _WEEK_S)
+    wait = fn.recovery_wait(F.lit(_HOLD_S).cast("long"), c("start") + F.expr(_LEFT), c("start"))
+    held = e.select(F.concat_ws("-", c("user_id").cast("string"), F.floor(c("sec") / _WEEK_S).cast("string")).alias("batch_id"), c("event_id").cast("string").alias("request_id"), "event_id", wait.alias("wait_s"), "start", "sec")
+    row = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("sec"))
+    rows = held.select("batch_id", "request_id", "wait_s", F.inline(F.when(c("event_id") % 4 != 0, F.array(row("held", c("start")), row("result", c("sec")))).otherwise(F.array(row("held", c("start"))))))
+    end = held.agg(F.max("sec").alias("sec")).select(F.lit("").alias("batch_id"), F.lit("").alias("request_id"), F.lit(0).cast("long").alias("wait_s"), F.lit("result").alias("kind"), (c("sec") + 2 * _WEEK_S).alias("sec"))
+    rows.unionByName(end).withColumn("at", F.timestamp_seconds("sec")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("batch_id string, request_id string, wait_s long, kind string, sec long, at timestamp").parquet(f"{folder}/in")
+    return _stateful(recovery.recovery_stream(stream, "1 second"), "recovery")
+
+
+_ROCKS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _stateful(out: DataFrame, label: str) -> DataFrame:
+    """``_written`` for streams that keep state of their own, which only RocksDB holds."""
+    conf = out.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _ROCKS}
+    for k, v in _ROCKS.items():
+        conf.set(k, v)
+    try:
+        return _written(out, label)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v) if v is not None else conf.unset(k)

@@ -91,3 +91,23 @@ def test_leases(spark, tmp_path):
     beats.coalesce(1).write.parquet(str(tmp_path / "in"))
     run(jobs.lease_stream(spark.readStream.schema(beats.schema).parquet(str(tmp_path / "in")), 600), "leases", "update", tmp_path / "cp")
     assert sorted(tuple(r) for r in spark.table("leases").collect()) == [("b1", "held"), ("b2", "held")]
+
+
+def test_recovery_hold_over_micro_batches(spark, tmp_path):
+    from batchloom.streaming import recovery
+
+    held = [("early", "a", 10, 100), ("early", "b", 10, 100), ("late", "c", 10, 100), ("late", "d", 10, 100), ("late", "d", 10, 100), ("none", "e", 10, 0), ("open", "f", 10, 10_000)]
+    results = [("early", "b", 60), ("early", "a", 40), ("late", "c", 110), ("late", "d", 111), ("late", "x", 50), ("none", "e", 50), ("gone", "y", 50)]
+    parts = [held, results[:4], [*results[4:], ("", "", 500)], [("", "", 900)]]
+    for n, part in enumerate(parts):
+        rows = [(b, r, "held", s, w[0]) if w else (b, r, "result", s, 0) for b, r, s, *w in part]
+        df = spark.createDataFrame(rows, "batch_id string, request_id string, kind string, sec long, wait_s long").withColumn("at", F.timestamp_seconds("sec"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(recovery.recovery_stream(stream, "100 seconds"), "recovery", "append", tmp_path / "cp")
+    got = sorted(map(str, (tuple(r) for r in spark.table("recovery").collect())))
+    want = [
+        ("early", "a", "delivered", 40), ("early", "b", "delivered", 60), ("early", None, "resolved", 60), ("late", "c", "delivered", 110), ("late", "d", "submit", 110),
+        ("late", None, "timed_out", 110), ("none", "e", "submit", 10), ("none", None, "skipped", 10),
+    ]
+    assert got == sorted(map(str, want))
