@@ -44,6 +44,8 @@ _STATE = ", ".join(f"{n} array<{'binary' if n == 'hash' else 'long'}>" for n in
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # RocksDB would set 4 MB of disk aside for each partition.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # Executors give up the local state of ended starts in their maintenance; by Spark's own minute that of all starts would pile up.
     "spark.sql.streaming.stateStore.maintenanceInterval": "4s",
 }
@@ -86,7 +88,8 @@ class Windows(StatefulProcessor):
         came: list[tuple] = []
         for f in rows:
             came += zip(*(f[c].tolist() for c in ("click_id", "hour", "hash", "crc")))
-        came = sorted(r for r in came if r[2] is not None)  # without the sentinel
+        late = timerValues.getCurrentWatermarkInMs() // HOUR_MS - SHIFT_H
+        came = sorted(r for r in came if r[1] > late and r[2] is not None)  # without late rows and the sentinel
         windows = self._load()
         timer = self._first_end(windows)
         closed = []
@@ -183,7 +186,7 @@ def _run(rows: DataFrame, folder: str, batches: int, span_h: int, late_h: int) -
                 """A micro-batch's folder is named by its number: one that is run again overwrites itself."""
                 df.write.mode("overwrite").parquet(f"{folder}/windows/closed_batch={batch}/{n}")
 
-            came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/feed").withWatermark("at", f"{late_h} hours 1 second")
+            came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/feed").withWatermark("at", f"{late_h} hours 1 second").drop("at")
             closed = came.groupBy("group").transformWithStateInPandas(Windows(span_h), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
             closed.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
             release(spark)
