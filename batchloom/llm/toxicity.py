@@ -13,8 +13,10 @@ many reach each of STEPS, in all and by length) is calibrated on labelled rows t
 
 Labelled rows: at most ``FIT_TOXIC`` and ``FIT_ORDINARY``, drawn by a hash, never of fold 0, with ``FIT_BYTES`` of
 text at most; every text is scored whole, however long. Defined
-cases: null or wordless text has distances 0; without labels of both kinds every score is 0; a document
-with several labels is toxic if one is; repeated rows each give a row; an empty table gives no rows.
+cases: null or wordless text has distances 0, and a text whose distances are all 0 is never called toxic; without labels of both
+kinds, or if no labelled toxic text has a distance, every score is 0; a document with several labels is toxic if one is; of
+repeated ids with different texts the fit takes the least text; equal stems by gain go by their bytes; a null id is in no fold and has no label;
+repeated rows each give a row, scored by its own text; other columns are never read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CANDIDATES = 1500
 CONTRAST = 5
 #: Savings of a window that are counted, as the calibration's features.
 STEPS = (2, 3, 4, 5, 6, 7, 8)
+#: Log odds, at most, of a text without a window that the toxic dictionary saves.
+NO_EVIDENCE = -1.0
 _KEY = bytes(range(1, 9)) * 4
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _compressors: dict[bytes, tuple] = {}
@@ -168,6 +172,12 @@ def calibrate(rows: list[tuple[list[int], int]]) -> list[float]:
     return w.tolist()
 
 
+def log_odds(found: list[int], w: list[float]) -> float:
+    """A text of which the toxic dictionary saves nothing has shown nothing, and is never called toxic."""
+    z = float(np.dot(features(found), w))
+    return z if any(found[1:]) else min(z, NO_EVIDENCE)
+
+
 def _score(shared):
     def rows(batches):
         model = shared.value
@@ -178,7 +188,7 @@ def _score(shared):
                     scores.append(0.0)
                     continue
                 contents, w = model
-                z = float(np.dot(features(distances(normal(text), contents)), w))
+                z = log_odds(distances(normal(text), contents), w)
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
             yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
@@ -186,7 +196,7 @@ def _score(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple | None:
-    """((toxic, ordinary dictionary), weights), or None if the labels can't teach."""
+    """((toxic, ordinary dictionary), weights), or None if the labels can't teach: then every score is 0 and nothing is rejected."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label_col).alias("toxic")).filter("toxic is not null").groupBy("__id").agg(F.max("toxic").alias("toxic"))
     part = fold(F.col("__id"))
     known = known.filter(part != 0).withColumn("part", part)
@@ -205,6 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     check = [(distances(t, contents), kind) for kind in (0, 1) for t in split(kind, True)]
     if len({kind for _, kind in check}) < 2:
         check = [(distances(t, contents), kind) for kind, part in ((0, ordinary), (1, toxic)) for t in part]
+    if not any(any(found[1:]) for found, kind in check if kind):
+        return None  # no toxic text was told by its windows: nothing is learned, and the classes' numbers alone decide nothing
     return contents, calibrate(check)
 
 
@@ -229,6 +241,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if model is None:
             return pd.Series([False] * len(texts))
         contents, w = model
-        return pd.Series([float(np.dot(features(distances(normal(t), contents)), w)) >= 0 for t in texts])
+        return pd.Series([log_odds(distances(normal(t), contents), w) >= 0 for t in texts])
 
     return docs.filter(~toxic(F.col(text_col)))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from batchloom.llm import common, language_id, toxicity
@@ -115,3 +116,26 @@ def test_fits_are_bounded_by_bytes(spark):
     assert keys(200) == [1, 2, 3, 4, 5] and keys(72) == [1, 2, 4, 5]
     assert keys(31) == [1, 4]  # rows of one size go together
     assert keys(0) == [4] and common.collect_within(df.limit(0), "test", 9, "a") == []
+
+
+def test_nothing_learned_rejects_nothing(spark):
+    """Labels that no window tells apart: the classes' numbers alone call no text toxic, and a text without a distance never is."""
+    rows = [(k, f"some quite ordinary words of text number {k % 7}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (2, 3, 10):
+        labels = spark.createDataFrame([(k, int(k % share == 0)) for k in range(60)], "doc_id long, toxic int")
+        assert {r["predicted"] for r in toxicity.score(df, labels).collect()} == {0}
+        assert toxicity.reject(df, labels).count() == 60
+    assert toxicity.log_odds([10, *[0] * toxicity.STEPS[-1]], [5.0] * (1 + 2 * len(toxicity.STEPS))) < 0
+
+
+@pytest.mark.parametrize("sf, found, wrong", [("0.001", 0.0, 0.0), ("0.01", 0.6, 0.05)])
+def test_toxicity_of_small_tables(spark, sf, found, wrong):
+    """Few labels may teach nothing, but then nothing is called toxic."""
+    sf = f"/root/testdata/sf{sf}"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect()}
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    toxic = [d for d in known if known[d] == 1]
+    assert sum(got[d] for d in toxic) >= found * len(toxic)
+    assert sum(got[d] for d in known if known[d] == 0) <= wrong * len(known)
