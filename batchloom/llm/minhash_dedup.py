@@ -36,6 +36,8 @@ SLACK = 0.17
 #: Bounds of a block: rows and n-grams.
 BLOCK_DOCS = 1200
 BLOCK_GRAMS = 1_000_000
+#: Pairs of a row up to which sets are met one by one.
+FEW = 8
 #: N-grams hashed at once.
 CHUNK = 1024
 
@@ -133,6 +135,10 @@ def _product(held: list, percent: int) -> list[tuple[int, int]]:
     left, right, sets_a, sets_b = sigs(a), sigs(b), sets(a), sets(b)
     size = np.array([len(s) for s in sets_b])
     roots = np.array([r[2] for r in b])
+    # Columns of the incidence matrix of b: a row of a marks its own, and each row of b counts the marked ones.
+    grams, column = np.unique(np.concatenate(sets_b), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    marked = np.zeros(len(grams), dtype=np.uint8)
     top: dict[int, int] = {}
     out = []
 
@@ -145,9 +151,20 @@ def _product(held: list, percent: int) -> list[tuple[int, int]]:
         n = len(sets_a[i])
         near = np.flatnonzero((roots != r[2]) & (100 * size >= percent * n) & (100 * n >= percent * size))
         near = near[(right[near] == left[i]).sum(axis=1) >= (percent / 100 - SLACK) * HASHES]
+        if not len(near):
+            continue
+        if len(near) > FEW:
+            at = np.searchsorted(grams, sets_a[i])
+            at = at[grams[np.minimum(at, len(grams) - 1)] == sets_a[i]]
+            marked[at] = 1
+            both = np.add.reduceat(marked[column], starts, dtype=np.int64)[near]
+            marked[at] = 0
+            near = near[100 * both >= percent * (n + size[near] - both)]
+        else:
+            near = [j for j in near if linked(sets_a[i], sets_b[j], percent)]
         for j in near:
             x, y = find(r[2]), find(int(roots[j]))
-            if x != y and linked(sets_a[i], sets_b[j], percent):
+            if x != y:
                 top[max(x, y)] = min(x, y)
                 out.append((r[2], int(roots[j])))
     return out
