@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .encode import canonical_json
 
 #: Fixed value: the name space of object identifiers in RFC 9562.
 OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"
@@ -190,9 +191,9 @@ def effective_workers(workers: Column, disk_bytes: Column, percent: Column, file
 
 
 def same_json(a: Column, b: Column) -> Column:
-    """Whether two JSON texts mean the same: keys in any order, spaces of no matter."""
-    canonical = lambda c: F.to_json(F.try_parse_json(c))
-    return F.try_parse_json(a).isNotNull() & (canonical(a) == canonical(b))
+    """Whether two JSON texts mean the same: keys in any order, spaces of no matter, numbers by value."""
+    one, other = canonical_json(a), canonical_json(b)
+    return one.isNotNull() & (one == other)
 
 
 def same_members(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.scalars import result_key
+from .results import result_lines
 
 
 def past_deadline(now_s: int) -> Column:
@@ -74,17 +76,34 @@ def renew_leases(items: DataFrame, owner: str, epoch: int, now_s: int, ttl_s: in
     return items.withColumn("lease_at", F.when(owned_fence(owner, epoch, now_s), F.lit(now_s + ttl_s)).otherwise(F.col("lease_at")))
 
 
+def manifest_entries(lines: DataFrame) -> DataFrame:
+    """The entries with which a batch is activated, of its lines (batch_id, ordinal, custom_id, request_id, reject_code, reject_message).
+
+    A line that ingestion accepted is pending; a rejected one has failed without an attempt, and names its result object with the bytes and digest
+    of its error line.
+    """
+    rejected = F.col("reject_code").isNotNull()
+    written = result_lines(lines.withColumns({"error_code": F.col("reject_code"), "error_message": F.col("reject_message"), "status_code": F.lit(None).cast("int"), "body": F.lit(None).cast("string")}))
+    return written.select(
+        "batch_id", "ordinal", "custom_id", "request_id", F.when(rejected, "failed").otherwise("pending").alias("status"), F.col("reject_code").alias("error_code"),
+        F.when(rejected, result_key(F.col("batch_id"), F.col("request_id"))).alias("result_key"), F.when(rejected, F.col("bytes")).alias("result_bytes"),
+        F.when(rejected, F.col("sha256")).alias("result_sha256"), F.when(rejected, F.col("line")).alias("error_line"),
+    )
+
+
 def activate(items: DataFrame, entries: DataFrame, manifest: DataFrame, claims: DataFrame, now_s: int, ttl_s: int = S.LEASE_S) -> tuple[DataFrame, DataFrame]:
     """(new entries, activated items) of the claims (batch_id, owner, at_epoch) that hold: still validating, not resumable, without entries.
 
-    ``manifest`` (batch_id, ordinal, custom_id, status, error_code) must name entries of a batch for it to be activated. Entries
-    start without an attempt; one that starts as failed is done at once. The item is in progress, resumable and leased.
+    ``manifest`` (batch_id, ordinal, custom_id, status, error_code, and what it has of request_id, result_key, result_bytes and result_sha256) must name
+    entries of a batch for it to be activated. Entries start without an attempt; one that starts as failed is done at once, with the metadata of its error
+    line (``manifest_entries``). The item is in progress, resumable and leased.
     """
+    extra = [F.col(n) if n in manifest.columns else F.lit(None).cast(kind).alias(n) for n, kind in (("request_id", "string"), ("result_key", "string"), ("result_bytes", "long"), ("result_sha256", "string"))]
     kept = items.join(claims.select(F.col("batch_id").alias("id"), "owner", "at_epoch"), "id")
     fence = (F.col("processor_id") == F.col("owner")) & (F.col("epoch") == F.col("at_epoch")) & (F.col("status") == "validating") & ~F.col("resumable")
     ready = kept.filter(fence).select(F.col("id").alias("batch_id")).join(entries.select("batch_id").distinct(), "batch_id", "left_anti").join(manifest.select("batch_id").distinct(), "batch_id", "left_semi")
     new = manifest.join(ready, "batch_id", "left_semi").select(
-        "batch_id", "ordinal", "custom_id", "status", F.lit(0).cast("long").alias("attempts"), "error_code", F.when(F.col("status") == "failed", F.lit(now_s).cast("long")).alias("completed_at")
+        "batch_id", "ordinal", "custom_id", "status", F.lit(0).cast("long").alias("attempts"), "error_code", F.when(F.col("status") == "failed", F.lit(now_s).cast("long")).alias("completed_at"), *extra
     )
     long = lambda x: F.lit(x).cast("long")
     begun = items.join(ready.withColumnRenamed("batch_id", "id"), "id", "left_semi").withColumns({"status": F.lit("in_progress"), "in_progress_at": long(now_s), "resumable": F.lit(True), "lease_at": long(now_s + ttl_s)})

@@ -150,15 +150,16 @@ def mark_in_flight(entries: DataFrame, items: DataFrame, sent: DataFrame, now_s:
 
 
 def checkpoint_results(entries: DataFrame, items: DataFrame, results: DataFrame, now_s: int) -> DataFrame:
-    """The entries after results (batch_id, custom_id, owner, at_epoch, arrival, result_status, key, bytes, code) were committed.
+    """The entries after results (batch_id, custom_id, owner, at_epoch, arrival, result_status, key, bytes, code, sha256) were committed.
 
-    Only completed and failed commit; of several the first to arrive wins; a final entry stays as it is. An empty key or code
-    and no bytes are null.
+    Only completed and failed commit; of several the first to arrive wins; a final entry stays as it is. An empty key, code or
+    digest and no bytes are null.
     """
+    results = results if "sha256" in results.columns else results.withColumn("sha256", F.lit(None).cast("string"))
     ok = entry_writes(entries, items, results.filter(F.col("result_status").isin("completed", "failed")), now_s).filter("verdict = 'updated'")
-    first = ok.groupBy("batch_id", "custom_id").agg(F.min_by(F.struct("result_status", "key", "bytes", "code"), "arrival").alias("__r"))
+    first = ok.groupBy("batch_id", "custom_id").agg(F.min_by(F.struct("result_status", "key", "bytes", "code", "sha256"), "arrival").alias("__r"))
     hit = F.col("__r").isNotNull()
-    new = {"status": F.col("__r.result_status"), "result_key": F.nullif("__r.key", F.lit("")), "result_bytes": F.when(F.col("__r.bytes") > 0, F.col("__r.bytes")), "error_code": F.nullif("__r.code", F.lit("")), "completed_at": F.lit(now_s).cast("long")}
+    new = {"status": F.col("__r.result_status"), "result_key": F.nullif("__r.key", F.lit("")), "result_bytes": F.when(F.col("__r.bytes") > 0, F.col("__r.bytes")), "result_sha256": F.nullif("__r.sha256", F.lit("")), "error_code": F.nullif("__r.code", F.lit("")), "completed_at": F.lit(now_s).cast("long")}
     old = {c: F.col(c) if c in entries.columns else F.lit(None) for c in new}
     out = entries.join(first, ["batch_id", "custom_id"], "left")
     return out.select(*[c for c in entries.columns if c not in new], *[F.when(hit, new[c]).otherwise(old[c]).alias(c) for c in new])

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.encode import canonical_json, html_safe
 from ..functions.scalars import not_executed_message, result_error, result_key, succeeded
 from ..schemas import DROPPED_LATE
-from .folds import fold_sorted
 
 ROUTES = ("output", "error")
 
@@ -139,13 +141,13 @@ def normalise_sync(results: DataFrame) -> DataFrame:
 def result_lines(entries: DataFrame) -> DataFrame:
     """(batch_id, ordinal, route, line) of finished requests, with the line's size and digest.
 
-    ``body`` is the response's own JSON text and goes into the line as it is; without one the body is null. An error's
-    ``error_message`` is used where the entries have that column and it isn't null, else the code's own text.
+    ``body`` is the response's JSON text and goes into the line in its canonical form (``canonical_json``); without one, or if it can't be read, the
+    body is null. An error's ``error_message`` is used where the entries have that column and it isn't null, else the code's own text.
     """
     text = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     said = not_executed_message(F.col("error_code"))
     message = F.coalesce(F.col("error_message"), said) if "error_message" in entries.columns else said
-    body = F.coalesce(F.nullif(F.trim("body"), F.lit("")), F.lit("null"))
+    body = F.coalesce(canonical_json(F.col("body")), F.lit("null"))
     response = F.concat(F.lit('{"status_code":'), F.coalesce(F.col("status_code").cast("string"), F.lit("0")), F.lit(',"request_id":'), text(F.col("request_id")), F.lit(',"body":'), body, F.lit("}"))
     err = F.concat(F.lit('{"code":'), text(F.col("error_code")), F.lit(',"message":'), text(message), F.lit("}"))
     failed = F.col("error_code").isNotNull()
@@ -153,22 +155,47 @@ def result_lines(entries: DataFrame) -> DataFrame:
         F.lit('{"id":'), text(F.col("request_id")), F.lit(',"custom_id":'), text(F.col("custom_id")), F.lit(',"response":'), F.when(failed, "null").otherwise(response),
         F.lit(',"error":'), F.when(failed, err).otherwise("null"), F.lit("}\n"),
     )
-    return entries.withColumn("line", line).withColumns({"route": route(F.col("error_code")), "bytes": F.octet_length("line").cast("long"), "sha256": F.sha2("line", 256)})
+    return entries.withColumn("line", html_safe(line)).withColumns({"route": route(F.col("error_code")), "bytes": F.octet_length("line").cast("long"), "sha256": F.sha2("line", 256)})
 
 
 def artifacts(lines: DataFrame) -> DataFrame:
     """Per (batch, route): lines, bytes and digest of the artifact in ordinal order; a route without lines has no row.
 
-    Digests are fed line by line, so an artifact is never held as one text.
+    Digests are fed with an artifact's lines batch by batch, so an artifact is never held as one text.
     """
-
-    def feed(state: list, row: dict) -> list:
-        raw = row["line"].encode()
-        state[0].update(raw)
-        return [state[0], state[1] + 1, state[2] + len(raw)]
-
-    rows = lines.select("batch_id", "route", "ordinal", "line")
-    return fold_sorted(rows, ["batch_id", "route"], ["ordinal", "line"], lambda: [hashlib.sha256(), 0, 0], feed, lambda s: {"lines": s[1], "bytes": s[2], "sha256": s[0].hexdigest()}, "lines long, bytes long, sha256 string")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = "batch_id string, route string, lines long, bytes long, sha256 string"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    names = arrow.names
+    rows = lines.select("batch_id", "route", "ordinal", "line").repartition("batch_id", "route").sortWithinPartitions("batch_id", "route", "ordinal", "line").select("batch_id", "route", "line")
+
+    def run(batches):
+        key, state, done = None, None, []
+        for b in batches:
+            ids, routes, texts = (c.to_pylist() for c in b.columns)
+            at = 0
+            while at < len(ids):
+                end = at + 1
+                while end < len(ids) and ids[end] == ids[at] and routes[end] == routes[at]:
+                    end += 1
+                if (ids[at], routes[at]) != key:
+                    if key:
+                        done.append((*key, state[1], state[2], state[0].hexdigest()))
+                    key, state = (ids[at], routes[at]), [hashlib.sha256(), 0, 0]
+                raw = "".join(texts[at:end]).encode()
+                state[0].update(raw)
+                state[1] += end - at
+                state[2] += len(raw)
+                at = end
+            if len(done) > 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema=arrow)
+                done = []
+        if key:
+            done.append((*key, state[1], state[2], state[0].hexdigest()))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, d)) for d in done], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def verify_artifacts(derived: DataFrame, stored: DataFrame) -> DataFrame:

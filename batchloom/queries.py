@@ -381,27 +381,38 @@ def error_code_counts(spark, sf):
 
 def _lines(spark, sf):
     e = _entries(spark, sf).withColumn("request_id", fn.request_id(c("batch_id"), c("custom_id")))
-    body = F.when(c("result_bytes") % 5 != 0, F.concat(F.lit('{"object":"chat.completion","id":"'), "custom_id", F.lit('","usage":'), c("result_bytes").cast("string"), F.lit("}")))
+    # As a server may send it: keys in no order, blanks, markup, a number with a point.
+    body = F.when(c("result_bytes") % 5 != 0, F.concat(F.lit('{ "usage" : {"total":1e2, "n":'), c("result_bytes").cast("string"), F.lit('.0}, "object":"<b>chat</b> & more", "id":"'), "custom_id", F.lit('"}')))
     return results.result_lines(e.withColumn("body", body))
 
 
-@_query(
+_LINES_SQL = (
     "with l as (select batch_id, ordinal, case when error_code is null then 'output' else 'error' end as route, "
     "'{\"id\":\"' || rid || '\",\"custom_id\":\"' || custom_id || '\",\"response\":' || case when error_code is null then '{\"status_code\":' || coalesce(cast(status_code as varchar), '0') || ',\"request_id\":\"' || rid || "
-    "'\",\"body\":' || case when result_bytes % 5 <> 0 then '{\"object\":\"chat.completion\",\"id\":\"' || custom_id || '\",\"usage\":' || result_bytes || '}' else 'null' end || '}' else 'null' end || ',\"error\":' || case when error_code is null then 'null' else '{\"code\":\"' || error_code || '\",\"message\":\"This request could not be executed.\"}' end || '}' || chr(10) as line "
+    "'\",\"body\":' || case when result_bytes % 5 <> 0 then '{\"id\":\"' || custom_id || '\",\"object\":\"\\u003cb\\u003echat\\u003c/b\\u003e \\u0026 more\",\"usage\":{\"n\":' || result_bytes || ',\"total\":100}}' else 'null' end || '}' else 'null' end || ',\"error\":' || case when error_code is null then 'null' else '{\"code\":\"' || error_code || '\",\"message\":\"This request could not be executed.\"}' end || '}' || chr(10) as line "
     f"from (select *, 'batch_req_' || {UUID5} as rid from (select *, sha1(unhex('{fn.OID_NAMESPACE}') || encode(batch_id) || unhex('00') || encode(custom_id)) as x from fx_entries))) "
-    "select batch_id, route, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes, sha256(string_agg(line, '' order by ordinal)) as sha256 from l group by batch_id, route"
 )
+
+
+@_query(_LINES_SQL + "select batch_id, route, count(*) as lines, cast(sum(strlen(line)) as bigint) as bytes, sha256(string_agg(line, '' order by ordinal)) as sha256 from l group by batch_id, route")
 def artifact_digests(spark, sf):
     return results.artifacts(_lines(spark, sf))
 
 
-@_query("select batch_id, route, false as same from (select distinct batch_id, case when error_code is null then 'output' else 'error' end as route from fx_entries) where batch_id like '%7' "
-        "union all select batch_id, route, true from (select distinct batch_id, case when error_code is null then 'output' else 'error' end as route from fx_entries) where batch_id not like '%7'")
+@_query(_LINES_SQL + "select batch_id, route, batch_id not like '%7' as same from (select distinct batch_id, route from l)")
 def artifact_verification(spark, sf):
-    derived = results.artifacts(_lines(spark, sf))
-    stored = derived.withColumn("sha256", F.when(c("batch_id").endswith("7"), F.lit("0")).otherwise(c("sha256")))
-    return results.verify_artifacts(derived, stored).select("batch_id", "route", "same")
+    """Artifacts derived again against what was written as files and read back; of some batches a line was lost on the way."""
+    from .queries_streaming import _folder
+    from .sources.lines import read_lines
+
+    lines, folder = _lines(spark, sf), _folder(spark, "artifacts")
+    first = lines.groupBy("batch_id", "route").agg(F.min("ordinal").alias("ordinal")).filter(c("batch_id").endswith("7"))
+    kept = lines.join(first, ["batch_id", "route", "ordinal"], "left_anti")
+    spread = kept.withColumn("file", F.pmod(F.xxhash64("batch_id"), F.lit(64)))
+    spread.repartition("file").sortWithinPartitions("file", "batch_id", "route", "ordinal").select("file", F.concat_ws(" ", "batch_id", "route", F.rtrim("line", F.lit("\n"))).alias("value")).write.partitionBy("file").text(folder)
+    cut = F.split("line", " ", 3)
+    stored = read_lines(spark, folder).select(cut[0].alias("batch_id"), cut[1].alias("route"), "ordinal", F.concat(cut[2], F.lit("\n")).alias("line"))
+    return results.verify_artifacts(results.artifacts(lines), results.artifacts(stored)).select("batch_id", "route", "same")
 
 
 # ---------------------------------------------------------------- lifecycle

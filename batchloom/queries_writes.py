@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import schemas as S
-from .operators import catalog, lifecycle, mutations
+from .operators import catalog, lifecycle, mutations, results
 from .plans.fixtures import LIVE, NOW, view
 from .queries import LIVE_SQL, TERMINAL, _entries, _items, _query, c
 
@@ -80,11 +80,23 @@ def _activated(spark, sf):
     items = _items(spark, sf).withColumn("processor_id", F.when(c("k") % 3 != 0, F.concat(F.lit("proc-"), (c("k") % 7).cast("string"))))
     rejected = F.when(c("ordinal") == 2, F.when(F.substring("batch_id", -1, 1).cast("int") % 2 == 0, "model_not_found").otherwise("parse_error"))
     entries = _entries(spark, sf)
-    manifest = entries.select("batch_id", "ordinal", "custom_id", F.when(c("ordinal") == 2, "failed").otherwise("pending").alias("status"), rejected.alias("error_code"))
+    lines = entries.select("batch_id", "ordinal", "custom_id", F.concat_ws("_", F.lit("batch_req"), "custom_id").alias("request_id"), rejected.alias("reject_code"), F.lit("a < b & c").alias("reject_message"))
+    manifest = lifecycle.manifest_entries(lines)
     return lifecycle.activate(items, entries.filter("ordinal = 7"), manifest, _belief(items).withColumnRenamed("id", "batch_id"), NOW)
 
 
-@_query(f"with {_READY} select c.id as batch_id, e.ordinal, e.custom_id, {_MANIFEST.replace('case when ordinal = 2 then ', 'case when e.ordinal = 2 then ')}, cast(0 as bigint) as attempts, case when e.ordinal = 2 then {NOW} end as completed_at from candidate c join fx_entries e on e.batch_id = c.id")
+#: The error line of a rejected request, as ingestion writes it.
+_ERROR_LINE = (
+    "concat('{\"id\":\"batch_req_', e.custom_id, '\",\"custom_id\":\"', e.custom_id, '\",\"response\":null,\"error\":{\"code\":\"', case when cast(right(c.id, 1) as int) % 2 = 0 then 'model_not_found' else 'parse_error' end, "
+    "'\",\"message\":\"a \\u003c b \\u0026 c\"}}', chr(10))"
+)
+
+
+@_query(
+    f"with {_READY} select c.id as batch_id, e.ordinal, e.custom_id, {_MANIFEST.replace('case when ordinal = 2 then ', 'case when e.ordinal = 2 then ')}, cast(0 as bigint) as attempts, case when e.ordinal = 2 then {NOW} end as completed_at, "
+    f"concat('batch_req_', e.custom_id) as request_id, case when e.ordinal = 2 then concat('results/', c.id, '/batch_req_', e.custom_id, '.jsonl') end as result_key, case when e.ordinal = 2 then strlen({_ERROR_LINE}) end as result_bytes, "
+    f"case when e.ordinal = 2 then sha256({_ERROR_LINE}) end as result_sha256 from candidate c join fx_entries e on e.batch_id = c.id"
+)
 def activation(spark, sf):
     return _activated(spark, sf)[0]
 
@@ -142,16 +154,34 @@ _RESULT = "case when ordinal = 4 then 'pending' when ordinal % 2 = 0 then 'compl
     f"with {_WRITES}, r as (select *, {_RESULT} as result_status from owner) "
     "select e.batch_id, e.custom_id, case when u then r.result_status else e.status end as status, case when u and e.ordinal <> 1 then concat('results/', e.batch_id, '/', e.custom_id) end as result_key, "
     "case when not u then e.result_bytes when r.bytes % 7 > 0 then r.bytes % 7 end as result_bytes, case when not u then e.error_code when r.result_status = 'failed' then 'http_500' end as error_code, "
-    f"case when u then {NOW} end as completed_at from (select e.*, coalesce(r.ok and e.status in ('pending', 'in_flight') and r.result_status in ('completed', 'failed'), false) as u "
+    f"case when u then sha256(concat(e.batch_id, ' ', e.custom_id)) end as result_sha256, case when u then {NOW} end as completed_at from (select e.*, coalesce(r.ok and e.status in ('pending', 'in_flight') and r.result_status in ('completed', 'failed'), false) as u "
     "from fx_entries e left join r on e.batch_id = r.batch_id and e.custom_id = r.custom_id) e left join r on e.batch_id = r.batch_id and e.custom_id = r.custom_id"
 )
 def checkpointed_results(spark, sf):
     status = F.when(c("ordinal") == 4, "pending").when(c("ordinal") % 2 == 0, "completed").otherwise("failed")
     key = F.when(c("ordinal") == 1, "").otherwise(F.concat_ws("/", F.lit("results"), "batch_id", "custom_id"))
-    first = _writes(spark, sf).withColumns({"result_status": status, "key": key, "bytes": c("bytes") % 7, "code": F.when(status == "failed", "http_500").otherwise(""), "arrival": F.lit(1)})
+    first = _writes(spark, sf).withColumns({"result_status": status, "key": key, "bytes": c("bytes") % 7, "code": F.when(status == "failed", "http_500").otherwise(""), "arrival": F.lit(1), "sha256": F.sha2(F.concat_ws(" ", "batch_id", "custom_id"), 256)})
     late = first.withColumns({"arrival": F.lit(2), "key": F.lit("late"), "result_status": F.when(c("result_status") == "pending", "pending").otherwise("completed")})
     out = mutations.checkpoint_results(_entries(spark, sf), _items(spark, sf), first.unionByName(late), NOW)
-    return out.select("batch_id", "custom_id", "status", "result_key", "result_bytes", "error_code", "completed_at")
+    return out.select("batch_id", "custom_id", "status", "result_key", "result_bytes", "result_sha256", "error_code", "completed_at")
+
+
+#: A third of the result objects have been changed after their commit, and some are gone.
+_LINE_OF = "concat('{\"id\":\"', %s, '/', %s, '\"}', chr(10))"
+
+
+@_query(
+    f"with {_WRITES} select o.batch_id, o.custom_id, case when o.ok and o.before in ('pending', 'in_flight') then 'completed' else o.before end as status, "
+    "case when o.ok and o.before in ('pending', 'in_flight') then o.bytes % 11 > 0 and o.bytes % 3 > 0 else false end as intact from owner o"
+)
+def checkpoint_integrity(spark, sf):
+    """From the commit of results to the check of their objects: what was recorded has to be what is there."""
+    line = F.expr(_LINE_OF % ("batch_id", "custom_id"))
+    sent = _writes(spark, sf).withColumns({"line": line, "key": F.concat_ws("/", F.lit("results"), "batch_id", "custom_id")})
+    done = sent.withColumns({"result_status": F.lit("completed"), "code": F.lit(""), "arrival": F.lit(1), "sha256": F.sha2("line", 256), "size": F.octet_length("line").cast("long")})
+    objects = done.filter("bytes % 11 > 0").select(c("key").alias("result_key"), c("size").alias("bytes"), F.when(c("bytes") % 3 > 0, c("sha256")).otherwise(F.sha2(F.upper("line"), 256)).alias("sha256"))
+    entries = mutations.checkpoint_results(_entries(spark, sf), _items(spark, sf), done.withColumn("bytes", c("size")), NOW)
+    return results.checked_results(entries, objects).select("batch_id", "custom_id", "status", "intact")
 
 
 @_query(

@@ -119,3 +119,25 @@ def test_outcome(spark, cause, failed, done, total, error, want):
 def test_recovery_wait(spark, deadline, want):
     df = spark.createDataFrame([(deadline,)], "d long")
     assert df.select(fn.recovery_wait(F.lit(300).cast("long"), F.col("d"), F.lit(1000).cast("long")).alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{ "b" : 1.0, "a" : [1e3, -0.5, 1E-7, 1e21, 1.5e300] }', '{"a":[1000,-0.5,1e-7,1e+21,1.5e+300],"b":1}'),
+        ('{"z":{"y":true,"x":null},"":[]}', '{"":[],"z":{"x":null,"y":true}}'),
+        ('{"t":"<a> & \\"1.0\\" {\\"k\\":2e3} \\\\"}', '{"t":"\\u003ca\\u003e \\u0026 \\"1.0\\" {\\"k\\":2e3} \\\\"}'),
+        ('" é\\u2029"', '"\\u2028é\\u2029"'),
+        ("12345678901234567890", "12345678901234567000"), ("1e1", "10"), ("0.000001", "0.000001"), ("120.50", "120.5"), ("100", "100"), ("not json", None), ('{"a":1,"a":2}', None), ("", None),
+    ],
+)
+def test_canonical_json(spark, text, want):
+    from batchloom.functions import encode
+
+    assert spark.createDataFrame([(text,)], "t string").select(encode.canonical_json(F.col("t"))).first()[0] == want
+
+
+def test_same_json_compares_numbers(spark):
+    pairs = [("10", "1e1", True), ('{"a":1.0}', '{"a":1}', True), ('{"a":1}', '{"a":2}', False), ("x", "x", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r["same"] == r["want"] for r in df.withColumn("same", fn.same_json(F.col("a"), F.col("b"))).collect())

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -269,7 +270,8 @@ def test_activate(spark):
     manifest = spark.createDataFrame([("b", 1, "x", "pending", None), ("b", 2, "y", "failed", "parse_error")], "batch_id string, ordinal long, custom_id string, status string, error_code string")
     none, claim = spark.createDataFrame([], ENTRY), claims(spark).withColumnRenamed("id", "batch_id")
     new, item = lifecycle.activate(stored(spark, "validating", resumable=False, lease=None), none, manifest, claim, 1000, 60)
-    assert sorted(map(tuple, new.collect())) == [("b", 1, "x", "pending", 0, None, None), ("b", 2, "y", "failed", 0, "parse_error", 1000)]
+    no = (None,) * 4  # this manifest has no request ids and no metadata
+    assert sorted(map(tuple, new.collect())) == [("b", 1, "x", "pending", 0, None, None, *no), ("b", 2, "y", "failed", 0, "parse_error", 1000, *no)]
     got = item.first()
     assert (got["status"], got["resumable"], got["lease_at"], got["in_progress_at"], got["epoch"]) == ("in_progress", True, 1060, 1000, 3)
     for state in (dict(epoch=4), dict(owner="q"), dict(resumable=True)):
@@ -493,6 +495,15 @@ def test_staged_object(spark, tmp_path):
     assert [p.name for p in (tmp_path / "objects").iterdir() if not p.name.startswith(".")] == ["x"]
 
 
+def test_rejected_entries_name_their_error_lines(spark):
+    lines = spark.createDataFrame([("b", 1, "x", "r1", None, None), ("b", 2, "y", "r2", "model_not_found", "no <m>")], "batch_id string, ordinal long, custom_id string, request_id string, reject_code string, reject_message string")
+    good, bad = lifecycle.manifest_entries(lines).orderBy("ordinal").collect()
+    assert (good["status"], good["error_code"], good["result_key"], good["result_bytes"], good["result_sha256"], good["error_line"]) == ("pending", None, None, None, None, None)
+    line = '{"id":"r2","custom_id":"y","response":null,"error":{"code":"model_not_found","message":"no \\u003cm\\u003e"}}\n'
+    assert (bad["status"], bad["result_key"], bad["result_bytes"], bad["error_line"]) == ("failed", "results/b/r2.jsonl", len(line), line)
+    assert bad["result_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+
+
 def test_drain(spark):
     rows = [("r", 1, True, "ok"), ("r", 2, False, "conflict"), ("r", 3, True, "duplicate"), ("r", 4, True, "conflict"), ("r", 5, True, "ok"), ("r", 6, True, "error"), ("s", 1, True, "ok")]
     df = spark.createDataFrame(rows, "run string, seq long, owned boolean, outcome string")
