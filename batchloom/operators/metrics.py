@@ -91,6 +91,31 @@ def increase(grown: DataFrame, window_s: int, by: Sequence[str] = (), at: str =
     return grown.groupBy(*by, start.alias("window_start")).agg(F.sum("delta").alias("increase"))
 
 
+def in_flight(requests: DataFrame, by: Sequence[str], start: str = "start", end: str = "end", span: int = 86_400) -> DataFrame:
+    """(by..., at, in_flight, until) of a gauge that each request raises at its start and lowers at its end: its value from every change to the next (``until``, null at the last).
+
+    A sweep over changes. They are summed by time first, and running sums are kept inside spans of time on top of the sums of the spans before, one row
+    a span, so no task holds a key's history. A request without an end stays in flight; one that ends before it starts, or has no start, is left out.
+    """
+    ok = requests.filter(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start))))
+    change = lambda at, d: F.struct(at.alias("at"), F.lit(d).cast("long").alias("d"))
+    moved = ok.select(*by, F.inline(F.array(change(F.col(start), 1), change(F.col(end), -1)))).filter("at is not null")
+    moved = moved.groupBy(*by, "at").agg(F.sum("d").alias("d")).withColumn("__span", F.floor(F.col("at") / span))
+    key = W.partitionBy(*by).orderBy("__span")
+    spans = moved.groupBy(*by, "__span").agg(F.sum("d").alias("__sum"), F.min("at").alias("__first"))
+    spans = spans.select(*by, "__span", F.coalesce(F.sum("__sum").over(key.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.lead("__first").over(key).alias("__next"))
+    inside = W.partitionBy(*by, "__span").orderBy("at")
+    level = F.sum("d").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    rows = moved.withColumns({"__level": level, "__lead": F.lead("at").over(inside)}).join(spans, [*by, "__span"])
+    return rows.select(*by, "at", (F.col("__level") + F.col("__base")).alias("in_flight"), F.coalesce("__lead", "__next").alias("until"))
+
+
+def in_flight_summary(gauge: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., peak, mean) of ``in_flight``: the highest value, and the mean over time from the first change to the last."""
+    held = F.col("until") - F.col("at")
+    return gauge.groupBy(*by).agg(F.max("in_flight").alias("peak"), (F.sum(F.col("in_flight") * held) / F.sum(held)).alias("mean"))
+
+
 def ratio(numerator: Column, denominator: Column, least: float = 0.001) -> Column:
     return numerator / F.greatest(denominator, F.lit(least))
 

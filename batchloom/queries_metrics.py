@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import scalars as fn
 from .operators import metrics
 from .plans.fixtures import view
 from .queries import _BOUNDS, _COUNTER, _LE, _counter, _query, c
+from .queries_streaming import _folder
+from .sources import load_tests, prometheus
+from .sources.lines import read_lines
+from .sources.objects import write_objects
 
 WINDOW_S, STEP_S = 21_600, 900
 INCREASE_S, INCREASE_STEP_S = 3_900, 60
@@ -63,3 +68,96 @@ def _by_week():
     from pyspark.sql import Window
 
     return Window.partitionBy("endpoint", "le", F.floor(c("sec") / 604_800)).orderBy("sec", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+
+
+#: Requests in flight: from an event for a time that its latency gives; some never end.
+_SPANS = "r as (select endpoint, sec as start, case when event_id % 97 > 0 then sec + cast(floor(latency_s * 20000) as bigint) end as \"end\" from fx_signals)"
+
+
+def _spans(spark, sf):
+    s = view(spark, sf, "signals")
+    return s.select("endpoint", c("sec").alias("start"), F.when(c("event_id") % 97 > 0, c("sec") + F.floor(c("latency_s") * 20000)).alias("end"))
+
+
+_GAUGE = (
+    f"{_SPANS}, m as (select endpoint, start as \"at\", 1 as d from r union all select endpoint, \"end\", -1 from r where \"end\" is not null), "
+    "t as (select endpoint, \"at\", sum(d) as d from m group by 1, 2), g as (select endpoint, \"at\", cast(sum(d) over (partition by endpoint order by \"at\") as bigint) as in_flight, lead(\"at\") over (partition by endpoint order by \"at\") as until from t)"
+)
+
+
+@_query(f"with {_GAUGE} select * from g")
+def in_flight_gauge(spark, sf):
+    return metrics.in_flight(_spans(spark, sf), ["endpoint"])
+
+
+@_query(f"with {_GAUGE} select endpoint, max(in_flight) as peak, round(sum(in_flight * (until - \"at\")) / cast(sum(until - \"at\") as double), 6) as mean from g group by 1")
+def in_flight_peaks(spark, sf):
+    return metrics.in_flight_summary(metrics.in_flight(_spans(spark, sf), ["endpoint"]), ["endpoint"]).withColumn("mean", F.round("mean", 6))
+
+
+_HTTP = f"e as (select endpoint as path, event_type as method, status_code, latency_s from fx_signals), b as (select unnest([{_LE}, 'infinity'::double]) as le)"
+
+
+@_query(f"with {_HTTP} select path, method, status_code, le, count(*) filter (latency_s <= le) as n from e, b group by 1, 2, 3, 4")
+def http_durations(spark, sf):
+    """The duration histogram by method, path and status."""
+    s = view(spark, sf, "signals").select(c("endpoint").alias("path"), c("event_type").alias("method"), "status_code", "latency_s")
+    return metrics.histogram(s, c("latency_s"), _BOUNDS, ["path", "method", "status_code"])
+
+
+#: A label with every character that has to be escaped.
+_HARD = "concat(method, chr(92), 'n\"', chr(10), path)"
+
+
+@_query(
+    f"with {_HTTP}, l as (select *, {_HARD} as label from e), h as (select label, le, cast(count(*) filter (latency_s <= le) as double) as n from l, b group by 1, 2), s as (select label, sum(cast(round(latency_s * 100) as bigint)) as total, count(*) as n from l group by 1) "
+    "select 'latency_bucket' as name, label, le, n as value from h union all select 'latency_sum', label, null, cast(total as double) from s union all select 'latency_count', label, null, cast(n as double) from s"
+)
+def exposed_histogram(spark, sf):
+    """A histogram written as a monitor scrapes it, to files, and read back."""
+    folder = _folder(spark, "metrics")
+    rows = view(spark, sf, "signals").select(c("endpoint").alias("path"), c("event_type").alias("method"), "latency_s").withColumn("label", F.expr(_HARD))
+    sums = rows.groupBy("label").agg(F.sum(F.round(c("latency_s") * 100).cast("long")).alias("sum"))
+    shown = prometheus.expose_histogram(metrics.histogram(rows, c("latency_s"), _BOUNDS, ["label"]), sums, "latency", ["label"])
+    shown.orderBy("family", "rank", "line").select("line").write.option("lineSep", "\n").text(folder)
+    back = prometheus.read_exposition(read_lines(spark, folder))
+    return back.select("name", c("labels")["label"].alias("label"), prometheus.read_number(c("labels")["le"]).alias("le"), "value")
+
+
+@_query(
+    "with p as (select concat('ep ', endpoint) as endpoint, sec, case when event_id % 50 = 0 then 'infinity'::double when event_id % 51 = 0 then '-infinity'::double else latency_s end as value, event_id from fx_signals) "
+    "select endpoint, cast(sec as double) as ts, value, count(*) as n from p group by 1, 2, 3"
+)
+def range_answers(spark, sf):
+    """Answers of range queries, a day's samples of all series in each, read to rows."""
+    value = F.when(c("event_id") % 50 == 0, "+Inf").when(c("event_id") % 51 == 0, "-Inf").otherwise(c("latency_s").cast("string"))
+    s = view(spark, sf, "signals").select(F.floor(c("sec") / 86_400).alias("day"), "endpoint", F.concat(F.lit("["), c("sec").cast("string"), F.lit(',"'), value, F.lit('"]')).alias("v"))
+    series = s.groupBy("day", "endpoint").agg(F.concat(F.lit('{"metric":{"endpoint":"ep '), "endpoint", F.lit('"},"values":['), F.array_join(F.collect_list("v"), ","), F.lit("]}")).alias("r"))
+    body = F.concat(F.lit('{"status":"success","data":{"resultType":"matrix","result":['), F.array_join(F.collect_list("r"), ","), F.lit("]}}"))
+    rows = prometheus.read_range(series.groupBy("day").agg(body.alias("body")))
+    return rows.groupBy(c("labels")["endpoint"].alias("endpoint"), "ts", "value").agg(F.count("*").alias("n"))
+
+
+_TESTS = "select scenario, phase, trial, avg(ttft_p50) as p50, cast(sum(completed) as bigint) as completed, min(ttft_p50) as low, max(ttft_p99) as high from fx_phases group by 1, 2, 3"
+
+
+@_query(
+    f"with t as ({_TESTS}) select concat('scenario-', cast(scenario as varchar)) as scenario, phase, trial as cycle, round(p50, 6) as ttft_median, completed, round(low + 9 * (high - low) / 10.0 + 0.9 * (high - low - 9 * (high - low) / 10.0), 6) as ttft_p99 from t"
+)
+def load_test_figures(spark, sf):
+    """Tables of load tests, a file each, and their figures by name; the 99th percentile between the last deciles."""
+    folder = _folder(spark, "load-tests")
+    p = view(spark, sf, "phases").groupBy("scenario", "phase", "trial").agg(F.avg("ttft_p50").alias("p50"), F.sum("completed").alias("completed"), F.min("ttft_p50").alias("low"), F.max("ttft_p99").alias("high"))
+    deciles = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: (c("low") + i * (c("high") - c("low")) / 10.0).cast("string")), ", ")
+    data = F.concat(c("completed").cast("string"), F.lit(","), c("p50").cast("string"), F.lit(',"['), deciles, F.lit(']","not, ""a"" number"'))
+    heads = ("Request Counts,Time to First Token,Time to First Token,", "Successful,Successful ms,Successful ms,", ",Median,Percentiles,")
+    name = F.concat(F.lit("scenario-"), c("scenario").cast("string"), F.lit("/"), c("phase"), F.lit("-"), c("trial").cast("string"), F.lit(".csv"))
+    lines = p.select(name.alias("object"), F.posexplode(F.array(*map(F.lit, heads), data)).alias("ordinal", "line"))
+    write_objects(lines, folder)
+    tests = load_tests.read_load_tests(spark, folder)
+    key = ["path", "phase", "cycle"]
+    numbers = load_tests.figure(tests, "Request Counts", "Successful").select(*key, c("number").cast("long").alias("completed"))
+    median = load_tests.figure(tests, "First Token", "Successful ms", "Median").select(*key, F.round("number", 6).alias("ttft_median"))
+    p99 = load_tests.figure(tests, "First Token", "Successful ms", "Percentiles").select(*key, F.round(fn.percentile_of_deciles(c("deciles"), 99), 6).alias("ttft_p99"))
+    out = numbers.join(median, key).join(p99, key)
+    return out.select(F.regexp_extract("path", "/(scenario-[0-9]+)/", 1).alias("scenario"), "phase", c("cycle").cast("long").alias("cycle"), "ttft_median", "completed", "ttft_p99")
