@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as fn
 from .queries import _query, c
-from .streaming import jobs, recovery
+from .streaming import events, jobs, recovery
 
 _CODES = {"error": 500, "signup": 429, "view": 404}
 _CODE_SQL = "case event_type when 'error' then 500 when 'signup' then 429 when 'view' then 404 else 200 end"
@@ -142,3 +142,33 @@ def _stateful(out: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in before.items():
             conf.set(k, v) if v is not None else conf.unset(k)
+
+
+#: A job's views take two slots of its channel's three; its other events wait for one, for as long as they live.
+_SLOTS = 3
+
+
+@_query(
+    "with recursive v as (select concat('job-', cast(user_id as varchar)) as job_id, event_id as id, cast(floor(epoch(ts)) as bigint) as sec, cast(floor(epoch(ts)) as bigint) + event_id % 41 * 40000 as expires, "
+    "case when event_type = 'view' then 2 else 0 end as takes from events), "
+    "r as (select *, row_number() over (partition by job_id order by sec, id) as no from v), "
+    "f as (select job_id, 0 as no, cast([] as struct(id bigint, expires bigint)[]) as waiting, 0 as taken, cast([] as struct(id bigint, expires bigint)[]) as sent, cast(0 as bigint) as sec from (select distinct job_id from r) "
+    "union all select job_id, no, list_filter(q, lambda x: not list_contains(list_transform(s, lambda y: y.id), x.id)), free + len(s), s, sec from ("
+    f"select *, list_filter(q, lambda x: x.expires > sec)[1 : {_SLOTS} - free] as s from ("
+    "select r.job_id, r.no, r.sec, case when r.takes > 0 then f.waiting else list_append(f.waiting, struct_pack(id := r.id, expires := r.expires)) end as q, greatest(0, f.taken - r.takes) as free "
+    "from f join r on r.job_id = f.job_id and r.no = f.no + 1))), "
+    "d as (select job_id, unnest(sent).id as id, sec from f) "
+    "select v.job_id, v.id, case when d.id is null then 'expired' else 'delivered' end as outcome, case when d.id is null then v.expires else d.sec end as at from v left join d on d.job_id = v.job_id and d.id = v.id where v.takes = 0"
+)
+def streamed_events(spark, sf):
+    """Events that fill their job's channel, wait, are delivered or expire; a last row moves the watermark past all."""
+    folder = _folder(spark, "events")
+    sec = F.unix_seconds(c("ts").cast("timestamp"))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.concat(F.lit("job-"), c("user_id").cast("string")).alias("job_id"), c("event_id").alias("id"), sec.alias("sec"), (sec + c("event_id") % 41 * 40_000).alias("expires"),
+        F.when(c("event_type") == "view", 2).otherwise(0).alias("takes"),
+    )
+    end = rows.agg(F.max("expires").alias("sec")).select(F.lit("").alias("job_id"), F.lit(-1).cast("long").alias("id"), (c("sec") + 1000).alias("sec"), F.lit(0).cast("long").alias("expires"), F.lit(1).alias("takes"))
+    rows.unionByName(end).withColumn("at", F.timestamp_seconds("sec")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("job_id string, id long, sec long, expires long, takes int, at timestamp").parquet(f"{folder}/in")
+    return _stateful(events.delivery_stream(stream, _SLOTS, "1 second"), "events")

@@ -111,3 +111,22 @@ def test_recovery_hold_over_micro_batches(spark, tmp_path):
         ("late", None, "timed_out", 110), ("none", "e", "submit", 10), ("none", None, "skipped", 10),
     ]
     assert got == sorted(map(str, want))
+
+
+def test_event_channel_over_micro_batches(spark, tmp_path):
+    """Order holds behind a full channel, an event may expire while it waits, and one that expires just now is neither delivered nor gone."""
+    from batchloom.streaming import events
+
+    parts = [
+        [("j", 1, 10, 100, 0), ("j", 2, 11, 100, 0), ("j", 3, 12, 15, 0), ("j", 4, 12, 100, 0), ("k", 9, 10, 10, 0)],
+        [("j", 5, 20, 0, 1), ("j", 6, 21, 90, 0), ("", 0, 25, 0, 1)],  # one slot is free: 3 has expired, so 4 goes
+        [("j", 7, 90, 0, 1), ("k", 10, 91, 95, 0)],  # 6 expires at 90: neither
+        [("", 0, 500, 0, 1)],
+    ]
+    for part in parts:
+        df = spark.createDataFrame(part, "job_id string, id long, sec long, expires long, takes int").withColumn("at", F.timestamp_seconds("sec"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(events.delivery_stream(stream, 2, "10 seconds"), "channel", "append", tmp_path / "cp")
+    got = sorted(map(tuple, spark.table("channel").collect()))
+    assert got == [("j", 1, "delivered", 10), ("j", 2, "delivered", 11), ("j", 3, "expired", 15), ("j", 4, "delivered", 20), ("j", 6, "expired", 90), ("k", 9, "expired", 10), ("k", 10, "delivered", 91)]
