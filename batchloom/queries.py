@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,31 @@ def list_by_offset(spark, sf):
     return catalog.query(_items(spark, sf), equal={"status": "validating"}, start=40, limit=10).select("id", "tenant_id")
 
 
+@_query("select id, tenant_id, status, expiry from fx_items where expiry > 0 and env = 'F'")
+def items_without_spec(spark, sf):
+    """Items without their static part: nothing of it is read."""
+    items = _items(spark, sf).select("id", "tenant_id", "status", "expiry", "env", F.struct("created_at", "window_s", "k").alias("spec"))
+    return catalog.query(items, equal={"env": "F"}, expired_at=10**12, static=False).drop("env")
+
+
+#: Cursors as a client sends them: none, an offset, and the id of the last row that it has seen.
+_CURSORS = (None, "40", "batch_00000100")
+
+
+@_query(
+    "with i as (select id, row_number() over (order by id) as r from fx_items where tenant_id = 'tenant_3') "
+    "select 'none' as cursor, id from i where r <= 21 union all select '40', id from i where r between 41 and 61 "
+    "union all select 'batch_00000100', id from (select id from i where id > 'batch_00000100' order by id limit 21)"
+)
+def pages_by_cursor(spark, sf):
+    pages = []
+    for value in _CURSORS:
+        start, after, limit = catalog.cursor(value, "batch_", None, 100)
+        rows = catalog.query(_items(spark, sf), tenant="tenant_3", start=start, after=after, limit=limit)
+        pages.append(rows.select(F.lit(value or "none").alias("cursor"), "id"))
+    return reduce(DataFrame.unionByName, pages)
+
+
 @_query("select id from fx_items where env = 'F' and team = 't1' order by id")
 def tag_filter_and(spark, sf):
     return catalog.query(_items(spark, sf), tags={"env": "F", "team": "t1"}).select("id")
