@@ -462,3 +462,22 @@ def test_both_libraries_split_plain_text_alike():
     for x in plain:
         for text in ("".join(f"{x}{y}" for y in plain), "".join(f"a{x}{y}1" for y in plain), " ".join(f"{x}{y}" for y in plain), "".join(f"{x}'{y}  " for y in plain)):
             assert both.fast(text) == both.own.encode(text, add_special_tokens=False).ids
+
+
+def test_the_file_asks_for_the_pattern_that_is_used():
+    """The file's own steps before its merges: nothing but the byte-level split by its library's pattern; and long mixed runs split alike."""
+    import json
+    import random
+
+    path = bpe.default_path()
+    with open(path) as f:
+        model = json.load(f)
+    step = model["pre_tokenizer"]
+    assert (step["type"], step["use_regex"], step["add_prefix_space"], model["normalizer"]) == ("ByteLevel", True, False, None)
+    both = bpe.Ids(path)
+    plain = [chr(c) for c in range(0x3000) if not bpe._PLAIN.search(chr(c))]
+    r = random.Random(8)
+    kinds = (plain, "0123456789", "  \n\t", ["'ll", "'ve", "'s", "'S", "don't"], "abcXYZé", ".,;!?-_()")
+    for _ in range(20_000):
+        text = "".join(r.choice(r.choice(kinds)) * r.choice((1, 1, 2, 5)) for _ in range(r.randrange(1, 30)))
+        assert both.fast(text) == both.own.encode(text, add_special_tokens=False).ids
