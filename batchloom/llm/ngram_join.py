@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow, raw_text
 from .graph import components
 
-#: Bounds of a row block: documents and n-grams. Columns multiplied at once.
+#: Bounds of a row block: documents and n-grams. A row's columns that are looked up at once.
 BLOCK_DOCS = 1200
 BLOCK_GRAMS = 1_000_000
-COLUMNS = 2048
+COLUMNS = 512
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 100_000
 
@@ -121,40 +121,42 @@ def _sketch(n: int, percent: int):
 
 
 def multiply(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """Linked pairs (i of a, j of b), or pairs i < j of a if b is None."""
-    sets = a + (b or [])
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    na, nb = size[: len(a)], size[len(a) :] if b is not None else size
-    total = na[:, None] + nb[None, :]
-    need = -(-percent * total // (100 + percent))
-    alive = need <= np.minimum(na[:, None], nb[None, :])
-    if b is None:
-        alive &= np.triu(np.ones_like(alive), 1)
-    if not alive.any():
+    """Linked pairs (i of a, j of b), or pairs i < j of a if b is None.
+
+    A sparse product, row by row: a row's columns, ``COLUMNS`` at a time, are looked up among the other block's entries, which are kept by column, and each
+    entry met adds one to its row's overlap. Only entries that meet cost anything. A pair is out once the row's columns that are left can't lift its overlap to the bound.
+    """
+    other = a if b is None else b
+    if not a or not other:
         return []
-    doc = np.repeat(np.arange(len(sets)), size)
-    value = np.concatenate(sets)
+    size = np.array([len(s) for s in other], dtype=np.int64)
+    value = np.concatenate(other)
     order = np.argsort(value, kind="stable")
-    value, doc = value[order], doc[order]
-    new = np.concatenate([[True], value[1:] != value[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1  # a column with one entry adds to no overlap
-    keep = shared[column]
-    column, doc = (np.cumsum(shared) - 1)[column[keep]], doc[keep]
-    left = np.bincount(doc, minlength=len(sets))
-    overlap = np.zeros(alive.shape, dtype=np.float32)
-    columns = int(shared.sum())
-    for low in range(0, columns, COLUMNS):
-        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
-        part = np.zeros((len(sets), min(COLUMNS, columns - low)), dtype=np.float32)
-        part[doc[at], column[at] - low] = 1
-        left = left - np.bincount(doc[at], minlength=len(sets))
-        overlap += part[: len(a)] @ (part[len(a) :] if b is not None else part).T
-        most = np.minimum(left[: len(a), None], (left[len(a) :] if b is not None else left)[None, :])
-        alive &= overlap + most >= need
-        if not alive.any():
-            return []
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(alive & (overlap >= need)))]
+    doc = np.repeat(np.arange(len(other)), size)[order]
+    grams, first = np.unique(value[order], return_index=True)
+    ends = np.append(first[1:], len(value))
+    out: list[tuple[int, int]] = []
+    for i, row in enumerate(a):
+        n = len(row)
+        need = -(-percent * (n + size) // (100 + percent))
+        alive = need <= np.minimum(n, size)
+        if b is None:
+            alive[: i + 1] = False
+        if not n or not alive.any():
+            continue
+        overlap = np.zeros(len(other), dtype=np.int64)
+        for low in range(0, n, COLUMNS):
+            part = row[low : low + COLUMNS]
+            at = np.searchsorted(grams, part)
+            at = at[grams[np.minimum(at, len(grams) - 1)] == part]
+            count = ends[at] - first[at]
+            start = np.repeat(first[at] - (np.cumsum(count) - count), count)
+            overlap += np.bincount(doc[start + np.arange(len(start))], minlength=len(other))
+            alive &= overlap + max(0, n - low - COLUMNS) >= need
+            if not alive.any():
+                break
+        out += [(i, int(j)) for j in np.flatnonzero(alive)]
+    return out
 
 
 def _products(n: int, percent: int):
