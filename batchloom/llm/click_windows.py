@@ -5,7 +5,8 @@ window: its start, the opener's digest, the numbers of repeats and of conflicts,
 batch's rows of a click are sorted and folded into it. An event-time timer at the end of the earliest window closes those
 that the watermark has passed; times are shifted by a second against the watermark, so that "not after" and "before" agree
 with Spark's own comparisons, and by SHIFT_H hours, so that they are positive. The query is started anew for every batch, on
-one checkpoint; a sentinel row in the last batch moves the watermark past all windows.
+one checkpoint. Spark moves the watermark between starts, so a start first closes what was due after the batch before it: where a group has
+rows, before they are folded, and elsewhere by its timer. A sentinel row in the last batch moves the watermark past all windows, and one micro-batch without rows closes them.
 
 Spark calls the processor once a group and batch, which costs milliseconds whatever the group holds, so clicks share groups by the
 hash of their ids: ``group_rows`` rows or so of all batches are one group. With ``group_rows`` of 0 every click_id is a group of its own.
@@ -39,7 +40,7 @@ SHIFT_H = 876_000
 HOUR_MS = 3_600_000
 
 _WINDOW = ("click_id", "start_hour", "n_repeats", "n_conflicts", "conflict_crc", "hash")
-_OUT = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
+_OUT = "click_id long, start_hour long, n_repeats long, n_conflicts long, conflict_crc long, hash binary, closed_batch int"
 _STATE = ", ".join(f"{n} array<{'binary' if n == 'hash' else 'long'}>" for n in _WINDOW)
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -52,18 +53,21 @@ _ROCKS = {
 
 
 class Windows(StatefulProcessor):
-    """The open windows of a group's clicks, one each."""
+    """The open windows of a group's clicks, one each, in the start for ``batch``; ``before`` is the batch of the start before, ``over`` the watermark by the sentinel."""
 
-    def __init__(self, span_h: int):
-        self.span_h = span_h
+    def __init__(self, span_h: int, batch: int, before: int, over: int):
+        self.span_h, self.batch, self.before, self.over = span_h, batch, before, over
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("windows", _STATE)
 
-    def _load(self) -> dict[int, tuple]:
+    def _load(self, now: int) -> tuple[dict[int, tuple], int | None, list[tuple]]:
+        """The windows that stay open, the timer that is set, and those that the watermark has passed."""
         held = self.state.get()
-        return {w[0]: w for w in zip(*held)} if held else {}
+        windows = list(zip(*held)) if held else []
+        batch = self.batch if now >= self.over else self.before
+        return {w[0]: w for w in windows if self._end(w) > now}, min(map(self._end, windows), default=None), [(*w, batch) for w in windows if self._end(w) <= now]
 
     def _store(self, windows: dict[int, tuple], timer: int | None) -> None:
         """Keeps the windows, and one timer at the earliest end; ``timer`` is the one that is set."""
@@ -71,7 +75,7 @@ class Windows(StatefulProcessor):
             self.state.update(tuple(map(list, zip(*windows.values()))))
         else:
             self.state.clear()
-        due = self._first_end(windows)
+        due = min(map(self._end, windows.values()), default=None)
         if due != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -81,39 +85,31 @@ class Windows(StatefulProcessor):
     def _end(self, window: tuple) -> int:
         return (window[1] + SHIFT_H + self.span_h) * HOUR_MS
 
-    def _first_end(self, windows: dict[int, tuple]) -> int | None:
-        return min(map(self._end, windows.values()), default=None)
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came: list[tuple] = []
         for f in rows:
             came += zip(*(f[c].tolist() for c in ("click_id", "hour", "hash", "crc")))
-        late = timerValues.getCurrentWatermarkInMs() // HOUR_MS - SHIFT_H
-        came = sorted(r for r in came if r[1] > late and r[2] is not None)  # without late rows and the sentinel
-        windows = self._load()
-        timer = self._first_end(windows)
-        closed = []
-        for click, hour, digest, crc in came:
+        now = timerValues.getCurrentWatermarkInMs()
+        late = now // HOUR_MS - SHIFT_H
+        windows, timer, closed = self._load(now)
+        for click, hour, digest, crc in sorted(r for r in came if r[1] > late and r[2] is not None):  # without late rows and the sentinel
             w = windows.get(click)
             if w and hour <= w[1] + self.span_h:
                 differs = digest != w[5]
                 windows[click] = (click, w[1], w[2] + 1, w[3] + differs, w[4] + crc * differs, w[5])
                 continue
             if w:
-                closed.append(w)
+                closed.append((*w, self.batch))
             windows[click] = (click, hour, 0, 0, 0, digest)
         self._store(windows, timer)
         if closed:
-            yield pd.DataFrame(closed, columns=_WINDOW)
+            yield pd.DataFrame(closed, columns=[*_WINDOW, "closed_batch"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        windows = self._load()
-        now = timerValues.getCurrentWatermarkInMs()
-        closed = [w for w in windows.values() if self._end(w) <= now]
-        # The timer that has fired is taken back by Spark.
-        self._store({w[0]: w for w in windows.values() if self._end(w) > now}, None)
+        windows, _, closed = self._load(timerValues.getCurrentWatermarkInMs())
+        self._store(windows, None)  # the timer that has fired is taken back by Spark
         if closed:
-            yield pd.DataFrame(closed, columns=_WINDOW)
+            yield pd.DataFrame(closed, columns=[*_WINDOW, "closed_batch"])
 
     def close(self) -> None:
         pass
@@ -156,42 +152,45 @@ def dedup(rows: DataFrame, batches: int = BATCHES, span_h: int = SPAN_H, late_h:
         batch = F.floor((due - low) * batches / (high - low + 1)).cast("int")
         dealt = rows.select(group.alias("group"), "click_id", "hour", at(F.col("hour")).alias("at"), "hash", "crc", batch.alias("batch"))
         dealt.write.partitionBy("batch").parquet(f"{folder}/copies")
+        end = last + span_h + late_h + 2
         sentinel = [F.lit(None if name == "hash" else 0).cast(kind).alias(name) for name, kind in dealt.dtypes if name not in ("at", "batch")]
-        sentinel = spark.range(1).select(*sentinel, at(F.lit(last + span_h + late_h + 2)).alias("at"))
+        sentinel = spark.range(1).select(*sentinel, at(F.lit(end)).alias("at"))
         sentinel.write.mode("append").parquet(f"{folder}/copies/batch={batches - 1}")
         release(spark)
-        _run(dealt.drop("batch"), folder, batches, span_h, late_h)
-    windows = f"{_OUT}, closed_batch int"
-    out = spark.read.schema(windows).option("basePath", f"{folder}/windows").parquet(f"{folder}/windows") if n else spark.createDataFrame([], windows)
+        _run(dealt.drop("batch"), folder, batches, span_h, late_h, end)
+    out = spark.read.schema(_OUT).parquet(f"{folder}/windows/*") if n else spark.createDataFrame([], _OUT)
     return out.select("click_id", "start_hour", F.col("closed_batch").cast("long").alias("closed_batch"), "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("hash")).alias("hash"))
 
 
-def _run(rows: DataFrame, folder: str, batches: int, span_h: int, late_h: int) -> None:
-    """Moves one batch after the other to where the query reads, and runs the query on it to the end."""
+def _run(rows: DataFrame, folder: str, batches: int, span_h: int, late_h: int, end: int) -> None:
+    """Moves one batch after the other to where the query reads, and runs the query on it to the end; ``end`` is the sentinel's hour."""
     spark = rows.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{folder}/feed"))
-    fs.mkdirs(path(f"{folder}/windows"))
-    before = {k: spark.conf.get(k, None) for k in _ROCKS}
-    for k, v in _ROCKS.items():
-        spark.conf.set(k, v)
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    kept = {k: spark.conf.get(k, None) for k in (*_ROCKS, empty)}
+    over = (end - late_h + SHIFT_H) * HOUR_MS - 1000
+    before = 0
     try:
         for batch in range(batches):
             if not fs.exists(path(f"{folder}/copies/batch={batch}")):
                 continue  # no row is due then
             fs.rename(path(f"{folder}/copies/batch={batch}"), path(f"{folder}/feed/{batch}"))
+            for k, v in (_ROCKS | {empty: str(batch == batches - 1).lower()}).items():
+                spark.conf.set(k, v)
 
             def write(df: DataFrame, n: int, batch: int = batch) -> None:
                 """A micro-batch's folder is named by its number: one that is run again overwrites itself."""
-                df.write.mode("overwrite").parquet(f"{folder}/windows/closed_batch={batch}/{n}")
+                df.write.mode("overwrite").parquet(f"{folder}/windows/{batch}-{n}")
 
             came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/feed").withWatermark("at", f"{late_h} hours 1 second").drop("at")
-            closed = came.groupBy("group").transformWithStateInPandas(Windows(span_h), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
+            closed = came.groupBy("group").transformWithStateInPandas(Windows(span_h, batch, before, over), outputStructType=_OUT, outputMode="Append", timeMode="EventTime")
             closed.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
             release(spark)
+            before = batch
     finally:
-        for k, v in before.items():
+        for k, v in kept.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     for name in ("feed", "state", "copies"):
         fs.delete(path(f"{folder}/{name}"), True)
