@@ -74,12 +74,43 @@ def range_growth(grown: DataFrame, keys: Sequence[str], window_s: int, step_s: i
     pane = F.ceil(F.col(at) / step_s).cast("long")
     first = F.struct(at, *ties, value)
     panes = grown.groupBy(*keys, pane.alias("__pane")).agg(F.count("*").alias("__n"), F.sum("delta").alias("__sum"), F.min_by("delta", first).alias("__carried"))
+    return _slide(panes, keys, window_s, step_s)
+
+
+def _slide(panes: DataFrame, keys: Sequence[str], window_s: int, step_s: int) -> DataFrame:
+    """``range_growth`` from its panes (keys..., __pane, __n, __sum, __carried)."""
     seen = panes.withColumn("__step", F.explode(F.sequence("__pane", F.col("__pane") + (window_s // step_s - 1))))
     grew = F.sum("__sum") - F.min_by("__carried", "__pane")
     out = seen.groupBy(*keys, "__step").agg(F.sum("__n").alias("samples"), grew.alias("increase")).filter("samples > 1")
     return out.select(*keys, (F.col("__step") * step_s).alias("step"), "samples", "increase", (F.col("increase") / float(window_s)).alias("rate"))
 
 
+def bucket_growth(rows: DataFrame, value: Column, bounds: Sequence[float], by: Sequence[str], window_s: int, step_s: int, reset_s: int, at: str = "at", ties: Sequence[str] = ()) -> DataFrame:
+    """``range_growth`` of a histogram's buckets, counters (by..., le) that each sample of ``rows`` adds to and that start again at every multiple of ``reset_s``.
+
+    Samples are counted by pane and bucket at once, beside the first one's value; counters run over panes only, so no task holds a series' samples.
+    Bounds don't hold infinity, which is added. Samples of one time go by ``ties``.
+    """
+    if window_s % step_s:
+        raise ValueError("a window must be whole steps")
+    run, pane = F.floor(F.col(at) / reset_s).alias("__run"), F.ceil(F.col(at) / step_s).cast("long").alias("__pane")
+    every = [*map(float, bounds), float("inf")]
+    counts = [F.count_if(value <= b).alias(f"__b{i}") for i, b in enumerate(every)]
+    wide = rows.groupBy(*by, run, pane).agg(F.count("*").alias("__n"), F.min_by(value, F.struct(at, *ties)).alias("__first"), *counts)
+    entry = lambda i, b: F.struct(F.lit(b).alias("le"), F.col(f"__b{i}").alias("__in"), F.coalesce((F.col("__first") <= b).cast("long"), F.lit(0)).alias("__one"))
+    parts = wide.select(*by, "__run", "__pane", "__n", F.inline(F.array(*[entry(i, b) for i, b in enumerate(every)])))
+    keys = [*by, "le"]
+    # A pane may lie in two runs; within a run counters only grow.
+    level = F.coalesce(F.sum("__in").over(W.partitionBy(*keys, "__run").orderBy("__pane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__begin", level + F.col("__one")).withColumn("__end", level + F.col("__in"))
+    last = F.lag("__end").over(W.partitionBy(*keys).orderBy("__run", "__pane"))
+    carried = F.when(last.isNull(), 0).when(F.col("__begin") < last, F.col("__begin")).otherwise(F.col("__begin") - last).cast("double")
+    parts = parts.withColumn("__carried", carried)
+    grew = F.col("__carried") + F.col("__end") - F.col("__begin")
+    panes = parts.groupBy(*keys, "__pane").agg(F.sum("__n").alias("__n"), F.sum(grew).alias("__sum"), F.min_by("__carried", "__run").alias("__carried"))
+    return _slide(panes, keys, window_s, step_s)
+
+
 def rate(grown: DataFrame, window_s: int, by: Sequence[str] = (), at: str = "at") -> DataFrame:
     """(by..., window_start, rate): growth per second in tumbling windows, summed over all other labels."""
     start = (F.floor(F.col(at) / window_s) * window_s).cast("long")
