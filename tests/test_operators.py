@@ -509,3 +509,25 @@ def test_drain(spark):
     df = spark.createDataFrame(rows, "run string, seq long, owned boolean, outcome string")
     assert sorted((r["run"], r["seq"]) for r in deliveries.drain(df, "run").filter("acked").collect()) == [("r", 1), ("r", 3), ("s", 1)]
     assert {r["run"]: (r["error"], r["acked"]) for r in deliveries.run_error(df, "run").collect()} == {"r": ("conflict", 2), "s": (None, 1)}
+
+
+def test_entries_are_dealt_by_batch_and_rows(spark, monkeypatch):
+    from batchloom.plans import fixtures
+    from tests.conftest import SF
+
+    monkeypatch.setattr(fixtures, "_TASK_ROWS", 100)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert fixtures.view(spark, SF, "entries").rdd.getNumPartitions() == -(-n // 100)
+    plan = fixtures.view(spark, SF, "entries").groupBy("batch_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_coverage_in_place_of_a_join(spark):
+    from batchloom.operators import results
+
+    frame = lambda rows: spark.createDataFrame(rows, "batch_id string, custom_id string")
+    asked, out, err = frame([("a", "1"), ("a", "1"), ("a", "2"), ("b", None), (None, "1")]), frame([("a", "1"), ("a", "3"), ("b", None)]), frame([("a", "1"), (None, "1")])
+    for tasks in (None, 3):
+        got = results.coverage(asked, out, err, tasks)
+        assert {tuple(r) for r in got.collect()} == {("a", 2, 3, 1, 1, 1), ("b", 1, 1, 1, 1, 0), (None, 1, 1, 1, 1, 0)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
