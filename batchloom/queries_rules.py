@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import scalars as fn
 from .operators import analysis, catalog, deliveries, ingest, lifecycle, metrics, mutations, results
-from .plans.fixtures import NOW, view
+from .plans.fixtures import NOW, tasks_for, view
 from .queries import TERMINAL, _entries, _items, _query, c
 
 
@@ -220,6 +220,9 @@ def enriched_results(spark, sf):
     got = view(spark, sf, "deliveries").select(
         rid, F.when(c("arrival") % 2 == 0, "own").otherwise("").alias("custom_id"), F.when(c("ordinal") % 3 == 0, "m").alias("model"), F.lit(None).cast("long").alias("submitted_at")
     )
+    # Both sides in as many tasks as their rows need; the groups are found where the join leaves them.
+    tasks = tasks_for(view(spark, sf, "lineitem"))
+    got, pending = got.repartition(tasks, "request_id"), pending.repartition(tasks, "request_id")
     return results.enrich(got, pending).groupBy("request_id", "custom_id", "model").agg(F.count("*").alias("n"))
 
 
