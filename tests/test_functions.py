@@ -141,3 +141,12 @@ def test_same_json_compares_numbers(spark):
     pairs = [("10", "1e1", True), ('{"a":1.0}', '{"a":1}', True), ('{"a":1}', '{"a":2}', False), ("x", "x", False)]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
     assert all(r["same"] == r["want"] for r in df.withColumn("same", fn.same_json(F.col("a"), F.col("b"))).collect())
+
+
+def test_canonical_json_of_a_long_string(spark):
+    from batchloom.functions import encode
+
+    long = 'a\\"1' * 20_000
+    text = f'{{"n": [10.0, -3, 12345678901234567, 0.50, -0, 1e300], "1": "{long}"}}'
+    got = spark.createDataFrame([(text,)], "t string").select(encode.canonical_json(F.col("t"))).first()[0]
+    assert got == f'{{"1":"{long}","n":[10,-3,12345678901234568,0.5,0,1e+300]}}'

@@ -531,3 +531,23 @@ def test_coverage_in_place_of_a_join(spark):
         got = results.coverage(asked, out, err, tasks)
         assert {tuple(r) for r in got.collect()} == {("a", 2, 3, 1, 1, 1), ("b", 1, 1, 1, 1, 0), (None, 1, 1, 1, 1, 0)}
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_artifacts_without_a_shuffle_of_lines(spark):
+    from batchloom.plans.fixtures import view
+    from batchloom.queries import QUERIES
+    from tests.conftest import SF
+
+    texts = {("b1", "output"): [f"line {k} é\n" for k in range(50)], ("b1", "error"): ["x\n"], ("b2", "output"): ["", "y\n"], ("b3", "output"): ["z\n"]}
+    df = spark.createDataFrame([(b, r, k, x) for (b, r), xs in texts.items() for k, x in enumerate(xs)][::-1], "batch_id string, route string, ordinal long, line string")
+    want = sorted((b, r, len(xs), len("".join(xs).encode()), hashlib.sha256("".join(xs).encode()).hexdigest()) for (b, r), xs in texts.items())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for out in (results.artifacts(df), results.artifacts(df, tasks=3), results.artifacts(df.repartition(3, "batch_id"), dealt=True)):
+            assert sorted(map(tuple, out.collect())) == want
+        with pytest.raises(Exception, match="line that is null"):
+            results.artifacts(df.withColumn("line", F.nullif("line", F.lit("x\n")))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(QUERIES["artifact_digests"](spark, SF)) == exchanges(view(spark, SF, "entries")) == 1
