@@ -551,3 +551,18 @@ def test_artifacts_without_a_shuffle_of_lines(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     exchanges = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(QUERIES["artifact_digests"](spark, SF)) == exchanges(view(spark, SF, "entries")) == 1
+
+
+def test_stored_artifacts_are_written_where_they_were_dealt(spark, tmp_path, monkeypatch):
+    from batchloom import queries_streaming
+    from batchloom.plans import fixtures
+    from batchloom.queries import QUERIES
+    from tests.conftest import SF
+
+    monkeypatch.setattr(fixtures, "_TASK_ROWS", 50)
+    monkeypatch.setattr(queries_streaming, "_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = QUERIES["artifact_verification"](spark, SF).collect()
+    assert len(list(tmp_path.rglob("part-*"))) > 64  # files grow in number with the rows, not in size
+    batches = [{x.split(" ", 1)[0] for x in p.read_text().splitlines()} for p in tmp_path.rglob("part-*")]
+    assert sum(map(len, batches)) == len(set().union(*batches))
+    assert {r["same"] for r in got} == {True, False}
