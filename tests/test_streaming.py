@@ -130,3 +130,25 @@ def test_event_channel_over_micro_batches(spark, tmp_path):
     run(events.delivery_stream(stream, 2, "10 seconds"), "channel", "append", tmp_path / "cp")
     got = sorted(map(tuple, spark.table("channel").collect()))
     assert got == [("j", 1, "delivered", 10), ("j", 2, "delivered", 11), ("j", 3, "expired", 15), ("j", 4, "delivered", 20), ("j", 6, "expired", 90), ("k", 9, "expired", 10), ("k", 10, "delivered", 91)]
+
+
+def test_recovery_holds_share_groups(spark, tmp_path):
+    """Holds of one group end at their own times, over micro-batches, as holds with a group each do; the processor is called by groups, not by batches."""
+    from batchloom.streaming import recovery
+
+    held = [(f"b{k}", f"r{k}-{j}", 10 + k % 3, 50 + 10 * (k % 7)) for k in range(60) for j in range(3)] + [("zero", "z1", 10, 0), ("zero", "z2", 10, 0)]
+    results = [(f"b{k}", f"r{k}-{j}", 20 + k % 50) for k in range(60) for j in range(3) if k % 4 or j]
+    parts = [held, results[:80], [*results[80:], ("", "", 65)], [("", "", 80)], [("b8", "r8-0", 85), ("", "", 500)], [("", "", 900)]]
+    for part in parts:
+        rows = [(b, r, "held", s, w[0]) if w else (b, r, "result", s, 0) for b, r, s, *w in part]
+        df = spark.createDataFrame(rows, "batch_id string, request_id string, kind string, sec long, wait_s long").withColumn("at", F.timestamp_seconds("sec"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    for groups in (None, 2):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run(recovery.recovery_stream(stream, "100 seconds", groups), f"shared_{groups}", "append", tmp_path / f"cp{groups}")
+        got.append(sorted(map(str, (tuple(r) for r in spark.table(f"shared_{groups}").collect()))))
+    assert got[0] == got[1]
+    ends = [x for x in got[1] if "None" in x]
+    assert len(ends) == 61 and all(any(kind in x for x in ends) for kind in ("resolved", "timed_out", "skipped"))
+    assert len([x for x in got[1] if "None" not in x]) == len(held)
