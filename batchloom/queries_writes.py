@@ -160,9 +160,11 @@ _RESULT = "case when ordinal = 4 then 'pending' when ordinal % 2 = 0 then 'compl
 def checkpointed_results(spark, sf):
     status = F.when(c("ordinal") == 4, "pending").when(c("ordinal") % 2 == 0, "completed").otherwise("failed")
     key = F.when(c("ordinal") == 1, "").otherwise(F.concat_ws("/", F.lit("results"), "batch_id", "custom_id"))
-    first = _writes(spark, sf).withColumns({"result_status": status, "key": key, "bytes": c("bytes") % 7, "code": F.when(status == "failed", "http_500").otherwise(""), "arrival": F.lit(1), "sha256": F.sha2(F.concat_ws(" ", "batch_id", "custom_id"), 256)})
-    late = first.withColumns({"arrival": F.lit(2), "key": F.lit("late"), "result_status": F.when(c("result_status") == "pending", "pending").otherwise("completed")})
-    out = mutations.checkpoint_results(_entries(spark, sf), _items(spark, sf), first.unionByName(late), NOW)
+    sent = _writes(spark, sf).withColumns({"bytes": c("bytes") % 7, "code": F.when(status == "failed", "http_500").otherwise(""), "sha256": F.sha2(F.concat_ws(" ", "batch_id", "custom_id"), 256)})
+    arrival = lambda n, key, status: F.struct(F.lit(n).alias("arrival"), key.alias("key"), status.alias("result_status"))
+    # A result and its late repeat from one row, so that both stay where the entries were dealt; of a union Spark would shuffle each.
+    twice = F.array(arrival(1, key, status), arrival(2, F.lit("late"), F.when(status == "pending", "pending").otherwise("completed")))
+    out = mutations.checkpoint_results(_entries(spark, sf), _items(spark, sf), sent.select("*", F.inline(twice)), NOW)
     return out.select("batch_id", "custom_id", "status", "result_key", "result_bytes", "result_sha256", "error_code", "completed_at")
 
 

@@ -566,3 +566,12 @@ def test_stored_artifacts_are_written_where_they_were_dealt(spark, tmp_path, mon
     batches = [{x.split(" ", 1)[0] for x in p.read_text().splitlines()} for p in tmp_path.rglob("part-*")]
     assert sum(map(len, batches)) == len(set().union(*batches))
     assert {r["same"] for r in got} == {True, False}
+
+
+def test_results_that_come_twice_are_not_a_union(spark):
+    """Of a union Spark would shuffle each part again."""
+    from batchloom.queries import QUERIES
+    from tests.conftest import SF
+
+    plan = QUERIES["checkpointed_results"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Generate inline" in plan
