@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .plans.fixtures import view
+from .plans.fixtures import tasks_for, view
 from .queries import _query, c
 from .queries_streaming import _folder
 from .sources.lines import read_lines
@@ -47,10 +47,12 @@ _MOST_LINES = 620
 def committed_objects(spark, sf):
     """Objects of answers, delivered twice: equal ones are reused, changed ones go by their content, those beyond the limit leave nothing. Read back from the files."""
     folder = _folder(spark, "objects")
-    rows = view(spark, sf, "deliveries").select(F.concat(F.lit("results/supplier-"), c("s").cast("string"), F.lit(".jsonl")).alias("object"), "s", "batch_id", "ordinal", "arrival", F.expr(_ANSWER.replace("%s", "string")).alias("line"))
-    rows = rows.withColumn("place", F.struct("batch_id", "ordinal", "arrival", "line"))
+    tasks = tasks_for(view(spark, sf, "lineitem"))
+    # An arrival is one row of its request, so a line's place needs no line; lines are shuffled once a turn.
+    place = F.struct("batch_id", "ordinal", "arrival").alias("place")
+    rows = view(spark, sf, "deliveries", by_batch=True).select(F.concat(F.lit("results/supplier-"), c("s").cast("string"), F.lit(".jsonl")).alias("object"), "s", place, F.expr(_ANSWER.replace("%s", "string")).alias("line"))
     for turn in (rows, rows.withColumn("line", F.expr(_AGAIN))):
-        write_objects(turn.select("object", "place", "line"), folder, "place", most_lines=_MOST_LINES, fallback=True)
+        write_objects(turn.select("object", "place", "line"), folder, "place", most_lines=_MOST_LINES, fallback=True, tasks=tasks)
     # An object's bytes from its lines, in the order that the file has.
     lines = read_lines(spark, folder).select("path", "ordinal", "length", "line")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")

@@ -42,6 +42,18 @@ def fallback_name(name: str, sha256: str) -> str:
     return f"{stem}-{sha256[:16]}{ext}"
 
 
+def _digest(store, place: str) -> str | None:
+    """The digest of what is stored there; null if nothing is."""
+    there = hashlib.sha256()
+    try:
+        with store.open_input_stream(place) as f:
+            while part := f.read(1 << 20):
+                there.update(part)
+    except FileNotFoundError:
+        return None
+    return there.hexdigest()
+
+
 def _store(path: str):
     from pyarrow import fs
 
@@ -79,11 +91,17 @@ class _Object:
         self.digest.update(data)
         self.out.write(data)
 
-    def close(self) -> dict:
+    def close(self, root: str, fallback: bool) -> dict:
+        """What the commit has to know, with the digests of objects that have the names already: as they never change, tasks can read them."""
+        there = {}
         if not self.over:
             self.out.close()
+            for name in (self.name, fallback_name(self.name, self.digest.hexdigest()))[: 1 + fallback]:
+                there[name] = _digest(self.store, f"{root}/{name}")
+                if there[name] in (None, self.digest.hexdigest()):
+                    break
         found = {"bytes": None, "lines": None, "sha256": None} if self.over else {"bytes": self.bytes, "lines": self.lines, "sha256": self.digest.hexdigest()}
-        return {"object": self.name, "place": self.place, "outcome": self.over, **found}
+        return {"object": self.name, "place": self.place, "outcome": self.over, "there": there, **found}
 
 
 class ObjectWriter(DataSourceArrowWriter):
@@ -110,12 +128,12 @@ class ObjectWriter(DataSourceArrowWriter):
                     end += 1
                 if now is None or now.name != names[at]:
                     if now is not None:
-                        done.append(now.close())
+                        done.append(now.close(root, self.fallback))
                     now = _Object(store, names[at], f"{top}/{len(done)}", self.most_bytes, self.most_lines)
                 now.add(lines[at:end])
                 at = end
         if now is not None:
-            done.append(now.close())
+            done.append(now.close(root, self.fallback))
         with store.open_output_stream(f"{top}/listed") as out:
             for d in done:
                 out.write(json.dumps(d).encode() + b"\n")
@@ -146,32 +164,31 @@ class ObjectWriter(DataSourceArrowWriter):
     def _settle(self, store, root: str, d: dict) -> dict:
         outcome, name = d["outcome"], d["object"]
         if not outcome:
-            outcome = self._claim(store, d, f"{root}/{name}")
+            outcome = self._claim(store, d, root, name)
             if outcome == "taken" and self.fallback:
                 name = fallback_name(name, d["sha256"])
-                outcome = "fallback" if self._claim(store, d, f"{root}/{name}") != "taken" else "taken"
+                outcome = "fallback" if self._claim(store, d, root, name) != "taken" else "taken"
         stored = outcome in ("created", "same", "fallback")
         return {"object": d["object"], "outcome": outcome, "name": name if stored else None, **{k: d[k] for k in ("bytes", "lines", "sha256")}}
 
-    def _claim(self, store, d: dict, place: str) -> str:
+    def _claim(self, store, d: dict, root: str, name: str) -> str:
         """created, same (an equal object has the name) or taken (another one has it, and keeps it)."""
         from pyarrow import fs
 
-        store.create_dir(os.path.dirname(place))
-        try:
-            if isinstance(store, fs.LocalFileSystem):
-                os.link(d["place"], place)  # fails where the name is taken, whoever was first
-            elif store.get_file_info(place).type != fs.FileType.NotFound:
-                raise FileExistsError(place)
-            else:
-                store.move(d["place"], place)
-        except FileExistsError:
-            there = hashlib.sha256()
-            with store.open_input_stream(place) as f:
-                while part := f.read(1 << 20):
-                    there.update(part)
-            return "same" if there.hexdigest() == d["sha256"] else "taken"
-        return "created"
+        there, place = d["there"].get(name), f"{root}/{name}"
+        if there is None:
+            store.create_dir(os.path.dirname(place))
+            try:
+                if isinstance(store, fs.LocalFileSystem):
+                    os.link(d["place"], place)  # fails where the name is taken, whoever was first
+                elif store.get_file_info(place).type != fs.FileType.NotFound:
+                    raise FileExistsError(place)
+                else:
+                    store.move(d["place"], place)
+                return "created"
+            except FileExistsError:
+                there = _digest(store, place)  # taken since its task was done
+        return "same" if there == d["sha256"] else "taken"
 
 
 class ObjectSink(DataSource):
@@ -190,14 +207,14 @@ class ObjectSink(DataSource):
         return ObjectWriter(self.options)
 
 
-def write_objects(lines: DataFrame, path: str, order: str = "ordinal", most_bytes: int = S.MAX_FILE_BYTES, most_lines: int = S.MAX_FILE_LINES, fallback: bool = False) -> DataFrame:
+def write_objects(lines: DataFrame, path: str, order: str = "ordinal", most_bytes: int = S.MAX_FILE_BYTES, most_lines: int = S.MAX_FILE_LINES, fallback: bool = False, tasks: int | None = None) -> DataFrame:
     """Writes the objects of (object, ``order``, line) under ``path`` and returns ``outcomes``; rows without an object name are left out.
 
-    An object is one task's work, as its lines follow each other in one file; its limits bound it.
+    An object is one task's work, as its lines follow each other in one file; its limits bound it. ``tasks`` deals the objects out.
     """
     spark = lines.sparkSession
     spark.dataSource.register(ObjectSink)
-    rows = lines.filter("object is not null").repartition("object").sortWithinPartitions("object", order).select("object", F.col("line").cast("string").alias("line"))
+    rows = lines.filter("object is not null").repartition(*([tasks] if tasks else []), "object").sortWithinPartitions("object", order).select("object", F.col("line").cast("string").alias("line"))
     rows.write.format("batch_objects").mode("append").options(most_bytes=most_bytes, most_lines=most_lines, fallback=str(fallback).lower()).save(path)
     return outcomes(spark, path)
 

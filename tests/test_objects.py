@@ -73,3 +73,29 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken row"):
         data.select("object", bad.alias("line")).write.format("batch_objects").mode("append").save(str(tmp_path))
     assert files(tmp_path) == []
+
+
+def test_the_commit_reads_no_objects_that_its_tasks_have_read(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/o"
+    first = [(f"r/{k}.jsonl", 0, "a") for k in range(5)]
+    again = [(f"r/{k}.jsonl", 0, "a" if k % 2 else "b") for k in range(5)]
+    objects.write_objects(rows(spark, first), root, tasks=3)
+    # A commit as the driver makes it, of what a task has listed.
+    writer = objects.ObjectWriter({"path": root, "fallback": "true"})
+    import pyarrow as pa
+
+    done = writer.write(iter([pa.RecordBatch.from_pylist([{"object": o, "line": x} for o, _, x in again])]))
+    read = []
+    digest = objects._digest
+    monkeypatch.setattr(objects, "_digest", lambda store, place: read.append(place) or digest(store, place))
+    writer.commit([done])
+    assert read == []
+    got = sorted((r["object"], r["outcome"]) for r in objects.outcomes(spark, root).collect())
+    assert got == sorted([(o, "created") for o, _, _ in first] + [(o, "fallback" if x == "b" else "same") for o, _, x in again])
+    # A name that was taken between the task and the commit is found by the commit.
+    late = objects.ObjectWriter({"path": root})
+    done = late.write(iter([pa.RecordBatch.from_pylist([{"object": "r/new.jsonl", "line": "mine"}])]))
+    (tmp_path / "o/r/new.jsonl").write_text("other\n")
+    read.clear()
+    late.commit([done])
+    assert len(read) == 1 and (tmp_path / "o/r/new.jsonl").read_text() == "other\n"
