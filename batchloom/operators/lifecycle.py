@@ -101,8 +101,10 @@ def activate(items: DataFrame, entries: DataFrame, manifest: DataFrame, claims:
     extra = [F.col(n) if n in manifest.columns else F.lit(None).cast(kind).alias(n) for n, kind in (("request_id", "string"), ("result_key", "string"), ("result_bytes", "long"), ("result_sha256", "string"))]
     kept = items.join(claims.select(F.col("batch_id").alias("id"), "owner", "at_epoch"), "id")
     fence = (F.col("processor_id") == F.col("owner")) & (F.col("epoch") == F.col("at_epoch")) & (F.col("status") == "validating") & ~F.col("resumable")
-    ready = kept.filter(fence).select(F.col("id").alias("batch_id")).join(entries.select("batch_id").distinct(), "batch_id", "left_anti").join(manifest.select("batch_id").distinct(), "batch_id", "left_semi")
-    new = manifest.join(ready, "batch_id", "left_semi").select(
+    free = kept.filter(fence).select(F.col("id").alias("batch_id")).join(entries.select("batch_id").distinct(), "batch_id", "left_anti")
+    ready = free.join(manifest.select("batch_id").distinct(), "batch_id", "left_semi")
+    # A manifest's own entries show that their batch has some, so they are read once.
+    new = manifest.join(free, "batch_id", "left_semi").select(
         "batch_id", "ordinal", "custom_id", "status", F.lit(0).cast("long").alias("attempts"), "error_code", F.when(F.col("status") == "failed", F.lit(now_s).cast("long")).alias("completed_at"), *extra
     )
     long = lambda x: F.lit(x).cast("long")

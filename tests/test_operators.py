@@ -575,3 +575,17 @@ def test_results_that_come_twice_are_not_a_union(spark):
 
     plan = QUERIES["checkpointed_results"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and "Generate inline" in plan
+
+
+def test_activation_reads_its_manifest_once(spark):
+    from batchloom.operators import lifecycle
+    from batchloom.queries import QUERIES
+    from tests.conftest import SF
+
+    plan = QUERIES["activation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number()") == 2  # the manifest's lines, and the entries that are there
+    items = spark.createDataFrame([(b, "p", 1, "validating", False) for b in ("a", "b", "c")], "id string, processor_id string, epoch long, status string, resumable boolean")
+    manifest = spark.createDataFrame([("a", 0, "r", "pending", None), ("b", 0, "r", "pending", None), ("x", 0, "r", "pending", None)], "batch_id string, ordinal long, custom_id string, status string, error_code string")
+    claims = items.select(F.col("id").alias("batch_id"), F.lit("p").alias("owner"), F.lit(1).alias("at_epoch"))
+    new, begun = lifecycle.activate(items, spark.createDataFrame([("b",)], "batch_id string"), manifest, claims, 5)
+    assert [r["batch_id"] for r in new.collect()] == ["a"] and [r["id"] for r in begun.collect()] == ["a"]  # b has entries, c no manifest
