@@ -2,7 +2,10 @@
 
 A line of at least ``MIN_CHARS`` code points is removed if the same line stands earlier, or if a line at
 most one edit (insertion, deletion, substitution of a code point) away does; earlier is by (doc_id,
-line number). The join takes three rounds, and a line leaves as soon as it has no partner:
+line number). With ``edits`` above 1 longer lines may differ by more: by one edit for each ``MIN_CHARS``
+code points of the shorter line, at most ``edits``.
+
+For one edit the join takes three rounds, and a line leaves as soon as it has no partner:
 
 1. Each line is split into threshold-plus-one = 2 segments by its length. It goes into the index of its
    own length, and probes the index of the next length with the segments that a line without one of the
@@ -14,6 +17,11 @@ line number). The join takes three rounds, and a line leaves as soon as it has n
 The earliest partner of each line is then verified with a banded bit-parallel edit distance, one pair a
 line; links are counted by the groups' sizes. Counts precede every join back, so hot segments are pre-aggregated, and no round makes pairs.
 
+For more edits, k of them, a line of n code points is indexed by k + 1 segments. It probes the indexes of its own length and of
+those up to k less at each place where, with k edits in all, the first segment left whole may stand. Lines that meet
+are paired, in blocks where a segment is hot; pairs whose code points' counts differ in too many parities go, all
+others are verified by Spark's own banded distance. Their number grows with the square of a hot segment's lines.
+
 Defined cases: null text has no lines and stays null; empty text stays empty; shorter lines are kept;
 rows equal in id and text are treated alike; other columns are kept as they are, whatever their names;
 an empty table gives no rows.
@@ -21,7 +29,9 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -30,6 +40,8 @@ MIN_CHARS = 20
 #: Pieces of a segment have about this many code points; a segment has at most so many pieces.
 PIECE_CHARS = 8
 MOST_PIECES = 32
+#: Lines of a hot segment that one task's block pairs with the segment's others.
+BLOCK_LINES = 1000
 
 
 def within_edits(a: Column, b: Column, k: int) -> Column:
@@ -141,6 +153,71 @@ def _links(partners: DataFrame) -> DataFrame:
     return partners.filter("others > 0").select("id", F.col("others").cast("long").alias("links")).unionAll(both).groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def allowed_edits(n: Column, edits: int) -> Column:
+    """The edits that a line of ``n`` code points may be away from a line that isn't shorter."""
+    return F.least(F.lit(edits), F.floor(n / MIN_CHARS).cast("int"))
+
+
+def _probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, key, own): a line's segments, and the places where it may hold those of lines of its length or up to ``edits`` less."""
+    line, n = F.col("line"), F.col("n")
+
+    def entries(less: int, k: int) -> Column:
+        size, out = n - less, []
+        for j in range(k + 1):
+            low, high = (F.floor(size * e / (k + 1)).cast("int") for e in (j, j + 1))
+            # Of k edits at most j lie before segment j and k - j after it, or an other segment is whole.
+            for shift in range(max(-j, less - (k - j)), min(j, less + k - j) + 1):
+                key = F.xxhash64(size, F.lit(j), F.substring(line, low + shift + 1, high - low))
+                out.append(F.struct(key.alias("key"), F.lit(not less and not shift).alias("own")))
+        return F.array(*out)
+
+    none = F.array().cast("array<struct<key:bigint,own:boolean>>")
+    each = [F.when(allowed_edits(n - less, edits) == k, entries(less, k)).otherwise(none) for less in range(edits + 1) for k in range(max(1, less), edits + 1)]
+    return lines.select("id", "line", F.length("line").alias("n")).select("id", F.inline(F.concat(*each)))
+
+
+def _parities(line: Column) -> Column:
+    """64 bits, of which an edit turns two at most: whether the code points of each hash occur an odd number of times."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+
+
+def _pairs(entries: DataFrame, edits: int) -> DataFrame:
+    """(x, y): pairs of lines that share a segment and may be as near as their length allows, each pair once."""
+    parts = F.ceil(F.col("many") / BLOCK_LINES).cast("int")
+    own = entries.filter("own").select("key", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
+    other = entries.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
+    k = allowed_edits(F.col("na"), edits)
+    near = (F.col("nb") - F.col("na")).between(0, k) & (F.bit_count(F.col("abits").bitwiseXOR(F.col("bbits"))) <= 2 * k)
+    met = own.join(other.hint("merge"), ["key", "part"]).filter((F.col("a") != F.col("b")) & near)
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def near_lines_by_length(lines: DataFrame, scratch: Scratch, edits: int) -> tuple[DataFrame, DataFrame]:
+    """What ``near_lines`` gives, for lines with one edit for each ``MIN_CHARS`` code points, at most ``edits``."""
+    same = Window.partitionBy("key")
+    met = _probes(lines, edits).withColumns({"many": F.count("*").over(same), "first": F.min("id").over(same), "last": F.max("id").over(same), "any": F.max("own").over(same)})
+    met = scratch.table(met.filter("any and first < last").select("id", "key", "own", "many"), "segments")
+    entries = met.groupBy("id").agg(F.collect_set(F.struct("key", "own", "many")).alias("entries"))
+    texts = lines.select("id", "k1", "k2", "at", "line").join(entries.hint("merge"), "id").withColumn("bits", _parities(F.col("line")))
+    texts = scratch.table(texts, "candidates")
+    scratch.drop("segments")
+    pairs = scratch.table(_pairs(texts.select("id", F.length("line").alias("n"), "bits", F.inline("entries")), edits), "pairs")
+    # Not broadcast, as for one edit.
+    for end in ("x", "y"):
+        pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("at").alias(f"{end}_at"), F.col("line").alias(f"{end}_line")).hint("merge"), end)
+    a, b = F.col("x_line"), F.col("y_line")
+    k = allowed_edits(F.least(F.length(a), F.length(b)), edits)
+    linked = pairs.filter(reduce(Column.__or__, [(k == e) & (F.levenshtein(a, b, e) >= 0) for e in range(1, edits + 1)]))
+    linked = scratch.table(linked.select("x", "y", "x_at", "y_at"), "linked")
+    ends = linked.select(F.col("x").alias("id"), F.col("y_at").alias("other")).unionAll(linked.select(F.col("y").alias("id"), F.col("x_at").alias("other")))
+    found = ends.groupBy("id").agg(F.count("*").alias("links"), F.min("other").alias("first"))
+    found = scratch.table(found.join(texts.select("id", "k1", "k2", "at").hint("merge"), "id").drop("id"), "near")
+    scratch.drop("candidates", "pairs", "linked")
+    return found.filter("first < at").select("k1", "k2", "at", F.col("first.doc").alias("source")), found.select("k1", "k2", "at", "links")
+
+
 def near_lines(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(k1, k2, at, source): lines of the table of distinct lines with an earlier one within one edit, verified, and that one's
     document; and (k1, k2, at, links): how many lines are within one edit of each."""
@@ -163,7 +240,7 @@ def near_lines(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     return found, links
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
     """(doc, version, copies, near, sources, links) of each document with lines that aren't alone: the numbers of its removed
     lines, the documents that hold the earlier ones, and its lines' links with other lines."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
@@ -171,7 +248,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrences = _occurrences(docs, id_col, text_col)
     grouped = occurrences.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
     lines = scratch.table(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
-    near, links = near_lines(lines, scratch)
+    near, links = near_lines(lines, scratch) if edits == 1 else near_lines_by_length(lines, scratch, edits)
     no, none = F.lit(False).alias("near"), F.lit(None).cast(dict(near.dtypes)["source"]).alias("source")
     zero = F.lit(0).cast("long").alias("links")
     marks = lines.filter("n > 1").select("k1", "k2", "at", no, none, zero)
@@ -184,13 +261,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.array_sort(F.collect_set(F.when(copy, F.col("at.doc")).when(F.col("near"), F.col("source")))).alias("sources"), F.sum("links").alias("links"),
     )
     out = scratch.table(out, "gone")
-    scratch.drop("lines", "near", "links")
+    scratch.keep("gone")
     return out
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _deduped(docs: DataFrame, id_col: str, text_col: str, edits: int = 1) -> DataFrame:
     """(others, id, text, new, n_lines, n_copies, n_near, sources, n_links): other columns are packed, so that no name clashes."""
-    gone = removals(docs, id_col, text_col)
+    gone = removals(docs, id_col, text_col, edits)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select((F.struct(*others) if others else F.lit(None).cast("int")).alias("others"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     none = F.array().cast("array<int>")
@@ -212,17 +289,17 @@ def _unpacked(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col("new").alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col(f"others.`{c}`").alias(c) for c in docs.columns]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1) -> DataFrame:
     """The rows with their lines deduplicated, and beside the columns of ``docs`` __n_lines, __n_copies, __n_near, __sources and
     __n_links, in place of columns that have these names."""
     added = ("n_lines", "n_copies", "n_near", "sources", "n_links")
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {f"__{a}" for a in added}])
-    return _deduped(docs, id_col, text_col).select(*_unpacked(docs, id_col, text_col), *[F.col(a).alias(f"__{a}") for a in added])
+    return _deduped(docs, id_col, text_col, edits).select(*_unpacked(docs, id_col, text_col), *[F.col(a).alias(f"__{a}") for a in added])
 
 
-def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
+def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS, edits: int = 1) -> DataFrame:
     """The rows with their lines deduplicated; a row goes if it lost lines and none of ``least`` code points is left, or none but blank ones."""
-    done = _deduped(docs, id_col, text_col)
+    done = _deduped(docs, id_col, text_col, edits)
     lost = F.col("n_copies") + F.col("n_near") > 0
     left = F.col("new").rlike(f"[^\n]{{{least}}}") & F.col("new").rlike(r"\S")
     return done.filter(~lost | left).select(*_unpacked(docs, id_col, text_col))

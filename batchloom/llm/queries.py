@@ -18,6 +18,7 @@ SHINGLE_WORDS = 3
 JACCARD_PERCENT = 90
 MINHASH_WORDS = 2
 MINHASH_PERCENT = 80
+LINE_EDITS = 3
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +90,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
-    done = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _lines_left(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it leaves where a line may differ by an edit for each 20 code points, by three at most."""
+    return _lines_left(line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), edits=LINE_EDITS))
+
+
+def _lines_left(done: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines")).alias("n_lines"), F.col("__n_copies").alias("n_copies"), F.col("__n_near").alias("n_near"),
         F.col("__n_links").alias("n_links"), F.array_join("__sources", ",").alias("sources"),
@@ -136,6 +145,40 @@ left join (
 """
 
 
+#: The same with more edits. A shorter line's segments are looked for in lines up to k longer, k places to either side; pairs are then
+#: compared from the left: whatever is equal is cut, and each edit tries all three kinds on what is left.
+NEAR_LINE_SQL = (
+    OP8_SQL.replace("with o as", "with recursive o as")[: OP8_SQL.index("c as (") + len("recursive ")]
+    + """s as (select line, n, least(3, n // 20) as k from g),
+ix as (
+  select line, n, k, j, (j * n) // (k + 1) as p, ((j + 1) * n) // (k + 1) - (j * n) // (k + 1) as size
+  from (select line, n, k, unnest(range(0, k + 1)) as j from s)),
+pr as (
+  select line, n, na, j, substr(line, p + shift + 1, size) as seg from (
+    select line, n, na, j, (j * na) // (k + 1) as p, ((j + 1) * na) // (k + 1) - (j * na) // (k + 1) as size, unnest(range(-k, k + 1)) as shift from (
+      select line, n, na, k, unnest(range(0, k + 1)) as j from (
+        select line, n, n - less as na, least(3, (n - less) // 20) as k, less from g, range(0, 4) t(less)) where less <= k))
+  where p + shift >= 0 and p + shift + size <= n),
+c as (
+  select distinct ix.line as la, pr.line as lb, ix.k
+  from ix join pr on ix.n = pr.na and ix.j = pr.j and substr(ix.line, ix.p + 1, ix.size) = pr.seg and ix.line <> pr.line),
+w as (
+  select la, lb, k, cast(0 as bigint) as e, la as x, lb as y from c
+  union
+  select la, lb, k, e + 1, substr(x, same + 1 + dx), substr(y, same + 1 + dy)
+  from (
+    select *, coalesce(list_position(list_transform(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i, 1) = substr(y, i, 1)), false), least(length(x), length(y)) + 1) - 1 as same
+    from w where e < k and x <> y), (values (1, 1), (1, 0), (0, 1)) m(dx, dy)
+  where abs((length(x) - dx) - (length(y) - dy)) <= k - e - 1),
+l as (select distinct la, lb from w where x = y),
+p as (
+  select l.la, l.lb, a.d0 as ad, a.n0 as an, b.d0 as bd, b.n0 as bn
+  from l join g a on a.line = l.la join g b on b.line = l.lb),
+"""
+    + OP8_SQL[OP8_SQL.index("q as (") :]
+)
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.find_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -275,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "near_line_dedup": near_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_click_dedup": op11_click_dedup,
@@ -286,6 +330,7 @@ SQL: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op4_decontaminate": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "near_line_dedup": NEAR_LINE_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op11_click_dedup": OP11_SQL,
     "op12_minhash_dedup": OP12_SQL,

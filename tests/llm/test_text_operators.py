@@ -309,6 +309,48 @@ def test_line_dedup(spark):
         assert all(s <= r["doc_id"] for s in r["__sources"]) and bool(r["__sources"]) == bool(r["__n_copies"] + r["__n_near"])
 
 
+@pytest.mark.parametrize("block", [1000, 2])
+def test_line_dedup_by_length(spark, monkeypatch, block):
+    """One edit for each 20 code points, at most three: near lines, links and sources by brute force; with small blocks too."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (19, 20, 21, 39, 40, 41, 59, 60, 62, 64, 130)] + ["ab" * 30, "-" * 61, "😀x" * 31]
+    rows = [(1, None), (2, "")]
+    for d in range(10, 110):
+        lines = []
+        for _ in range(rng.randrange(4)):
+            x = rng.choice(base)
+            for _ in range(rng.randrange(6)):
+                i = rng.randrange(len(x))
+                x = rng.choice([x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[:i] + "y" + x[i + 1 :], "ü" + x, x + "!", x[1:]])
+            lines.append(x)
+        rows.append((d, "\n".join([*lines, "short"])))
+    each = {d: [x for x in (t or "").split("\n") if len(x) >= 20] for d, t in rows}
+    first = {}
+    for d, xs in each.items():
+        for no, x in enumerate(xs):
+            first.setdefault(x, (d, no))
+    edits = {(x, y): brute.edits(x, y) for x in first for y in first if x < y and abs(len(x) - len(y)) <= 3}
+    linked = {p: e for p, e in edits.items() if e <= min(3, len(p[0]) // 20, len(p[1]) // 20)}
+    assert sum(e > 1 for e in linked.values()) > 50, "pairs that one edit doesn't find"
+    near = {x: [y for p in linked for y in p if x in p and x != y] for x in first}
+    found = line_dedup.dedup_lines(docs(spark, rows), edits=3).collect()
+    want = {}
+    for d, t in rows:
+        kept, n_near, n_links, sources = [], 0, 0, set()
+        seen = set()
+        for x in (t or "").split("\n"):
+            n_links += len(near.get(x, ()))
+            earlier = min((first[y] for y in near.get(x, ()) if first[y] < first[x]), default=None)
+            copy = x in first and (first[x][0] < d or x in seen)
+            seen.add(x)
+            n_near += earlier is not None
+            sources |= {earlier[0]} if earlier else {first[x][0]} if copy else set()
+            kept += [] if earlier or copy else [x]
+        want[d] = (None if t is None else "\n".join(kept), n_near, n_links, sorted(sources))
+    assert {r["doc_id"]: (r["text"], r["__n_near"], r["__n_links"], r["__sources"]) for r in found} == want
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_banded_edits(spark, k):
     rng = random.Random(k)
