@@ -6,14 +6,16 @@ those columns are counted and matched. Of them a row needs its rarest ones alone
 without a partner, and one more. A row with too few columns that any other row has there is out, so a
 line or passage that very many documents share brings no candidates by itself.
 
-Documents that are connected by such columns make a cluster, and only clusters are multiplied: cut by
-size into row blocks of bounded weight, block by block of rows whose sizes allow a link, overlaps are
-accumulated over column blocks, and a pair is discarded as soon as the overlap it could still reach is
-below the bound that its two sizes give.
+Documents of one class of sizes, or of a class and the next, that are connected by such columns make a
+cluster; so documents whose sizes rule out a link connect nothing, and a cluster does not run through all
+sizes as the corpus grows. Only clusters are multiplied: in row blocks of bounded weight, in rounds that deal
+out a few times the texts each, overlaps are accumulated over column blocks, and a pair is discarded as soon
+as the overlap it could still reach is below the bound that its two sizes give.
 
 Documents with equal sets are one row of the matrix, so copies make no pairs. Every product of row blocks
 gives links as counts and a spanning forest; components follow by star rounds. Nothing grows with a
-cluster but the number of row block pairs.
+cluster but the number of row block pairs. Joins are sorted and merged at every size, so no table passes through
+the driver.
 
 Defined cases: null text, or one without words, has the empty set and is its own component without
 links; fewer words than an n-gram are one n-gram; repeated rows are linked like copies; a null id takes
@@ -23,6 +25,8 @@ no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +39,8 @@ from .graph import components
 BLOCK_DOCS = 1200
 BLOCK_GRAMS = 1_000_000
 COLUMNS = 512
+#: Products that a text goes to in one round, on average.
+ROUND_COPIES = 4
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 100_000
 
@@ -188,8 +194,9 @@ def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, in
     if not a or not (b or square):  # a row block that no row was dealt to
         return []
     load = lambda part: [gram_set(r[4], n) for r in part]
-    pairs = multiply(load(a), None if square else load(b), percent)
-    other = a if square else b
+    left = load(a)
+    pairs = [(a[i], a[j]) for i, j in multiply(left, None, percent)] if square else []
+    pairs += [(a[i], b[j]) for i, j in multiply(left, load(b), percent)] if b else []
     root: dict[int, int] = {}
     links: dict[int, int] = {}
     out = []
@@ -199,8 +206,7 @@ def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, in
             root[x] = x = root[root[x]]
         return x
 
-    for i, j in pairs:
-        u, v = a[i], other[j]
+    for u, v in pairs:
         links[u[2]] = links.get(u[2], 0) + v[3]
         links[v[2]] = links.get(v[2], 0) + u[3]
         x, y = find(u[2]), find(v[2])
@@ -210,33 +216,48 @@ def _product(held: list, n: int, percent: int) -> list[tuple[int, int | None, in
     return out + [(u, None, n) for u, n in links.items()]
 
 
-def _row_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(cid, cluster, task, side): the products of row blocks that each row takes part in; side is -1 in a block's product with itself."""
-    bounds = Sizes(percent).starts
-    # The class of a size: how many starts are at most the size.
-    klass = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: x <= F.col("n")))
-    rows = members.withColumn("klass", klass)
-    whole = rows.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
+def _class(percent: int):
+    """The class of a size n: how many starts are at most the size."""
+    return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in Sizes(percent).starts]), lambda x: x <= F.col("n")))
+
+
+def _meets(chosen: DataFrame) -> DataFrame:
+    """Edges (u, v) between rows of (cid, klass, gram) that share a column and whose sizes may be linked.
+
+    Rows of a class and those of the next one meet by themselves, whatever they share with other sizes: so a row is two nodes, 2 * cid beside the
+    rows of its own class and the next, and 2 * cid + 1 as one of the next. Of the latter none meet each other, as they do so in their own class.
+    """
+    nodes = chosen.select("gram", F.explode(F.array(F.lit(0), F.lit(1))).alias("upper"), "cid", "klass").select("gram", (F.col("klass") - F.col("upper")).alias("window"), (2 * F.col("cid") + F.col("upper")).alias("node"), "upper")
+    least = nodes.groupBy("gram", "window").agg(F.min(F.when(F.col("upper") == 0, F.col("node"))).alias("least"), F.count("*").alias("__n")).filter("__n > 1 and least is not null")
+    return nodes.join(least.select("gram", "window", "least").hint("merge"), ["gram", "window"]).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def _row_blocks(members: DataFrame) -> DataFrame:
+    """(cid, cluster, copies, task, side): the products that each row of (cid, upper, cluster, n, copies) takes part in.
+
+    Of a cluster, rows that aren't ``upper`` are multiplied with each other and with those that are. Side is -1 in a block's product with itself, which may
+    have rows of side 1 besides; else the rows of side 0 are multiplied with those of side 1.
+    """
+    whole = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
     small = (F.col("docs") <= BLOCK_DOCS) & (F.col("grams") <= BLOCK_GRAMS)
-    rows = rows.join(whole.select("cluster", small.alias("small")), "cluster")
+    rows = members.join(whole.select("cluster", small.alias("small")).hint("merge"), "cluster")
     task = lambda *parts: F.xxhash64("cluster", *parts)
-    one = rows.filter("small").select("cid", "cluster", "copies", task(F.lit(0)).alias("task"), F.lit(-1).alias("side"))
+    one = rows.filter("small").select("cid", "cluster", "copies", task(F.lit(0)).alias("task"), F.when(F.col("upper"), 1).otherwise(-1).alias("side"))
     rest = rows.filter("not small")
-    salts = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
-    parts = rest.groupBy("cluster", "klass").agg(salts.alias("salts"))
-    near = lambda d: parts.select("cluster", (F.col("klass") - d).alias("klass"), F.col("salts").alias(f"salts{d + 1}"))
-    rest = rest.join(near(0), ["cluster", "klass"]).join(near(1), ["cluster", "klass"], "left").join(near(-1), ["cluster", "klass"], "left")
-    mine = F.pmod(F.xxhash64("cid", F.lit(5)), F.col("salts1")).cast("int")
+    salts = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_DOCS), F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_GRAMS)).cast("int")
+    parts = rest.groupBy("cluster").agg(salts(~F.col("upper")).alias("lowers"), salts(F.col("upper")).alias("uppers"))
+    rest = rest.join(parts.hint("merge"), "cluster")
+    mine = F.pmod(F.xxhash64("cid", F.lit(5)), F.when(F.col("upper"), F.col("uppers")).otherwise(F.col("lowers"))).cast("int")
     rest = rest.withColumn("mine", mine)
-    upto = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    entry = lambda k1, i, k2, j, side: F.struct(task(F.lit(1), k1, i, k2, j).alias("task"), side.cast("int").alias("side"))
-    k, i = F.col("klass"), F.col("mine")
-    tasks = F.concat(
-        F.transform(upto(F.col("salts1")), lambda j: entry(k, F.least(i, j), k, F.greatest(i, j), F.when(i == j, -1).when(i > j, 1).otherwise(0))),
-        F.transform(upto(F.col("salts2")), lambda j: entry(k, i, k + 1, j, F.lit(0))),
-        F.transform(upto(F.col("salts0")), lambda j: entry(k - 1, j, k, i, F.lit(1))),
+    upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    entry = lambda kind, i, j, side: F.struct(task(F.lit(kind), i, j).alias("task"), side.cast("int").alias("side"))
+    i, lowers, uppers = F.col("mine"), F.col("lowers"), F.col("uppers")
+    lower = F.concat(
+        F.transform(upto(lowers), lambda j: entry(1, F.least(i, j), F.greatest(i, j), F.when(i == j, -1).when(i > j, 1).otherwise(0))),
+        F.transform(upto(uppers), lambda j: entry(2, i, j, F.lit(0))),
     )
-    return one.unionByName(rest.select("cid", "cluster", "copies", F.inline(tasks)))
+    upper = F.transform(upto(lowers), lambda j: entry(2, j, i, F.lit(1)))
+    return one.unionByName(rest.select("cid", "cluster", "copies", F.inline(F.when(F.col("upper"), upper).otherwise(lower))))
 
 
 def row_version(id_col: str = "doc_id", text_col: str = "text"):
@@ -254,40 +275,52 @@ def join(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col
     scratch = Scratch(spark, "ngram-join")
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("doc"), row_version(id_col, text_col).alias("version"), raw_text(text_col).alias("raw"))
-    sketch = scratch.table(map_arrow(source, _sketch(n, percent), f"doc {kind}, version long, n long, key binary, need int, first array<long>"), "sketch")
+    wide = scratch.table(map_arrow(source, _sketch(n, percent), f"doc {kind}, version long, n long, key binary, need int, first array<long>"), "sketched")
     # Equal sets are one row of the matrix; at names one of its documents.
     at = F.struct("doc", "version")
-    rows = sketch.filter("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("least"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("first").alias("first"))
-    rows = scratch.table(rows.withColumn("cid", F.monotonically_increasing_id()), "rows")
-    entries = rows.select("cid", F.explode("first").alias("gram"))
+    firsts = wide.filter("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("least"), F.min(at).alias("at"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("first").alias("first"))
+    firsts = scratch.table(firsts.withColumn("cid", F.monotonically_increasing_id()), "firsts")
+    # First columns take most of the disk: they stay in one table only, and only until the columns are chosen.
+    sketch = scratch.table(wide.drop("first", "need"), "sketch")
+    scratch.drop("sketched")
+    rows = scratch.table(firsts.drop("first").withColumn("klass", _class(percent)), "rows")
+    # One exchange, from which columns are counted and matched.
+    entries = firsts.select("cid", F.explode("first").alias("gram")).repartition("gram")
     met = entries.groupBy("gram").agg(F.count("*").alias("rows")).filter("rows > 1")
-    shared = entries.join(met, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("rows", "gram"))).alias("shared"))
+    shared = entries.join(met.hint("merge"), "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("rows", "gram"))).alias("shared"))
     rarest = F.slice("shared", 1, F.size("shared") - F.col("need") + 1)
-    chosen = shared.join(rows.select("cid", "need"), "cid").filter(F.size("shared") >= F.col("need")).select("cid", F.explode(rarest).alias("g")).select("cid", F.col("g.gram").alias("gram"))
+    chosen = shared.join(rows.select("cid", "need", "klass").hint("merge"), "cid").filter(F.size("shared") >= F.col("need")).select("cid", "klass", F.explode(rarest).alias("g")).select("cid", "klass", F.col("g.gram").alias("gram"))
     chosen = scratch.table(chosen, "columns")
-    least = chosen.groupBy("gram").agg(F.min("cid").alias("least"), F.count("*").alias("__n")).filter("__n > 1").select("gram", "least")
-    meets = scratch.table(chosen.join(least, "gram").filter("cid != least").select(F.col("cid").alias("u"), F.col("least").alias("v")).distinct(), "meets")
+    scratch.drop("firsts")
+    meets = scratch.table(_meets(chosen), "meets")
     scratch.drop("columns")
     clusters = components(meets, scratch, "clusters")
     clusters = scratch.table(clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct()), "clustered")
-    members = rows.select("cid", "n", "copies", "at").join(clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "cid")
+    nodes = clusters.select(F.shiftright("node", 1).alias("cid"), (F.col("node") % 2 == 1).alias("upper"), F.col("root").alias("cluster"))
+    members = rows.select("cid", "n", "copies", "at").join(nodes.hint("merge"), "cid")
 
     # Rows of one id and text would come several times; they meet by the join's own key.
     # Sorted and merged at every size, as the plan for a corpus would be.
-    texts = source.join(members.select("cid", "at").hint("merge"), (F.col("version") == F.col("at.version")) & F.col("doc").eqNullSafe(F.col("at.doc")))
+    wanted = members.select("cid", "at").distinct()
+    texts = source.join(wanted.hint("merge"), (F.col("version") == F.col("at.version")) & F.col("doc").eqNullSafe(F.col("at.doc")))
     texts = scratch.table(texts.select("version", "cid", "raw").dropDuplicates(["version", "cid"]).select("cid", "raw"), "texts")
-    blocks = scratch.table(_row_blocks(members.select("cid", "cluster", "n", "copies"), percent), "row-blocks")
-    dealt = blocks.join(texts, "cid").select("task", "side", "cid", "copies", "raw")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "side", "cid")
-    found = scratch.table(map_arrow(dealt, _products(n, percent), "u long, v long, links long"), "products")
+    blocks = scratch.table(_row_blocks(members.select("cid", "upper", "cluster", "n", "copies")), "row-blocks")
+    # Rows of a large cluster are in many products: these come in rounds, so that no round deals out much more than the texts.
+    rounds = max(1, -(-blocks.count() // (ROUND_COPIES * max(1, texts.count()))))
+    found = []
+    for k in range(rounds):
+        dealt = blocks.filter(F.pmod("task", F.lit(rounds)) == k).join(texts.hint("merge"), "cid").select("task", "side", "cid", "copies", "raw")
+        dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "side", "cid")
+        found.append(scratch.table(map_arrow(dealt, _products(n, percent), "u long, v long, links long"), f"products-{k}"))
+    found = reduce(DataFrame.unionAll, found)
     scratch.drop("meets", "clustered", "texts", "row-blocks")
     roots = components(found.filter("v is not null").select("u", "v"), scratch, "components")
     links = found.filter("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
-    named = rows.select("cid", "key", "copies", F.col("least").alias("first")).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = rows.select("cid", "key", "copies", F.col("least").alias("first")).join(roots.hint("merge"), F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
-    named = scratch.table(named.join(least, "root").join(links, "cid", "left").select("key", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
+    named = scratch.table(named.join(least.hint("merge"), "root").join(links.hint("merge"), "cid", "left").select("key", "root", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
     scratch.keep("sketch", "named")
-    out = sketch.select("doc", "version", "n", "key").join(named, "key", "left")
+    out = sketch.select("doc", "version", "n", "key").join(named.hint("merge"), "key", "left")
     return out.select(
         F.col("doc").alias("doc_id"), "version", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("root").alias("component"),

@@ -2,7 +2,7 @@ import hashlib
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +119,60 @@ def test_ngram_join_counts_once_where_a_block_is_empty(spark, monkeypatch):
     assert got == {d: (d - d % 2, 1) for d, _ in rows}
 
 
+@pytest.fixture
+def tables(monkeypatch):
+    """Tables that an operator writes, by name: their plans, and their rows if asked for."""
+    from batchloom.llm.common import Scratch
+
+    write, seen = Scratch.table, {}
+
+    def table(self, df, name):
+        out = write(self, df, name)
+        seen[name] = (df._jdf.queryExecution().executedPlan().toString(), out.columns, [tuple(r) for r in out.collect()] if name in ("clustered", "row-blocks") else None)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    return seen
+
+
+def test_ngram_join_sends_no_table_through_the_driver(spark, tables):
+    rng = random.Random(6)
+    rows = [(k, words(rng, 40, 30)) for k in range(40)] + [(100 + k, "one two three four five six seven eight nine ten " + "x" * k) for k in range(4)]
+    ngram_join.keep_one(docs(spark, rows), 3, 80).count()
+    assert len(tables) > 10 and not [name for name, (plan, _, _) in tables.items() if "Broadcast" in plan]
+
+
+def test_ngram_join_clusters_by_size(spark, tables):
+    """A rare shingle that texts of all sizes hold connects those alone that may be linked."""
+    rng = random.Random(7)
+    common = next(w for w in (words(rng, 3, 1 << 30) for _ in range(10_000)) if ngram_join.gram_set(w.encode(), 3)[0] < 1 << 55)
+    rows = [(k, " ".join([common, words(rng, k, 1 << 30)]) if k else common) for k in range(20)] + [(50, common + " y"), (51, common + " z y")]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.join(docs(spark, rows), 3, 90).collect()}
+    _, pairs, roots = brute.links([t for _, t in rows], 3, 90)
+    assert got == {d: (rows[roots[k]][0], sum(k in p for p in pairs)) for k, (d, _) in enumerate(rows)}
+    sizes = Counter(root for _, root in tables["clustered"][2])
+    assert max(sizes.values()) <= 5  # 22 texts hold it
+
+
+@pytest.mark.parametrize("copies", [1, 100])
+def test_ngram_join_in_rounds(spark, tables, monkeypatch, copies):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(ngram_join, "ROUND_COPIES", copies)
+    rng = random.Random(8)
+    base = words(rng, 90, 5000).split()
+    rows = []
+    for k in range(40):  # sizes of two classes
+        w = list(base[: 90 - rng.randrange(16)])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(5000)}"
+        rows.append((k, " ".join(w)))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.join(docs(spark, rows), 3, 90).collect()}
+    _, pairs, roots = brute.links([t for _, t in rows], 3, 90)
+    assert got == {k: (roots[k], sum(k in p for p in pairs)) for k in range(40)} and pairs
+    rounds = [name for name in tables if name.startswith("products-")]
+    assert len(rounds) == (1 if copies == 100 else -(-len(tables["row-blocks"][2]) // 40)) and not [name for name in ("sketch", "rows") if "first" in tables[name][1]]
+
+
 def test_first_columns_hold_the_common_ones():
     rng = random.Random(11)
     for percent in (50, 80, 90):
