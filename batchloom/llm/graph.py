@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds; no component meets in one task."""
+"""Connected components by alternating large-star and small-star rounds; no component meets in one task, and nothing is broadcast."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     if large:
-        out = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        out = both.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.filter("u > v").distinct()
 
 
