@@ -568,6 +568,25 @@ def test_stored_artifacts_are_written_where_they_were_dealt(spark, tmp_path, mon
     assert {r["same"] for r in got} == {True, False}
 
 
+def test_many_stored_artifacts_are_compressed_and_go_when_digested(spark, tmp_path, monkeypatch):
+    from batchloom import queries, queries_streaming
+    from batchloom.plans import fixtures
+    from tests.conftest import SF, same_rows
+
+    there = lambda: {p.name.split(".", 1)[1] for p in tmp_path.rglob("part-*")}
+    release, seen = queries._release, []
+    monkeypatch.setattr(queries, "_release", lambda *a: (seen.append(there()), release(*a), seen.append(there())))
+    monkeypatch.setattr(queries, "_PLAIN_ROWS", 0)
+    monkeypatch.setattr(fixtures, "_TASK_ROWS", 50)
+    monkeypatch.setattr(queries_streaming, "_folder", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = queries.QUERIES["artifact_verification"](spark, SF)
+    same_rows(got, queries.SQL["artifact_verification"])
+    texts, digests = {"txt.gz"}, {"zstd.parquet"}
+    assert seen == [texts, texts, texts | digests, digests]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan  # lines are read once, and not for the join
+
+
 def test_results_that_come_twice_are_not_a_union(spark):
     """Of a union Spark would shuffle each part again."""
     from batchloom.queries import QUERIES
